@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import quality, simhash, toxicity
 
 
 def queries():
     return {
+        "op2_toxicity": toxicity.query,
+        "op4_quality_rules": quality.query,
         "op7_simhash_dedup": simhash.query,
     }
 

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from . import quality, simhash, toxicity
+from . import packing, quality, simhash, toxicity
+
+
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries():
     return {
+        "pipeline": _pipeline,
         "op2_toxicity": toxicity.query,
         "op4_quality_rules": quality.query,
+        "op5_packing": packing.query,
         "op7_simhash_dedup": simhash.query,
     }
 

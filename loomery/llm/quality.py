@@ -134,8 +134,8 @@ def ablations(entries: DataFrame, version: str = "v2") -> DataFrame:
 def keep_good(docs: DataFrame, version: str = "v2", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that the policy rejects; all columns stay as they are."""
     entries = apply_policy(ledger(docs, docs.columns, text_col), version)
-    # A condition with the task's number stays above the measurements; below, it would repeat them.
-    return entries.where(F.when(F.col("kept"), F.spark_partition_id() >= 0)).select("row.*")
+    # A column with the task's number keeps the filter above the measurements; below, it would repeat them.
+    return entries.select("row", F.when(F.col("kept"), F.spark_partition_id() >= 0).alias("stays")).where("stays").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

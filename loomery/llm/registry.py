@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, quality, simhash, toxicity
+from . import chat, licenses, packing, quality, simhash, toxicity
 
 
 def _pipeline(spark, sf_dir):
@@ -14,10 +14,12 @@ def _pipeline(spark, sf_dir):
 def queries():
     return {
         "pipeline": _pipeline,
+        "op1_license_scan": licenses.query,
         "op2_toxicity": toxicity.query,
         "op4_quality_rules": quality.query,
         "op5_packing": packing.query,
         "op7_simhash_dedup": simhash.query,
+        "op10_chat_formatting": chat.query,
     }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, packing, quality, simhash, toxicity
+from . import chat, embeddings, licenses, packing, quality, simhash, toxicity
 
 
 def _pipeline(spark, sf_dir):
@@ -19,6 +19,7 @@ def queries():
         "op4_quality_rules": quality.query,
         "op5_packing": packing.query,
         "op7_simhash_dedup": simhash.query,
+        "op8_embedding_dedup": embeddings.query,
         "op10_chat_formatting": chat.query,
     }
 

@@ -22,8 +22,8 @@ ORDERS = (3, 4, 5)
 BITS = 18
 SLICES = 64
 #: The bound of the sample: at most so many labelled rows of each class.
-PER_CLASS = 8000
-FEATURES = 6000
+PER_CLASS = 4000
+FEATURES = 4000
 #: A missed toxic text weighs as much as so many clean texts that are rejected.
 MISS_COST = 2.0
 
@@ -124,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed, per_class: int = PER_CLASS,
 
 def _logistic(indices: list[np.ndarray], y: np.ndarray, scale: np.ndarray, ridge: float = 2e-4, rounds: int = 250) -> tuple[np.ndarray, float]:
     """Weights of scaled presence features by accelerated gradient steps."""
-    columns, owner = np.concatenate(indices), np.repeat(np.arange(len(y)), [len(i) for i in indices])
+    columns, owner = np.concatenate(indices), np.repeat(np.arange(len(y), dtype=np.int32), [len(i) for i in indices])
     values = scale[columns]
     w, b = np.zeros(len(scale)), 0.0
     v, vb, t = w.copy(), b, 1.0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embeddings, licenses, packing, quality, simhash, toxicity
+from . import chat, embeddings, html_text, language_model, licenses, packing, pieces, quality, simhash, toxicity
 
 
 def _pipeline(spark, sf_dir):
@@ -16,10 +16,13 @@ def queries():
         "pipeline": _pipeline,
         "op1_license_scan": licenses.query,
         "op2_toxicity": toxicity.query,
+        "op3_lm_scoring": language_model.query,
         "op4_quality_rules": quality.query,
         "op5_packing": packing.query,
+        "op6_html_extraction": html_text.query,
         "op7_simhash_dedup": simhash.query,
         "op8_embedding_dedup": embeddings.query,
+        "op9_sentencepiece": pieces.query,
         "op10_chat_formatting": chat.query,
     }
 

@@ -9,7 +9,6 @@ iteration are summed across partitions; scoring runs the scaled forward recursio
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -39,12 +38,43 @@ def tokens(text: str) -> list[bytes]:
     return out
 
 
-def word_class(word: bytes) -> int:
-    """0 for the end; else the hash of a word's first two and last three bytes, 1 to CLASSES - 1."""
-    if not word:
-        return 0
-    ends = word if len(word) <= 5 else word[:2] + b"*" + word[-3:]
-    return 1 + zlib.crc32(ends) % (CLASSES - 1)
+_SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LOWER = np.arange(256, dtype=np.uint8) + 32 * ((np.arange(256) >= 65) & (np.arange(256) <= 90)).astype(np.uint8)
+
+
+def end_classes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Class of each word ``raw[start:stop]`` of lower-cased bytes: 0 for an empty word (the end),
+    else the hash of its first two and last three bytes (of up to five bytes: of all of them),
+    from 1 to CLASSES - 1."""
+    length = stops - starts
+    key = np.minimum(length, 6).astype(np.uint64)
+    top = max(len(raw) - 1, 0)
+    for k, at in enumerate((starts, starts + 1, stops - 3, stops - 2, stops - 1)):
+        inside = (at >= starts) & (at < stops)
+        byte = raw[np.clip(at, 0, top)] if len(raw) else np.zeros(len(at), np.uint8)
+        key |= np.where(inside, byte, 0).astype(np.uint64) << np.uint64(8 * (k + 1))
+    key = (key ^ (key >> np.uint64(23))) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (key >> np.uint64(40)) % np.uint64(CLASSES - 1) + np.uint64(1)
+    return np.where(length > 0, mixed, 0).astype(np.int32)
+
+
+def word_classes(words: list[bytes]) -> np.ndarray:
+    """Classes of words that are lower-cased already."""
+    stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    return end_classes(np.frombuffer(b"".join(words), np.uint8), np.concatenate([[0], stops[:-1]]).astype(np.int64), stops)
+
+
+def text_classes(texts: list[str]) -> list[np.ndarray]:
+    """Of each text, the classes of the words of ``tokens(text)``, the end included."""
+    held = [t.encode("utf-8", "surrogatepass") for t in texts]
+    raw = _LOWER[np.frombuffer(b"\n".join(held), np.uint8)]
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], _SPACES[raw], [True]])))
+    starts, stops = edges[0::2], edges[1::2]
+    owner = np.searchsorted(np.cumsum([len(b) + 1 for b in held]), starts, side="right")
+    ends = np.cumsum(np.bincount(owner, minlength=len(held)) + 1)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.int32)
+    out[np.arange(len(starts)) + owner] = end_classes(raw, starts, stops)
+    return np.split(out, ends[:-1])
 
 
 @dataclass
@@ -134,19 +164,6 @@ def _add(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
         into[:, k] += np.bincount(rows, values[:, k], len(into))
 
 
-def _classes_of(texts, cache: dict[bytes, int]) -> list[np.ndarray]:
-    out = []
-    for text in texts:
-        words = tokens(text)
-        if len(cache) > 300_000:
-            cache.clear()
-        for w in words:
-            if w not in cache:
-                cache[w] = word_class(w)
-        out.append(np.fromiter(map(cache.__getitem__, words), np.int32, len(words)))
-    return out
-
-
 def _batches_of(batches):
     for pdf in batches:
         for at in range(0, len(pdf), 2048):
@@ -180,12 +197,11 @@ def train(texts: DataFrame, base: np.ndarray, iterations: int = ITERATIONS) -> P
         now = p
 
         def step(batches):
-            cache: dict[bytes, int] = {}
             sums = [np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES))]
             for pdf in _batches_of(batches):
-                whole = _classes_of(null_as_empty(pdf["text"]), cache)
-                for part in (whole[i : i + 512] for i in range(0, len(whole), 512)):
-                    cut = [s[i : i + SEQUENCE] for s in part for i in range(0, len(s), SEQUENCE)]
+                texts = null_as_empty(pdf["text"])
+                for part in (texts[i : i + 512] for i in range(0, len(texts), 512)):
+                    cut = [s[i : i + SEQUENCE] for s in text_classes(part) for i in range(0, len(s), SEQUENCE)]
                     for total, more in zip(sums, expected_counts(cut, now)):
                         total += more
             yield pd.DataFrame([r for kind, s in zip("sme", sums) for r in _slices(kind, s)], columns=["part", "sums"])
@@ -223,7 +239,7 @@ def _class_totals(batches):
     """Per task: tokens and distinct words of each class."""
     c, v = np.zeros(CLASSES), np.zeros(CLASSES)
     for pdf in batches:
-        classes = np.fromiter(map(word_class, pdf["word"]), np.int64, len(pdf))
+        classes = word_classes(pdf["word"].tolist())
         n = pdf["c"].to_numpy(np.float64)
         c += np.bincount(classes, n, CLASSES)
         v += np.bincount(classes, n > 0, CLASSES)
@@ -241,7 +257,7 @@ def _score_block(p: Parameters, floor: np.ndarray, total: int, distinct: int):
         c = counts["c"].to_numpy(np.int64)
         plus = np.log10(c + 1.0)
         number = dict(zip(counts["word"], range(len(c))))
-        classes = np.fromiter(map(word_class, counts["word"]), np.int32, len(c))
+        classes = word_classes(counts["word"].tolist())
         rows = []
         for at in range(0, len(texts), 2048):
             part = texts.iloc[at : at + 2048]

@@ -120,7 +120,8 @@ class Segmenter:
     def lattice(self, words: list[str]):
         """Edges of the words' lattices, by end node: start node, code, and the keys and log
         probabilities of a backward draw. Node numbers run over all words; a word of n characters
-        has n + 1 nodes. Also the last node of each word."""
+        has n + 1 nodes. Also the first edge into each node, and the first and last node of each
+        word."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         cps = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         word = np.repeat(np.arange(len(words)), lengths)
@@ -150,34 +151,38 @@ class Segmenter:
             if not len(at):
                 break
         s, size, code, weight = map(np.concatenate, (src, size, code, weight))
-        end_place, end = place[s] + size, node[s] + size
-        order = np.lexsort((size, end, end_place))
-        s, end, end_place, code, weight = node[s][order], end[order], end_place[order], code[order], weight[order]
+        # By end node first; edges of a node stay in order of size. Then places in turn.
+        order = np.argsort((node[s] + size).astype(np.int32), kind="stable")
+        s, size, code, weight = s[order], size[order], code[order], weight[order]
+        end_place, end, s = place[s] + size, node[s] + size, node[s]
+        longest = int(lengths.max(initial=0))
+        by_place = np.argsort(end_place.astype(np.uint16 if longest < 1 << 16 else np.int64), kind="stable")
         nodes = len(cps) + len(words)
         first = begin + np.arange(len(words))
         alpha = np.zeros(nodes)
         alpha[first] = 1.0
         chance = np.zeros(len(s))
-        bounds = np.searchsorted(end_place, np.arange(1, int(lengths.max(initial=0)) + 2))
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(end_place, minlength=longest + 1)[1:])])
         for p, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:]), start=1):
-            got = alpha[s[lo:hi]] * weight[lo:hi]
-            heads = np.flatnonzero(np.diff(end[lo:hi], prepend=-1))
+            own = by_place[lo:hi]
+            got, into = alpha[s[own]] * weight[own], end[own]
+            heads = np.flatnonzero(np.diff(into, prepend=-1))
             sums = np.add.reduceat(got, heads)
-            chance[lo:hi] = got / np.repeat(sums, np.diff(np.append(heads, hi - lo)))
-            alpha[end[lo:hi][heads]] = sums
+            chance[own] = got / np.repeat(sums, np.diff(np.append(heads, hi - lo)))
+            alpha[into[heads]] = sums
             if p % self.longest == 0:
                 longer = first[lengths > p]
                 if len(longer):
                     window = longer[:, None] + np.arange(p - self.longest + 1, p + 1)
                     alpha[window] /= alpha[window].max(axis=1, keepdims=True)
-        order = np.argsort(end, kind="stable")
-        s, end, code, chance = s[order], end[order], code[order], chance[order]
         heads = np.flatnonzero(np.diff(end, prepend=-1))
         sums = np.cumsum(chance)
         before = np.repeat(np.concatenate([[0.0], sums])[heads], np.diff(np.append(heads, len(end))))
         key = end + np.minimum(sums - before, 1.0)
-        key[np.append(heads[1:], len(end)) - 1] = end[np.append(heads[1:], len(end)) - 1] + 1.0
-        return s, code, key, np.log(np.maximum(chance, 1e-300)), first, first + lengths
+        key[np.append(heads[1:], len(end)) - 1] += 2.0  # above any draw, however it is rounded
+        lead = np.zeros(nodes, np.int32)
+        lead[end[heads]] = heads
+        return s, code, key, np.log(np.maximum(chance, 1e-300)), lead, first, first + lengths
 
     def encode(self, texts: list[str], keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         """Sampled ids of each text, and the log probability of each sample."""
@@ -191,7 +196,7 @@ class Segmenter:
                 if w not in number:
                     number[w] = len(number)
         which = np.concatenate([np.fromiter(map(number.__getitem__, words), np.int64, len(words)) for words in split])
-        src, code, key, log_chance, first, last = self.lattice(list(number))
+        src, code, key, log_chance, lead, first, last = self.lattice(list(number))
         owner = np.repeat(np.arange(len(texts)), counts)
         nth = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
         seeds = draws_key(keys, self.seed)[owner] + nth.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
@@ -199,7 +204,11 @@ class Segmenter:
         steps, total = [], np.zeros(len(texts))
         taken = np.zeros(len(which), np.int64)
         while len(active):
-            e = np.minimum(np.searchsorted(key, now + draws(seeds[active], len(steps)), side="right"), len(key) - 1)
+            e, drawn = lead[now], now + draws(seeds[active], len(steps))
+            later = np.flatnonzero(key[e] <= drawn)
+            while len(later):
+                e[later] += 1
+                later = later[key[e[later]] <= drawn[later]]
             steps.append((active, code[e]))
             total += np.bincount(owner[active], log_chance[e], len(texts))
             taken[active] += 1

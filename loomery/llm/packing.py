@@ -9,9 +9,7 @@ filled from the emptiest ones, so that a group pads one sequence at most.
 
 from __future__ import annotations
 
-import os
-import re
-import zlib
+import json
 
 import numpy as np
 import pandas as pd
@@ -22,10 +20,8 @@ CAPACITY = 2048
 END_ID = 1
 #: Expected documents in a group; each leaves at most one piece that isn't full.
 GROUP_DOCS = 4096
-#: Words whose ids a worker keeps at once.
-CACHE_WORDS = 400_000
-#: A space before one of these always starts a new word of the tokenizer.
-_SPLIT = re.compile(r" (?=[!-~À-ɏ])")
+#: Fixed value: the pattern that cuts a text before byte-level merges.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def _default_tokenizer() -> str:
@@ -37,31 +33,32 @@ def _default_tokenizer() -> str:
 class Encoder:
     """Ids of whole texts as bytes of little-endian unsigned 32-bit numbers.
 
-    The tokenizer never merges across a space that precedes a visible character, so a text is
-    encoded word by word and the ids of words are kept, up to a fixed number of them.
+    The merges run on the vocabulary read from the tokenizer's file; its special tokens are found
+    in texts as the tokenizer itself finds them.
     """
 
     def __init__(self, tokenizer_file: str | None = None):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_file or _default_tokenizer())
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        with open(tokenizer_file or _default_tokenizer(), encoding="utf-8") as f:
+            held = json.load(f)
+        byte_of = {c: b for b, c in byte_characters().items()}
+        special = {t["content"]: t["id"] for t in held["added_tokens"]}
+        ranks = {bytes(byte_of[c] for c in piece): i for piece, i in held["model"]["vocab"].items() if piece not in special}
+        self.special = special
+        self.encoding = tiktoken.Encoding("packing", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        split = [_SPLIT.split(t) for t in texts]
-        heads = self._ids([words[0] for words in split])
-        fresh = list({w for words in split for w in words[1:] if w not in known})
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            known.update(zip(part, self._ids([" " + w for w in part])))
-        return [head + b"".join([known[w] for w in words[1:]]) for head, words in zip(heads, split)]
+        to_ids = self.encoding.encode_to_numpy
+        return [to_ids(t, allowed_special="all").astype("<u4", copy=False).tobytes() for t in texts]
+
+
+def byte_characters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary: itself if it
+    is visible, else the next unused one from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(visible)]
+    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
 class Tournament:

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from . import facet_queries, filter_queries
 
-
-def _flagship(spark, sf_dir):
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.where(F.col("o_totalprice") > 1000).orderBy(F.desc("o_totalprice"), "o_orderkey").select("o_orderkey", "o_totalprice").limit(20)
+MODULES = (filter_queries, facet_queries)
 
 
 def queries():
-    return {"flagship_page": _flagship}
+    return {name: q for m in MODULES for name, q in m.queries().items()}
 
 
 def oracle_sql():
-    return {"flagship_page": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 1000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 20"}
+    return {name: sql for m in MODULES for name, sql in m.oracle_sql().items()}

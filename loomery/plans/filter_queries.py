@@ -14,6 +14,8 @@ from . import catalog
 #: Members of collection 1: items of one customer residue, or those whose path is a favourite.
 MEMBER = ("CAST(o_custkey % 4 AS BIGINT) AS collection_id", "o_orderkey AS item_id")
 TOKENS = "list_distinct(list_filter(list_transform(string_split(regexp_replace(coalesce(prompt, ''), '<[^<>]*>', '', 'g'), ','), lambda t: trim(replace(lower(regexp_replace(regexp_replace(trim(t), '^[(\\[{\\s]+|[)\\]}\\s]+$', '', 'g'), ':\\s*-?[0-9]+(\\.[0-9]+)?$', '')), '_', ' '))), lambda t: length(t) > 1))"
+#: The same in order, for prompts that repeat no token, as those of the mapping.
+ORDERED = TOKENS[len("list_distinct(") : -1]
 LORAS = "list_transform(regexp_extract_all(coalesce(prompt, ''), '<lora:([^:>]+)', 1), lambda t: lower(t))"
 DAY = "coalesce(order_time, created_at)"
 

@@ -25,6 +25,8 @@ from .common import UnionFind, components, materialize, null_as_empty
 SEED = 42
 #: An index entry with more fingerprints than this is dealt with as a block, not as pairs.
 HOT_BUCKET = 48
+#: What a probe costs (made, shuffled, sorted) for each candidate that is compared where it lies.
+PROBE_COST = 16
 #: Fingerprints of a hot entry that meet in one task: two chunks.
 CHUNK = 4096
 #: Values per partition whose counts the estimates know exactly.
@@ -115,7 +117,7 @@ def choose_m(n: int, max_bits: int) -> int:
     def cost(m):
         low, more = divmod(max_bits - m + 1, m)
         width = 64 // m
-        return sum(ball(width, low + (k < more)) * (1 + n / 2**width) for k in range(m))
+        return sum(ball(width, low + (k < more)) * (PROBE_COST + n / 2**width) for k in range(m))
 
     return min(range(1, max_bits + 2), key=cost)
 
@@ -131,7 +133,7 @@ def part_values(fp: np.ndarray, group: list[int]) -> np.ndarray:
 def allocate(values: list[np.ndarray], widths: list[int], n: int, heavy: list[tuple[np.ndarray, np.ndarray]], max_bits: int) -> np.ndarray:
     """Thresholds for each fingerprint and partition, by dynamic programming.
 
-    The cost of threshold t in a partition: one for each probed value, plus the estimated
+    The cost of threshold t in a partition: ``PROBE_COST`` for each probed value, plus the estimated
     candidates: an even spread of all fingerprints, and the counts of heavy values within t.
     """
     m, rows = len(values), len(values[0])
@@ -140,7 +142,7 @@ def allocate(values: list[np.ndarray], widths: list[int], n: int, heavy: list[tu
     best, pick = {0: np.zeros(rows)}, []
     for v, width, (known, counts) in zip(values, widths, heavy):
         near = np.bitwise_count(v[:, None] ^ known[None, :]) if len(known) else np.zeros((rows, 0), np.uint8)
-        costs = {-1: np.zeros(rows)} | {t: ball(width, t) * (1 + n / 2**width) + (near <= t) @ counts for t in choices if t >= 0}
+        costs = {-1: np.zeros(rows)} | {t: ball(width, t) * (PROBE_COST + n / 2**width) + (near <= t) @ counts for t in choices if t >= 0}
         after, chosen = {}, {}
         for s, cost in best.items():
             for t in choices:
@@ -284,7 +286,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     """
     groups = materialize(near_duplicate_groups(docs, id_col, text_col, max_bits, shingle), "groups")
     winners = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    kept = docs.join(winners, id_col, "left_semi")
+    # Ids of winners grow with the corpus, so they are never sent to all: texts are dealt by id once,
+    # at every size, and looked up in their task's winners without being sorted.
+    kept = docs.join(winners.hint("shuffle_hash"), id_col, "left_semi")
     repeated = groups.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
     if not repeated.isEmpty():
         kept = kept.dropDuplicates([id_col])

@@ -108,7 +108,7 @@ def ball(width: int, t: int) -> int:
 
 
 def masks(width: int, t: int) -> np.ndarray:
-    return np.array([sum(1 << b for b in bits) for k in range(t + 1) for bits in combinations(range(width), k)], dtype=np.int64)
+    return np.array([sum(1 << b for b in bits) for k in range(t + 1) for bits in combinations(range(width), k)], dtype=np.uint64).view(np.int64)
 
 
 def choose_m(n: int, max_bits: int) -> int:
@@ -237,7 +237,7 @@ def near_links(unique: DataFrame, max_bits: int = 4) -> DataFrame:
     m = choose_m(n, max_bits)
     groups = bit_groups(sums[:-1].reshape(64, 64), n, m)
     bits = F.col("fp")
-    value = lambda g: sum(((F.shiftrightunsigned(bits, b).bitwiseAND(F.lit(1).cast("long"))) * F.lit(1 << k) for k, b in enumerate(g)), F.lit(0).cast("long"))
+    value = lambda g: sum(((F.shiftrightunsigned(bits, b).bitwiseAND(F.lit(1).cast("long"))) * F.lit((1 << k) - (1 << 64 if k == 63 else 0)) for k, b in enumerate(g)), F.lit(0).cast("long"))
     index = unique.select(F.explode(F.array(*(F.struct(F.lit(k).alias("part"), value(g).alias("value")) for k, g in enumerate(groups)))).alias("e")).select("e.*")
     hot = materialize(index.groupBy("part", "value").count().where(F.col("count") > HOT_BUCKET), "hot-values")
     heavy = []
@@ -286,9 +286,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     """
     groups = materialize(near_duplicate_groups(docs, id_col, text_col, max_bits, shingle), "groups")
     winners = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    # Ids of winners grow with the corpus, so they are never sent to all: texts are dealt by id once,
-    # at every size, and looked up in their task's winners without being sorted.
-    kept = docs.join(winners.hint("shuffle_hash"), id_col, "left_semi")
+    kept = docs.join(winners, id_col, "left_semi")
     repeated = groups.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
     if not repeated.isEmpty():
         kept = kept.dropDuplicates([id_col])

@@ -1,9 +1,10 @@
 """License scans by a positional rare-token index, in DataFrame functions only.
 
-Templates are known licence wordings. For each file the licence words it holds with the highest
-inverse document frequency in the corpus are looked up in an index of the templates' words and
-places; places that agree on where the template would start are votes for an alignment, and an
-alignment is a match if the template's mandatory key phrase stands there word for word.
+Templates are known licence wordings. For each template whose mandatory key phrase a file may hold
+(it has all of its words), the words of the phrase with the highest inverse document frequency in
+the corpus are looked up in an index of the phrases' words and places; places that agree on where
+the template would start are votes for an alignment, and an alignment that has all its votes is a
+match if the key phrase stands there word for word. So each place of each key phrase is found.
 """
 
 from __future__ import annotations
@@ -43,8 +44,8 @@ TEMPLATES = (
 
 
 VOCABULARY = sorted({w for _, wording, _ in TEMPLATES for w in wording.split()})
-#: Words of a file that are looked up, rarest first.
-LOOKED_UP = 8
+#: Words of a template's key phrase that are looked up, rarest first; fewer would be exact too.
+LOOKED_UP = 2
 
 
 def words(text: Column) -> Column:
@@ -97,24 +98,35 @@ def document_frequencies(scanned: DataFrame) -> dict[str, int]:
     return {r["word"]: r["count"] for r in counts.collect()}
 
 
-def _index(spark) -> DataFrame:
-    """Words of the templates: ``word``, ``template``, ``at``."""
-    rows = [(w, t, k) for t, (_, wording, _) in enumerate(TEMPLATES) for k, w in enumerate(wording.split())]
-    return spark.createDataFrame(rows, "word string, template int, at int")
+def _index(frequency: dict[str, int]) -> list[tuple[str, int, int, int]]:
+    """The rarest words of the templates' key phrases: word, template, place in the template, and
+    the votes that the phrase gives where it stands."""
+    out = []
+    for t, (_, wording, phrase) in enumerate(TEMPLATES):
+        key, offset = phrase.split(), _find(wording.split(), phrase.split())
+        rarest = sorted(set(key), key=lambda w: (frequency.get(w, 0), w))[:LOOKED_UP]
+        at = [(w, k) for k, w in enumerate(key) if w in rarest]
+        out += [(w, t, offset + k, len(at)) for w, k in at]
+    return out
 
 
 def matches(scanned: DataFrame) -> DataFrame:
     """Verified alignments: ``rid``, ``label``, ``start`` (word from 0), ``score`` (share of the
     template's words that stand in place; short names count as at least eight words)."""
-    frequency = document_frequencies(scanned)
-    rank = F.create_map(*(F.lit(x) for w in VOCABULARY for x in (w, frequency.get(w, 0))))
-    rarest = F.slice(F.sort_array(F.transform("seen", lambda w: F.struct(F.element_at(rank, w).alias("n"), w.alias("w")))), 1, LOOKED_UP)
-    held = scanned.where(F.col("w").isNotNull()).select("rid", "w", F.transform(rarest, lambda r: r["w"]).alias("rarest"))
+    index = _index(document_frequencies(scanned))
+    strings = lambda words: F.array(*(F.lit(w) for w in words)).cast("array<string>")
+    wanted = []
+    for t, (_, _, phrase) in enumerate(TEMPLATES):
+        may_hold = F.size(F.array_intersect("seen", strings(sorted(set(phrase.split()))))) == len(set(phrase.split()))
+        wanted.append(F.when(may_hold, strings(sorted({w for w, u, _, _ in index if u == t}))).otherwise(strings([])))
+    held = scanned.where(F.col("w").isNotNull()).select("rid", "w", F.array_distinct(F.flatten(F.array(*wanted))).alias("rarest"))
+    held = held.where(F.size("rarest") > 0)
     at = F.filter(F.transform("w", lambda w, i: F.struct(i.alias("place"), w.alias("word"))), lambda x: F.array_contains("rarest", x["word"]))
     hits = held.select("rid", F.explode(at).alias("hit")).select("rid", "hit.place", "hit.word")
+    places_of = scanned.sparkSession.createDataFrame(index, "word string, template int, at int, need int")
     votes = (
-        hits.join(F.broadcast(_index(scanned.sparkSession)), "word")  # some hundred rows
-        .groupBy("rid", "template", (F.col("place") - F.col("at")).alias("start"))
+        hits.join(F.broadcast(places_of), "word")  # some dozen rows
+        .groupBy("rid", "template", "need", (F.col("place") - F.col("at")).alias("start"))
         .agg(F.count("*").alias("votes"))
     )
     wording = F.array(*(F.array(*(F.lit(w) for w in t.split())) for _, t, _ in TEMPLATES))
@@ -122,7 +134,7 @@ def matches(scanned: DataFrame) -> DataFrame:
     offset = F.array(*(F.lit(_find(t.split(), k.split())) for _, t, k in TEMPLATES))
     label = F.array(*(F.lit(name) for name, _, _ in TEMPLATES))
     of = lambda a: F.element_at(a, F.col("template") + 1)
-    enough = votes.where((F.col("start") + of(offset) >= 0) & ((F.size(of(wording)) <= 5) | (F.col("votes") >= 3)))
+    enough = votes.where((F.col("start") + of(offset) >= 0) & (F.col("votes") == F.col("need")))
     aligned = enough.join(held.select("rid", "w"), "rid")
     aligned = aligned.where(F.slice("w", F.col("start") + of(offset) + 1, F.size(of(key))) == of(key))
     in_place = F.size(F.filter(F.transform(of(wording), lambda t, i: F.coalesce(F.when(F.col("start") + i >= 0, F.get(F.col("w"), F.col("start") + i) == t), F.lit(False))), lambda x: x))

@@ -78,6 +78,13 @@ def test_embeddings_against_all_pairs(spark):
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want
 
 
+def test_licences_of_a_notice_file(spark):
+    wordings = [t for _, t, _ in licenses.TEMPLATES]
+    rows = [(1, " filler. ".join(wordings)), (2, "copy it under the apache license"), (3, "free and unencumbered software " * 3)]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (",".join(sorted({label for label, _, _ in licenses.TEMPLATES})), 1.0), 2: ("apache", 0.5), 3: ("unlicense", pytest.approx(4 / 11))}
+
+
 @pytest.mark.parametrize("max_bits", [0, 3, 4, 6])
 def test_simhash_links(spark, max_bits):
     draw = np.random.default_rng(max_bits)

@@ -34,13 +34,15 @@ class Encoder:
     """Ids of whole texts as bytes of little-endian unsigned 32-bit numbers.
 
     The merges run on the vocabulary read from the tokenizer's file; its special tokens are found
-    in texts as the tokenizer itself finds them.
+    in texts as the tokenizer itself finds them. Texts that tiktoken's regex gives up on (white
+    space of about a million characters on end) go to the tokenizer itself, which gives the same ids.
     """
 
     def __init__(self, tokenizer_file: str | None = None):
         import tiktoken
 
-        with open(tokenizer_file or _default_tokenizer(), encoding="utf-8") as f:
+        self.file, self.whole = tokenizer_file or _default_tokenizer(), None
+        with open(self.file, encoding="utf-8") as f:
             held = json.load(f)
         byte_of = {c: b for b, c in byte_characters().items()}
         special = {t["content"]: t["id"] for t in held["added_tokens"]}
@@ -49,8 +51,17 @@ class Encoder:
         self.encoding = tiktoken.Encoding("packing", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        to_ids = self.encoding.encode_to_numpy
-        return [to_ids(t, allowed_special="all").astype("<u4", copy=False).tobytes() for t in texts]
+        return [self._encode(t).astype("<u4", copy=False).tobytes() for t in texts]
+
+    def _encode(self, text: str) -> np.ndarray:
+        try:
+            return self.encoding.encode_to_numpy(text, allowed_special="all")
+        except ValueError:  # the regex ran out of its stack
+            if self.whole is None:
+                from tokenizers import Tokenizer
+
+                self.whole = Tokenizer.from_file(self.file)
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
 
 
 def byte_characters() -> dict[int, str]:

@@ -133,6 +133,17 @@ def test_tokenizer_agrees():
     assert packing.Encoder().encode(odd) == want
 
 
+def test_tokenizer_takes_long_white_space(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a" + " " * 2_000_000 + "b <|endoftext|>", "\n" * 1_200_000]
+    assert packing.Encoder().encode(["x", *texts])[1:] == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    rows = packing.packed(spark.createDataFrame([(1, texts[0])], "doc_id long, text string")).collect()
+    assert sum(r.length for r in rows) == rows[0].doc_tokens > 2_000_000
+
+
 PAGE = """<html><head><title>T</title><script>var a = '<p>no</p>';</script></head><body><nav><ul><li><a href=/>Home</a></li></ul></nav>
 <div class="cookie-banner">We use cookies, really, all of them.</div><div id=main><article><h1>Head &amp; tail</h1><p>First paragraph, with commas, and a good deal of text to be counted here.
 <p>Second   paragraph,&nbsp;again with commas, and also long enough to be the article's own text.</article>

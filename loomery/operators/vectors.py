@@ -42,7 +42,8 @@ def nearest(vectors: DataFrame, query: list[float], threshold: float, limit: int
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, within: str | None = None, block: int = BLOCK) -> DataFrame:
-    """All pairs ``a`` < ``b`` of cosine at least ``threshold`` (``similarity``), equal in ``within``.
+    """All pairs ``a`` < ``b`` of cosine at least ``threshold`` (``similarity``), equal in ``within``
+    where that is given; nulls of ``within`` are equal to each other.
 
     Exact: the vectors of a scope are dealt to blocks of bounded size, each pair of blocks meets in
     one task once and is multiplied there. Vectors are sent to as many tasks as there are blocks in
@@ -51,7 +52,8 @@ def similar_pairs(vectors: DataFrame, threshold: float, within: str | None = Non
     scope = F.col(within) if within else F.lit(0)
     rows = vectors.where(F.col("embedding").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("v"), scope.alias("scope"))
     sizes = rows.groupBy("scope").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, "scope").withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    sizes = sizes.withColumnRenamed("scope", "of")
+    dealt = rows.join(sizes, F.col("scope").eqNullSafe(F.col("of"))).drop("of").withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("scope", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "vec_id", "v")
 

@@ -26,8 +26,8 @@ def _near(spark, sf):
     return vectors.nearest(rows, query, 0.1, 20)
 
 
-def _pairs(spark, sf):
-    return vectors.similar_pairs(C(spark, sf, "embeddings"), 0.9, within="label")
+def _pairs(spark, sf, within=None):
+    return vectors.similar_pairs(C(spark, sf, "embeddings"), 0.9, within=within)
 
 
 def _keepers(spark, sf):
@@ -82,7 +82,8 @@ QUERIES = {
     "x18_hash_links": lambda s, d: datasets.hash_links(_hashes(s, d), 2),
     "x15_pair_cosine": lambda s, d: _near(s, d).where("vec_id < 100"),
     "j14_nearest": _near,
-    "j13_similar_pairs": lambda s, d: _pairs(s, d).select("a", "b", F.round("similarity", 6).alias("similarity")),
+    "j13_similar_pairs": lambda s, d: _pairs(s, d, "label").select("a", "b", F.round("similarity", 6).alias("similarity")),
+    "j13_all_pairs": lambda s, d: _pairs(s, d).select("a", "b", F.round("similarity", 6).alias("similarity")),
     "a34_keeper_groups": _keepers,
     "a35_duplicate_summary": lambda s, d: _keepers(s, d).agg(F.count_distinct("keeper").alias("groups"), F.count("*").alias("redundant")),
     "a33_medoids": lambda s, d: vectors.medoids(C(s, d, "embeddings").where("label IS NOT NULL"), "label"),

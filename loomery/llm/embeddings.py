@@ -148,11 +148,20 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     repeated ids are rows of their own. Other columns are not carried; an empty table gives an
     empty result.
     """
-    wide = F.transform(F.col(vector_col), lambda v: v.cast("double"))
+    # Adding 0.0 makes -0.0 into 0.0, as grouping does, so that equal vectors have equal bytes too.
+    wide = F.transform(F.col(vector_col), lambda v: v.cast("double") + F.lit(0.0))
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), wide.alias("v"))
-    finite = F.forall("v", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(1e150))) & F.exists("v", lambda v: F.abs(v) > F.lit(1e-150))
+    finite = F.forall("v", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists("v", lambda v: v != 0)
     fit = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite, F.lit(False))
     rows = rows.select("vec_id", "label", F.when(fit, F.col("v")).alias("v"))
+    # Components whose squares leave the doubles' range: the vector is scaled by its largest one
+    # (first by 2**600, so that the smallest doubles are divided exactly), which keeps its cosines.
+    # The second addition of 0.0 is for negative components that become -0.0.
+    most = F.array_max(F.transform("v", lambda v: F.abs(v)))
+    up = F.when(most < 1e-150, F.lit(2.0**600)).otherwise(F.lit(1.0))
+    rows = rows.withColumn("most", most * up).withColumn("up", up)
+    scaled = F.transform("v", lambda v: v * F.col("up") / F.col("most") + F.lit(0.0))
+    rows = rows.select("vec_id", "label", F.when((F.col("most") >= 1e150) | (F.col("up") > 1), scaled).otherwise(F.col("v")).alias("v"))
     classes = rows.where(F.col("v").isNotNull()).groupBy("label", "v").agg(F.min("vec_id").alias("cls"), F.count("*").alias("n"))
     classes = classes.select("label", "v", F.col("cls").cast("long").alias("cls"), "n")
 

@@ -69,6 +69,14 @@ def test_vectors(spark):
     assert embeddings.near_duplicates(frame.where("false")).collect() == []
 
 
+def test_negative_zeros_and_far_magnitudes(spark):
+    rows = [(1, 0, [1.0, 0.0]), (2, 0, [1.0, -0.0]), (3, 0, [1.0, -0.01]), (4, 1, [1e300, -0.0]), (5, 1, [1e200, 1e199]), (6, 1, [2.0, 0.0]), (7, 1, [1e-300, 0.0]), (8, 1, [5e-324, -0.0]), (9, 1, [0.0, 1.5e308]), (10, 1, [float("inf"), 0.0]), (11, 1, [-0.0, 0.0])]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()
+    want = {i: (2, 1) for i in (1, 2, 3)} | {i: (4, 4) for i in (4, 5, 6, 7, 8)} | {i: (0, i) for i in (9, 10, 11)}
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want
+    assert sorted(r.vec_id for r in got if r.kept) == [1, 4, 9, 10, 11]
+
+
 def test_embeddings_against_all_pairs(spark):
     draw = np.random.default_rng(3)
     base = draw.normal(size=(40, 16))

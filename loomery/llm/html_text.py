@@ -2,7 +2,8 @@
 
 The page becomes a tree. Each paragraph earns points for its length and commas and passes them to
 its ancestors, less the farther they are; a container's points are discounted by its share of link
-text. The best container is kept with those siblings that read like part of the same article.
+text. The best container is widened to its nearest article or main element, of which only junk and
+parts of links are dropped; it is kept with those siblings that read like part of the same article.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Siblings of the best container that are kept unless they are links.
+READS_ON = HEADINGS | frozenset("p ul ol dl pre blockquote table figure".split())
 #: Words in class, id or role that mark what isn't the article.
 JUNK_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
@@ -44,7 +47,8 @@ CLOSES = {
 WEIGHT = {"article": 1.5, "main": 1.3, "section": 1.1, "body": 0.9, "td": 0.9, "li": 0.7, "ul": 0.7, "ol": 0.7, "html": 0.5}
 
 
-def _is_junk(tag: str, attributes: str) -> bool:
+def _is_junk(tag: str, attributes: str, inside: bool = False) -> bool:
+    """Headings are never junk by name, nor sections of an article unless a whole name is a junk word."""
     if tag in JUNK_TAGS:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
@@ -52,7 +56,10 @@ def _is_junk(tag: str, attributes: str) -> bool:
     if _HIDDEN.search(attributes):
         return True
     for m in _NAMES.finditer(attributes):
-        if not JUNK_WORDS.isdisjoint(_WORD.findall((m[1] or m[2] or m[3] or "").lower())):
+        if tag in HEADINGS:
+            continue
+        names = (m[1] or m[2] or m[3] or "").lower()
+        if not JUNK_WORDS.isdisjoint(names.split() if inside and tag == "section" else _WORD.findall(names)):
             return True
     return False
 
@@ -117,7 +124,7 @@ class Page:
         elif tag == "a":
             self._close({"a"}, {"td", "th", "table"})
         up = self._open[-1]
-        junk = self.junk[up] or _is_junk(tag, attributes)
+        junk = self.junk[up] or _is_junk(tag, attributes, any(self.tag[n] in ("article", "main") for n in self._open))
         if tag == "header" and not junk:
             junk = not any(self.tag[n] in ("article", "main") for n in self._open)
         self.tag.append(tag)
@@ -182,11 +189,19 @@ def main_blocks(page: Page) -> list[str]:
         best = int(score.argmax())
     else:
         best = next((i for i, t in enumerate(tag) if t in ("article", "main", "body")), 0)
+    first, up = best, best
+    while up > 0 and tag[up] not in ("article", "main"):
+        up = parent[up]
+    best = up if up > 0 else best
+    holds = set()
+    while first >= 0:
+        holds.add(first)
+        first = parent[first]
     keep = {best}
     for node in range(1, n):
         if parent[node] == parent[best] and node != best and best and chars[node]:
             density = linked[node] / chars[node]
-            reads_on = tag[node] == "p" and chars[node] > 80 and density < 0.25
+            reads_on = tag[node] in READS_ON and density < 0.25
             if score[node] >= max(0.2 * score[best], 2) or reads_on or (tag[node] in ("h1", "h2") and node < best):
                 keep.add(node)
     out = []
@@ -202,6 +217,8 @@ def main_blocks(page: Page) -> list[str]:
         lists = [x for x in path if tag[x] in ("ul", "ol")]
         if lists and chars[lists[-1]] and linked[lists[-1]] / chars[lists[-1]] > 0.66:
             continue
+        if any(tag[x] in ("div", "section") and x not in holds and linked[x] / chars[x] > 0.66 for x in path):
+            continue
         out.append(text)
     return out
 

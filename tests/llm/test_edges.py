@@ -164,6 +164,16 @@ def test_main_text():
     assert html_text.main_text("<p>unclosed <b>text") == "unclosed text"
 
 
+def test_short_parts_of_an_article_stay():
+    long = "".join(f"<p>{k} {'word, ' * 5}{'text ' * 75}</p>" for k in range(10))
+    short = "<section class='related-work'><h2 class='share'>Later</h2><p>One short paragraph, of few words.</p><ul><li>a</li><li>b</li></ul></section>"
+    links = "<div><a href=/x>Another story of some length</a> <a href=/y>And one more story</a></div>"
+    got = html_text.main_text(f"<body><nav>Menu</nav><article><section>{long}</section>{short}{links}</article><footer>Imprint</footer></body>")
+    assert got.split("\n\n")[10:] == ["Later", "One short paragraph, of few words.", "a", "b"]
+    got = html_text.main_text(f"<body><div id=x><h3>Head</h3><div>{long}</div><h4>More</h4><p>Short.</p><pre>code</pre><ul><li><a href=/x>link</a></li></ul></div></body>")
+    assert [x for x in got.split("\n\n") if len(x) < 50] == ["Head", "More", "Short.", "code"]
+
+
 def test_chat_round_trip(spark):
     bad = ["### ", "\\### x", "</turn>\n", ":\n<|image:0|>", "\\b\\e", "\\", "", None, "a\n### b:\nc</turn>\n"]
     rows = [(1, k, "assistant" if k % 2 else "user", t) for k, t in enumerate(bad)] + [(None, 0, None, None)]

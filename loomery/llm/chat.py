@@ -17,6 +17,10 @@ ATTACH, CLOSE_ATTACH = "<|", "|>"
 #: What each control string is inside texts and roles; the escape character comes first.
 ESCAPES = (("\\", "\\b"), ("### ", "\\m"), ("</turn>", "\\e"), (":\n", "\\c"), ("<|", "\\o"))
 
+#: Between text parts that follow each other; it reads as nothing, and keeps the end of one and the
+#: start of the next from standing together as a control string.
+JOINT = "\\j"
+
 #: Tokens that a part takes in the model: of an image by tiles of 28 pixels, of audio by second,
 #: of a document by page.
 TILE, AUDIO_RATE, PAGE_TOKENS = 28, 25, 512
@@ -35,7 +39,7 @@ def escape(text: Column) -> Column:
 def unescape(text: Column) -> Column:
     """The text that ``escape`` was given. Each code starts with an escape character that nothing
     else can contain, so the codes are replaced in turn, the escape character's own last."""
-    out = text
+    out = F.replace(text, F.lit(JOINT), F.lit(""))
     for plain, code in reversed(ESCAPES):
         out = F.replace(out, F.lit(code), F.lit(plain))
     return out
@@ -60,13 +64,16 @@ def part_tokens(part: Column) -> Column:
 
 def flatten_parts(parts: Column) -> tuple[Column, Column, Column]:
     """Of a turn's parts: the flat text, the attachments in order (``number``, ``type``, ``ref``,
-    ``tokens``), and their tokens in all. A null part, or one of a null type, counts as empty text."""
+    ``tokens``), and their tokens in all. A null part, or one of a null type, counts as empty text.
+    Text parts in a row are kept apart by ``JOINT``, which reads as nothing."""
     parts = F.coalesce(parts, F.array().cast(f"array<{PART_TYPE}>"))
     kind = lambda p: F.coalesce(p["type"], F.lit("text"))
     others = F.filter(parts, lambda p: kind(p) != "text")
     before = lambda i: F.size(F.filter(F.slice(parts, 1, i), lambda q: kind(q) != "text"))
     mark = lambda p, i: F.concat(F.lit(ATTACH), escape(p["type"]), F.lit(":"), before(i).cast("string"), F.lit(CLOSE_ATTACH))
-    flat = F.array_join(F.transform(parts, lambda p, i: F.when(kind(p) == "text", escape(p["text"])).otherwise(mark(p, i))), "")
+    after_text = lambda i: (i > 0) & (kind(F.get(parts, i - 1)) == "text")
+    said = lambda p, i: F.concat(F.when(after_text(i), F.lit(JOINT)).otherwise(F.lit("")), escape(p["text"]))
+    flat = F.array_join(F.transform(parts, lambda p, i: F.when(kind(p) == "text", said(p, i)).otherwise(mark(p, i))), "")
     attached = F.transform(others, lambda p, i: F.struct(i.alias("number"), p["type"].alias("type"), p["ref"].alias("ref"), part_tokens(p).alias("tokens")))
     total = F.aggregate(attached, F.lit(0).cast("long"), lambda a, x: a + x["tokens"])
     return flat, attached, total
@@ -78,7 +85,8 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     ``formatted`` has all turns by ``turn`` (nulls first; ties by role, then by text), ``n_turns``
     their number, ``attachments`` the attachments with their turn's place, ``extra_tokens`` their
     tokens. A null role is empty; null parts are empty text. Turns of a null ``conv_id`` are one
-    conversation. A conversation is one row, so its turns meet in one task, as its text does.
+    conversation. Repeated turns all stay; other columns are not carried; an empty table gives an
+    empty result. A conversation is one row, so its turns meet in one task, as its text does.
     """
     flat, attached, tokens = flatten_parts(F.col("parts"))
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), flat.alias("flat"), attached.alias("attached"), tokens.alias("tokens"))

@@ -34,6 +34,8 @@ READS_ON = HEADINGS | frozenset("p ul ol dl pre blockquote table figure".split()
 JUNK_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words beside a junk word that leave a name what it is ("comment-list", "ad-slot").
+PLAIN_WORDS = frozenset("area article articles bar block body bottom box btn button buttons container content discussion footer form global header icon icons inner item items left link links list main nav outer page panel post primary reader readers right row section secondary site slot stories story text thread threads title top unit user users wrap wrapper".split())
 #: A start tag ends these open elements, up to the nearest scope.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -47,34 +49,71 @@ CLOSES = {
 WEIGHT = {"article": 1.5, "main": 1.3, "section": 1.1, "body": 0.9, "td": 0.9, "li": 0.7, "ul": 0.7, "ol": 0.7, "html": 0.5}
 
 
-def _is_junk(tag: str, attributes: str, inside: bool = False) -> bool:
-    """Headings are never junk by name, nor sections of an article unless a whole name is a junk word."""
+def _is_junk(tag: str, attributes: str, inside: bool = False) -> int:
+    """2: junk; 1: junk unless it turns out to hold most of the page's text; 0: not junk.
+
+    Forms are doubtful, as some pages stand in one, and so are elements whose names say more than a
+    junk word ("with-sidebar", "no-comments"). Headings are never junk by name, paragraphs only by a
+    name of junk words, and sections of an article only if a whole name is one.
+    """
     if tag in JUNK_TAGS:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return bool(attributes) and _HIDDEN.search(attributes) is not None and tag not in ("html", "body")
-    if _HIDDEN.search(attributes):
-        return True
+        return 1 if tag == "form" else 2
+    if not attributes:
+        return 0
+    if tag not in ("html", "body") and _HIDDEN.search(attributes):
+        return 2
+    if tag in HEADINGS or tag in ("html", "body", "article", "main"):
+        return 0
+    doubtful = 0
     for m in _NAMES.finditer(attributes):
-        if tag in HEADINGS:
-            continue
-        names = (m[1] or m[2] or m[3] or "").lower()
-        if not JUNK_WORDS.isdisjoint(names.split() if inside and tag == "section" else _WORD.findall(names)):
-            return True
-    return False
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            words = _WORD.findall(name)
+            if name in JUNK_WORDS:
+                return 2
+            if JUNK_WORDS.isdisjoint(words) or (inside and tag == "section"):
+                continue
+            if all(w in JUNK_WORDS or w in PLAIN_WORDS for w in words):
+                return 2
+            doubtful = 0 if tag == "p" else 1
+    return doubtful
 
 
 class Page:
-    """Nodes in page order with their parents, and blocks of text with the node that holds each."""
+    """Nodes in page order with their parents, and blocks of text with the node that holds each.
+
+    Junk has no blocks. ``doubt`` has each node's nearest doubtful element, itself included.
+    """
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.junk = ["#"], [-1], [False]
+        self.tag, self.parent, self.junk, self.doubt = ["#"], [-1], [False], [0]
         self.blocks: list[tuple[int, str, int]] = []
         self._open = [0]
         self._pieces: list[str] = []
         self._linked = 0
         self._links = 0
         self._read(html)
+        self._settle()
+
+    def _settle(self) -> None:
+        """Drops the blocks of doubtful elements that hold no more than half of the text outside junk."""
+        doubtful = {}
+        for node, text, _ in self.blocks:
+            d = self.doubt[node]
+            while d:
+                doubtful[d] = doubtful.get(d, 0) + len(text)
+                d = self.doubt[self.parent[d]]
+        if not doubtful:
+            return
+        whole = sum(len(text) for _, text, _ in self.blocks)
+        dropped = {d for d, n in doubtful.items() if 2 * n <= whole}
+
+        def stays(node: int) -> bool:
+            d = self.doubt[node]
+            while d and d not in dropped:
+                d = self.doubt[self.parent[d]]
+            return not d
+
+        self.blocks = [b for b in self.blocks if stays(b[0])]
 
     def _text(self, raw: str) -> None:
         if raw and not self.junk[self._open[-1]]:
@@ -124,12 +163,12 @@ class Page:
         elif tag == "a":
             self._close({"a"}, {"td", "th", "table"})
         up = self._open[-1]
-        junk = self.junk[up] or _is_junk(tag, attributes, any(self.tag[n] in ("article", "main") for n in self._open))
-        if tag == "header" and not junk:
-            junk = not any(self.tag[n] in ("article", "main") for n in self._open)
+        inside = any(self.tag[n] in ("article", "main") for n in self._open)
+        kind = 2 if self.junk[up] or (tag == "header" and not inside) else _is_junk(tag, attributes, inside)
         self.tag.append(tag)
         self.parent.append(up)
-        self.junk.append(junk)
+        self.junk.append(kind == 2)
+        self.doubt.append(len(self.tag) - 1 if kind == 1 else self.doubt[up])
         self._open.append(len(self.tag) - 1)
         self._links += tag == "a"
 

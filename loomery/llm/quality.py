@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: The white space between words, and the symbols that are counted.
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -54,22 +56,25 @@ def _words(text: Column) -> Column:
 def measurements(text: Column) -> list[tuple[str, dict[str, Column]]]:
     """Columns to add one step after the other; the last step has the measurements.
 
-    Repeated words: the hash of each window of three words is sorted together with its place (40
-    bits of hash over 24 bits of place, so that plain longs are sorted); neighbours of equal
-    leading bits are compared by their whole hashes, and the places found cover three words each.
-    A text of more than 2**24 words is hashed over 32 bits of place.
+    Repeated words: the hash of each window of three words is sorted together with its place, so
+    that equal windows always stand side by side; the places of windows that have an equal
+    neighbour cover three words each. Sorting takes plain longs of 40 leading bits of hash over 24
+    bits of place; where two windows share those bits and differ, or the places need more bits,
+    structs of the whole hash and the place are sorted in the same way.
     """
     at = lambda i: F.element_at(F.col("__w"), i)
     pick = lambda a, i: F.get(F.col(a), i)
-    place = F.when(F.col("n_words") <= (1 << 24), F.lit((1 << 24) - 1)).otherwise(F.lit((1 << 32) - 1)).cast("long")
-    prefix = lambda x: x.bitwiseAND(F.bitwise_not(F.col("__m")))
-    spot = lambda x: x.bitwiseAND(F.col("__m")).cast("int")
-
-    def same(x: Column, i: Column) -> Column:
-        near = lambda k: (prefix(pick("__s", k)) == prefix(x)) & (pick("__h", spot(pick("__s", k))) == pick("__h", spot(x)))
-        return ((i > 0) & near(i - 1)) | ((i < F.size("__s") - 1) & near(i + 1))
-
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    low = (1 << 24) - 1
+    lead = lambda x: F.shiftright(x, 24)
+    spot = lambda x: x.bitwiseAND(F.lit(low).cast("long")).cast("int")
+    equal = lambda k, j: lead(pick("__s", k)) == lead(pick("__s", j))
+    clash = F.exists(F.sequence(F.lit(1), F.size("__s") - 1), lambda k: equal(k, k - 1) & (pick("__h", spot(pick("__s", k))) != pick("__h", spot(pick("__s", k - 1)))))
+    whole = F.sort_array(F.transform(F.col("__h"), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    same = lambda a, k: ((k > 0) & F.coalesce(pick(a, k - 1)["h"] == pick(a, k)["h"], F.lit(False))) | F.coalesce(pick(a, k + 1)["h"] == pick(a, k)["h"], F.lit(False))
+    beside = lambda k: ((k > 0) & F.coalesce(equal(k, k - 1), F.lit(False))) | F.coalesce(equal(k, k + 1), F.lit(False))
+    by_lead = F.transform(F.filter(F.col("__s"), lambda x, k: beside(k)), spot)
+    by_hash = F.transform(F.filter(F.col("__x"), lambda x, k: same("__x", k)), lambda x: x["i"])
+    none = F.array().cast("array<bigint>")
     return [
         ("words", {"__t": F.coalesce(text, F.lit(""))}),
         ("split", {"__w": _words(F.col("__t")), "__l": F.filter(F.split(F.col("__t"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))}),
@@ -79,11 +84,11 @@ def measurements(text: Column) -> list[tuple[str, dict[str, Column]]]:
             "n_symbols": (F.char_length(F.col("__t")) - F.char_length(F.translate(F.col("__t"), SYMBOLS, ""))).cast("long"),
             "n_lines": F.size("__l").cast("long"),
             "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
-            "__h": F.when(F.size("__w") < 3, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size("__w") - 2, F.lit(1))), lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2)))),
+            "__h": F.when(F.size("__w") < 3, none).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size("__w") - 2, F.lit(1))), lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2)))),
         }),
-        ("mask", {"__m": place}),
-        ("sorted", {"__s": F.sort_array(F.transform(F.col("__h"), lambda h, i: prefix(h).bitwiseOR(i.cast("long"))))}),
-        ("found", {"__p": F.sort_array(F.transform(F.filter(F.col("__s"), same), spot))}),
+        ("sorted", {"__s": F.when(F.size("__h") <= low, F.sort_array(F.transform(F.col("__h"), lambda h, i: h.bitwiseAND(F.lit(~low).cast("long")).bitwiseOR(i.cast("long"))))).otherwise(none)}),
+        ("whole", {"__x": F.when((F.size("__h") > low) | ((F.size("__s") > 1) & clash), whole)}),
+        ("found", {"__p": F.sort_array(F.when(F.col("__x").isNull(), by_lead).otherwise(by_hash))}),
         ("done", {"n_repeat_words": F.when(F.size("__p") == 0, F.lit(0).cast("long")).otherwise(
             F.aggregate(F.transform(F.col("__p"), lambda p, i: F.coalesce(F.least(F.get(F.col("__p"), i + 1) - p, F.lit(3)), F.lit(3))), F.lit(0).cast("long"), lambda a, x: a + x))}),
     ]
@@ -107,8 +112,12 @@ def ledger(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFram
     failed = bits[0]
     for b in bits[1:]:
         failed = failed.bitwiseOR(b)
-    # The task's number keeps later filters on the bits above the measurements; below, they would repeat them.
-    return out.select("row", *MEASURES, F.when(F.spark_partition_id() >= 0, failed.cast("long")).alias("failed"))
+    return out.select("row", *MEASURES, failed.cast("long").alias("failed"))
+
+
+def stored(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The ledger, written once: policies and ablations read its bits and never a text."""
+    return materialize(ledger(docs, keep, text_col), "quality-ledger")
 
 
 def apply_policy(entries: DataFrame, version: str = "v2") -> DataFrame:
@@ -133,14 +142,16 @@ def ablations(entries: DataFrame, version: str = "v2") -> DataFrame:
 
 
 def keep_good(docs: DataFrame, version: str = "v2", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that the policy rejects; all columns stay as they are."""
-    entries = apply_policy(ledger(docs, docs.columns, text_col), version)
-    # A column with the task's number keeps the filter above the measurements; below, it would repeat them.
-    return entries.select("row", F.when(F.col("kept"), F.spark_partition_id() >= 0).alias("stays")).where("stays").select("row.*")
+    """``docs`` without the rows that the policy rejects; all columns stay as they are.
+
+    Null and empty texts have no words and are rejected (few words). Rows are judged one by one, so
+    repeated rows stay or go together; an empty table gives an empty result.
+    """
+    return apply_policy(stored(docs, docs.columns, text_col), version).where("kept").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    entries = apply_policy(ledger(docs, ["doc_id"]))
+    entries = apply_policy(stored(docs, ["doc_id"]))
     base = F.col("failed").bitwiseAND(F.lit(mask(BASE_RULES))) != 0
     return entries.select(F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (F.col("kept") & ~base).alias("kept"), "n_lines", "failed")

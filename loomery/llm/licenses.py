@@ -26,24 +26,46 @@ BASE = (
 #: Label, licence wording, mandatory key phrase in it.
 TEMPLATES = (
     ("gpl", "gnu general public license", "gnu general public license"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gnu general public license"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", "gnu general public license"),
     ("lgpl", "gnu lesser general public license", "gnu lesser general public license"),
+    ("lgpl", "gnu library general public license", "gnu library general public license"),
     ("agpl", "gnu affero general public license", "gnu affero general public license"),
+    ("gfdl", "gnu free documentation license", "gnu free documentation license"),
     ("apache", "apache license", "apache license"),
-    ("apache", "licensed under the apache license version 2 0", "apache license"),
+    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "apache license"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "unless required by applicable law or agreed to in writing software"),
     ("mit", "mit license", "mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "to any person obtaining a copy of this software"),
+    ("bsl", "boost software license", "boost software license"),
+    ("bsl", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "any person or organization obtaining a copy of the software"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "endorse or promote products derived from this software"),
+    ("bsd", "bsd 2 clause license", "bsd 2 clause"),
     ("bsd", "bsd 3 clause license", "bsd 3 clause"),
     ("mpl", "mozilla public license", "mozilla public license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose", "permission to use copy modify"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", "source code form is subject to the terms"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "permission to use copy modify"),
+    ("isc", "isc license", "isc license"),
     ("cc-by", "cc by", "cc by"),
     ("cc-by", "creative commons attribution", "creative commons attribution"),
+    ("cc-by-sa", "creative commons attribution sharealike", "creative commons attribution sharealike"),
+    ("cc-by-sa", "cc by sa", "cc by sa"),
+    ("cc0", "creative commons zero", "creative commons zero"),
+    ("cc0", "to the extent possible under law the person who associated cc0 with this work has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "will the authors be held liable for any damages"),
+    ("epl", "eclipse public license", "eclipse public license"),
+    ("eupl", "european union public licence", "european union public licence"),
+    ("cddl", "common development and distribution license", "common development and distribution license"),
+    ("artistic", "artistic license", "artistic license"),
+    ("ofl", "sil open font license", "sil open font license"),
+    ("psf", "python software foundation license", "python software foundation license"),
 )
 
 
-VOCABULARY = sorted({w for _, wording, _ in TEMPLATES for w in wording.split()})
+#: The words of the key phrases; the base phrases are among these.
+PHRASES = tuple(dict.fromkeys(phrase for _, _, phrase in TEMPLATES))
+VOCABULARY = sorted({w for phrase in PHRASES for w in phrase.split()})
 #: Words of a template's key phrase that are looked up, rarest first; fewer would be exact too.
 LOOKED_UP = 2
 
@@ -69,14 +91,25 @@ def places(phrase: str, array: str = "w") -> Column:
     return F.filter(starts, holds)
 
 
+def _strings(words) -> Column:
+    return F.array(*(F.lit(w) for w in words)).cast("array<string>")
+
+
+def whole_phrases() -> Column:
+    """Numbers of the phrases of which the text holds every word (``seen``)."""
+    wanted = F.array(*(_strings(sorted(set(p.split()))) for p in PHRASES))
+    numbers = F.array(*(F.lit(k) for k in range(len(PHRASES))))
+    return F.filter(numbers, lambda k: F.size(F.array_except(F.get(wanted, k), F.col("seen"))) == 0)
+
+
 def base_scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per row: ``rid``, the id, ``n_words``, the base columns, the licence words it holds
-    (``seen``), and all its words where the text has an anchor (else null)."""
+    """Per row: ``rid``, the id, ``n_words``, the base columns, the key phrases' words it holds
+    (``seen``), the phrases it holds all words of, and all its words if there are any (else null)."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
-    anchored = F.exists("w", lambda w: w.isin(sorted({p.split()[0] for p, _ in BASE} | {k.split()[0] for _, _, k in TEMPLATES})))
-    rows = rows.select("rid", "doc_id", "w", anchored.alias("anchored"))
-    found = [F.when(F.col("anchored"), places(p)).otherwise(F.array().cast("array<int>")).alias(f"p{k}") for k, (p, _) in enumerate(BASE)]
-    rows = rows.select("rid", "doc_id", "w", "anchored", *found)
+    rows = rows.select("rid", "doc_id", "w", F.array_distinct(F.filter("w", lambda w: w.isin(VOCABULARY))).alias("seen"))
+    rows = rows.select("rid", "doc_id", "w", "seen", whole_phrases().alias("phrases"))
+    found = [F.when(F.array_contains("phrases", PHRASES.index(p)), places(p)).otherwise(F.array().cast("array<int>")).alias(f"p{k}") for k, (p, _) in enumerate(BASE)]
+    rows = rows.select("rid", "doc_id", "w", "seen", "phrases", *found)
     every = F.flatten(F.array(*(F.col(f"p{k}") for k in range(len(BASE)))))
     labels = F.array_compact(F.array(*(F.when(F.size(f"p{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(BASE))))
     return rows.select(
@@ -87,13 +120,14 @@ def base_scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.array_min(every).cast("long").alias("first_word"),
         F.array_max(every).cast("long").alias("last_word"),
         labels.alias("base"),
-        F.array_distinct(F.filter("w", lambda w: w.isin(VOCABULARY))).alias("seen"),
-        F.when(F.col("anchored"), F.col("w")).alias("w"),
+        "seen",
+        "phrases",
+        F.when(F.size("phrases") > 0, F.col("w")).alias("w"),
     )
 
 
 def document_frequencies(scanned: DataFrame) -> dict[str, int]:
-    """In how many rows each licence word occurs; the vocabulary bounds the result."""
+    """In how many rows each word of the key phrases occurs; the vocabulary bounds the result."""
     counts = scanned.select(F.explode("seen").alias("word")).groupBy("word").count()
     return {r["word"]: r["count"] for r in counts.collect()}
 
@@ -114,13 +148,8 @@ def matches(scanned: DataFrame) -> DataFrame:
     """Verified alignments: ``rid``, ``label``, ``start`` (word from 0), ``score`` (share of the
     template's words that stand in place; short names count as at least eight words)."""
     index = _index(document_frequencies(scanned))
-    strings = lambda words: F.array(*(F.lit(w) for w in words)).cast("array<string>")
-    wanted = []
-    for t, (_, _, phrase) in enumerate(TEMPLATES):
-        may_hold = F.size(F.array_intersect("seen", strings(sorted(set(phrase.split()))))) == len(set(phrase.split()))
-        wanted.append(F.when(may_hold, strings(sorted({w for w, u, _, _ in index if u == t}))).otherwise(strings([])))
-    held = scanned.where(F.col("w").isNotNull()).select("rid", "w", F.array_distinct(F.flatten(F.array(*wanted))).alias("rarest"))
-    held = held.where(F.size("rarest") > 0)
+    rare = F.array(*(_strings(sorted({w for w, t, _, _ in index if TEMPLATES[t][2] == phrase})) for phrase in PHRASES))
+    held = scanned.where(F.col("w").isNotNull()).select("rid", "w", F.array_distinct(F.flatten(F.transform("phrases", lambda k: F.get(rare, k)))).alias("rarest"))
     at = F.filter(F.transform("w", lambda w, i: F.struct(i.alias("place"), w.alias("word"))), lambda x: F.array_contains("rarest", x["word"]))
     hits = held.select("rid", F.explode(at).alias("hit")).select("rid", "hit.place", "hit.word")
     places_of = scanned.sparkSession.createDataFrame(index, "word string, template int, at int, need int")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import UnionFind, components, materialize, null_as_empty
+from .common import UnionFind, components, materialize, null_as_empty, spread_join
 
 SEED = 42
 #: An index entry with more fingerprints than this is dealt with as a block, not as pairs.
@@ -189,39 +189,48 @@ def _entries(groups, n, heavy, max_bits):
     return of
 
 
-def link_block(fp: np.ndarray, side: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+def link_block(fp: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     """Links that connect what is connected among fingerprints of one block: a forest, never all pairs.
 
-    Fingerprints gather around leaders within ``max_bits``; members of two leaders can be linked
-    only if the leaders are within three times that, and are compared only while the two are not
-    connected yet. ``side`` is unused beyond documentation of the chunk of each row.
+    Fingerprints gather around leaders within ``max_bits``. A leader alone can be linked only to
+    members of a leader within twice that, and members of two leaders only if these are within
+    three times that; they are compared only while the two are not connected yet. Leaders are
+    never linked to each other, so two leaders alone need no look.
     """
     fp = np.unique(fp.view(np.uint64))
-    links, leaders, members = UnionFind(), [], []
-    index = np.arange(len(fp))
-    left = index
+    links, alone, leaders, members = UnionFind(), [], [], []
     edges: list[tuple[int, int]] = []
+
+    def join(x: int, y: int) -> None:
+        if links.link(x, y):
+            edges.append((x, y))
+
+    left = np.arange(len(fp))
     while len(left):
         d = np.bitwise_count(fp[left] ^ fp[left[0]])
         own = left[d <= max_bits]
-        for x in own[1:].tolist():
-            links.link(int(own[0]), x)
-            edges.append((int(own[0]), x))
-        leaders.append(left[0])
-        members.append(own)
+        if len(own) == 1:
+            alone.append(int(own[0]))
+        else:
+            for x in own[1:].tolist():
+                join(int(own[0]), x)
+            leaders.append(int(own[0]))
+            members.append(own)
         left = left[d > max_bits]
-    heads = fp[np.array(leaders, dtype=np.int64)] if leaders else fp[:0]
-    for i in range(len(leaders)):
+    single, heads = np.array(alone, np.int64), fp[np.array(leaders, np.int64)]
+    for i, own in enumerate(members):
+        close = single[np.bitwise_count(fp[single] ^ heads[i]) <= 2 * max_bits]
+        for at in range(0, len(own), 512):
+            near = np.bitwise_count(fp[own[at : at + 512], None] ^ fp[close][None, :]) <= max_bits
+            for k in np.flatnonzero(near.any(axis=0)).tolist():
+                join(int(own[at + near[:, k].argmax()]), int(close[k]))
         for j in (np.flatnonzero(np.bitwise_count(heads[i + 1 :] ^ heads[i]) <= 3 * max_bits) + i + 1).tolist():
-            if links.root(int(leaders[i])) == links.root(int(leaders[j])):
+            if links.root(leaders[i]) == links.root(leaders[j]):
                 continue
-            a, b = members[i], members[j]
-            for at in range(0, len(a), 512):
-                hit = np.argwhere(np.bitwise_count(fp[a[at : at + 512], None] ^ fp[b][None, :]) <= max_bits)
+            for at in range(0, len(own), 512):
+                hit = np.argwhere(np.bitwise_count(fp[own[at : at + 512], None] ^ fp[members[j]][None, :]) <= max_bits)
                 if len(hit):
-                    x, y = int(a[at + hit[0][0]]), int(b[hit[0][1]])
-                    links.link(x, y)
-                    edges.append((x, y))
+                    join(int(own[at + hit[0][0]]), int(members[j][hit[0][1]]))
                     break
     return [(int(fp[x].astype(np.int64)), int(fp[y].astype(np.int64))) for x, y in edges]
 
@@ -253,14 +262,28 @@ def near_links(unique: DataFrame, max_bits: int = 4) -> DataFrame:
     sized = hot.withColumn("chunks", F.ceil(F.col("count") / CHUNK).cast("int")).select("part", "value", "chunks")
     inside = entries.join(F.broadcast(sized) if few else sized, ["part", "value"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     inside = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    inside = inside.select("part", "value", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "fp")
+    inside = inside.select("part", "value", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp")
+    # Blocks cost by the square of their rows, so they are dealt by their number, not by bytes.
+    blocks = sized.agg(F.sum(F.col("chunks") * (F.col("chunks") + 1) / 2)).first()[0] or 0
+    tasks = max(int(unique.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(blocks) // 16)
+    inside = inside.repartition(tasks, "part", "value", "lo", "hi")
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(link_block(pdf["fp"].to_numpy(np.int64), pdf["own"].to_numpy(), max_bits), columns=["a", "b"], dtype="int64")
+        return pd.DataFrame(link_block(pdf["fp"].to_numpy(np.int64), max_bits), columns=["a", "b"], dtype="int64")
 
     return found.union(inside.groupBy("part", "value", "lo", "hi").applyInPandas(block, "a long, b long"))
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, max_bits: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (``doc_id``, ``fp``), and distinct fingerprints with their smallest id (``least``), the
+    rows that have them (``n``) and the root of their group."""
+    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), fingerprint_udf(shingle)(F.col(text_col)).alias("fp")), "fingerprints")
+    unique = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "unique-fingerprints")
+    linked = components(near_links(unique, max_bits), "simhash-links")
+    rooted = unique.join(linked, unique["fp"] == linked["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    return rows, materialize(rooted, "rooted-fingerprints")
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 4, shingle: int = 4) -> DataFrame:
     """Fingerprint and group of every row: ``id_col``, ``fp`` (long), ``component_id``.
 
@@ -269,33 +292,40 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     link with each other. Repeated rows each get a row; other columns are not carried. An empty
     table gives an empty result.
     """
-    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), fingerprint_udf(shingle)(F.col(text_col)).alias("fp")), "fingerprints")
-    unique = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "unique-fingerprints")
-    linked = components(near_links(unique, max_bits), "simhash-links")
-    with_root = unique.join(linked, unique["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = with_root.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = with_root.join(smallest, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(F.col("doc_id").alias(id_col), "fp", "component_id")
+    rows, rooted = _grouped(docs, id_col, text_col, max_bits, shingle)
+    sizes = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("fps"))
+    named = spread_join(rooted, sizes, ["root"], "fps").select("fp", "n", "component_id")
+    return spread_join(rows, named, ["fp"], "n").select(F.col("doc_id").alias(id_col), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 4, shingle: int = 4) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that of the smallest id.
 
-    Rows without an id are kept if their group has none with an id; of rows that repeat an id one
-    stays. All columns are kept.
+    Rows without an id are kept only if their group has none with an id. If several rows of a group
+    have its smallest id (or none has one), the one of the smallest fingerprint stays, and of equal
+    fingerprints the one of the smallest text (nulls first). Rows that repeat an id in different
+    groups stay in each. All columns are kept; an empty table gives an empty result.
     """
-    groups = materialize(near_duplicate_groups(docs, id_col, text_col, max_bits, shingle), "groups")
-    winners = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    rows, rooted = _grouped(docs, id_col, text_col, max_bits, shingle)
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("without"), "least", "fp")).alias("w"))
+    winners = materialize(first.select(F.col("w.least").alias("doc_id"), F.col("w.fp").alias("fp")), "winners")
+    with_id = winners.where(F.col("doc_id").isNotNull())
     # Ids of winners grow with the corpus, so they are never sent to all: texts are dealt by id once,
     # at every size, and looked up in their task's winners without being sorted.
-    kept = docs.join(winners.hint("shuffle_hash"), id_col, "left_semi")
-    repeated = groups.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
-    if not repeated.isEmpty():
-        kept = kept.dropDuplicates([id_col])
-    if not groups.where(F.col(id_col).isNull() & F.col("component_id").isNull()).isEmpty():
-        orphan = docs.where(F.col(id_col).isNull()).withColumn("__fp", fingerprint_udf(shingle)(F.col(text_col)))
-        free = groups.where(F.col("component_id").isNull()).select(F.col("fp").alias("__fp")).distinct()
-        kept = kept.unionByName(orphan.join(free, "__fp", "left_semi").dropDuplicates(["__fp"]).drop("__fp"))
+    kept = docs.join(with_id.select(F.col("doc_id").alias(id_col)).distinct().hint("shuffle_hash"), id_col, "left_semi").select(*docs.columns)
+
+    def one_each(some: DataFrame, chosen: DataFrame) -> DataFrame:
+        packed = some.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("doc_id"), fingerprint_udf(shingle)(F.col(text_col)).alias("fp"))
+        single = packed.groupBy("doc_id", "fp").agg(F.min_by("row", F.struct(F.col(f"row.`{text_col}`"))).alias("row"))
+        here = chosen.select(F.col("doc_id").alias("d"), F.col("fp").alias("f"))
+        return single.join(here, single["doc_id"].eqNullSafe(here["d"]) & (single["fp"] == here["f"]), "left_semi").select("row.*")
+
+    repeated = rows.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
+    if not repeated.isEmpty():  # an id alone doesn't name a row: fingerprints tell the winners apart
+        kept = one_each(kept, with_id)
+    without = winners.where(F.col("doc_id").isNull())
+    if not without.isEmpty():
+        kept = kept.unionByName(one_each(docs.where(F.col(id_col).isNull()), without))
     return kept
 
 

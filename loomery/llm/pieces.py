@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import null_id, whole_id
+
 #: UTF-8 characters of text whose lattices are built at once.
 BATCH_CHARS = 3_000_000
 #: Weight of a byte piece, as the rank of a piece that is seldom seen.
@@ -26,6 +28,7 @@ SPELT = 1 << 20
 _WORD = re.compile(r" *[^ ]+| +")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _HASH = np.uint64(0x100000001B3)
+_ALL_BITS = (1 << 64) - 1
 
 
 def _default_model() -> str:
@@ -36,7 +39,7 @@ def _default_model() -> str:
 
 def draws(keys: np.ndarray, step: int) -> np.ndarray:
     """Numbers in [0, 1) from hashed keys."""
-    z = keys + _MIX * np.uint64(step + 1)
+    z = keys + np.uint64(int(_MIX) * (step + 1) & _ALL_BITS)
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
@@ -242,7 +245,7 @@ class Segmenter:
 
 
 def draws_key(keys: np.ndarray, seed: np.uint64) -> np.ndarray:
-    z = (keys.astype(np.int64).view(np.uint64) ^ (seed * _MIX)) * np.uint64(0xFF51AFD7ED558CCD)
+    z = (keys.astype(np.int64).view(np.uint64) ^ np.uint64(int(seed) * int(_MIX) & _ALL_BITS)) * np.uint64(0xFF51AFD7ED558CCD)
     return z ^ (z >> np.uint64(33))
 
 
@@ -254,18 +257,18 @@ def _encode(model_file: str | None, alpha: float, seed: int, check: bool):
         segmenter = segmenter or Segmenter(model_file, alpha, seed)
         for pdf in batches:
             texts = ["" if t is None or t != t else t for t in pdf["text"]]
-            keys = pdf["doc_id"].fillna(0).to_numpy(np.int64)
+            keys = pdf["doc_id"].to_numpy(np.int64)
             sizes = np.cumsum([len(t) for t in texts])
             for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(sizes // BATCH_CHARS)) + 1):
                 if not len(part):
                     continue
                 own = [texts[i] for i in part]
                 ids, chance = segmenter.encode(own, keys[part])
-                out = pdf.iloc[part][["doc_id"]].copy()
+                out = pdf.iloc[part][["doc_id", "absent"]].copy()
                 out["ids"] = [x.astype("<u4").tobytes() for x in ids]
                 out["log_prob"] = chance
                 out["lossless"] = [segmenter.decode(x) == t for x, t in zip(ids, own)] if check else None
-                yield out.astype({"doc_id": "Int64"})
+                yield out
 
     return of
 
@@ -277,8 +280,9 @@ def sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     Null and empty texts have no pieces. A null id samples as id 0; rows that repeat an id and a
     text have equal samples. Other columns are not carried. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(_encode(model_file, alpha, seed, check), "doc_id long, ids binary, log_prob double, lossless boolean")
+    rows = docs.select(*whole_id(id_col), F.col(text_col).alias("text"))
+    found = rows.mapInPandas(_encode(model_file, alpha, seed, check), "doc_id long, absent boolean, ids binary, log_prob double, lossless boolean")
+    return found.select(null_id(), "ids", "log_prob", "lossless")
 
 
 def decoded(encoded: DataFrame, model_file: str | None = None) -> DataFrame:
@@ -289,9 +293,9 @@ def decoded(encoded: DataFrame, model_file: str | None = None) -> DataFrame:
         nonlocal segmenter
         segmenter = segmenter or Segmenter(model_file)
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [segmenter.decode(np.frombuffer(b, "<u4")) for b in pdf["ids"]]}).astype({"doc_id": "Int64"})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "absent": pdf["absent"], "text": [segmenter.decode(np.frombuffer(b, "<u4")) for b in pdf["ids"]]})
 
-    return encoded.select("doc_id", "ids").mapInPandas(of, "doc_id long, text string")
+    return encoded.select(*whole_id("doc_id"), "ids").mapInPandas(of, "doc_id long, absent boolean, text string").select(null_id(), "text")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -18,15 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc32, materialize, null_as_empty
+from .common import id_crc32, materialize, null_as_empty, null_id, spread_join, whole_id
 
 STATES = 6
 CLASSES = 4096
 ITERATIONS = 3
-#: Tokens of a training sequence; longer texts are several sequences, each of them whole.
+#: Tokens of a training run; a longer text is several runs, the later of which begin in the states
+#: that the model is in on average, and don't count as starts.
 SEQUENCE = 512
-#: UTF-8 bytes of text whose words and counts meet in one task.
-BLOCK_BYTES = 16 << 20
+#: UTF-8 bytes of text whose words and counts meet in one task: at most, and, while there are few
+#: blocks, at least.
+BLOCK_BYTES, SMALL_BLOCK_BYTES, FEW_BLOCKS = 16 << 20, 2 << 20, 64
 END = b""
 LOG10 = np.log(10)
 
@@ -128,9 +130,21 @@ def log_likelihoods(sequences: list[np.ndarray], p: Parameters) -> np.ndarray:
     return out
 
 
-def expected_counts(sequences: list[np.ndarray], p: Parameters) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch counts of starts, moves and emissions, and the log likelihood."""
+def lasting(move: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """The states that a chain is in on average, far from its start."""
+    share = np.full(len(move), 1 / len(move))
+    for _ in range(rounds):
+        share = share @ move
+    return share / share.sum()
+
+
+def expected_counts(sequences: list[np.ndarray], p: Parameters, starts_text: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts of starts, moves and emissions, and the log likelihood. Only sequences that
+    start a text (all, by default) begin in the start states and count as starts."""
     order, lengths, active = _by_length(sequences)
+    opens = np.ones(len(sequences), bool) if starts_text is None else np.asarray(starts_text, bool)
+    opens = opens[order]
+    begin = np.where(opens[:, None], p.start[None, :], lasting(p.move)[None, :])
     emit = np.ascontiguousarray(p.emit.T)
     padded = np.concatenate([sequences[i] for i in order])
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
@@ -138,7 +152,7 @@ def expected_counts(sequences: list[np.ndarray], p: Parameters) -> tuple[np.ndar
     alphas, scales, at = [], [], []
     for t, n in enumerate(active):
         classes = padded[starts[:n] + t]
-        alpha = (p.start[None, :] if t == 0 else alphas[-1][:n] @ p.move) * emit[classes]
+        alpha = (begin if t == 0 else alphas[-1][:n] @ p.move) * emit[classes]
         scale = alpha.sum(axis=1)
         alphas.append(alpha / scale[:, None])
         scales.append(scale)
@@ -155,7 +169,7 @@ def expected_counts(sequences: list[np.ndarray], p: Parameters) -> tuple[np.ndar
             moved += alphas[t - 1][:n].T @ ahead
             beta = ahead @ p.move.T
         else:
-            begun += gamma.sum(axis=0)
+            begun += gamma[opens].sum(axis=0)
     return begun, moved * p.move, emitted.T, float(sum(np.log(s).sum() for s in scales))
 
 
@@ -201,8 +215,8 @@ def train(texts: DataFrame, base: np.ndarray, iterations: int = ITERATIONS) -> P
             for pdf in _batches_of(batches):
                 texts = null_as_empty(pdf["text"])
                 for part in (texts[i : i + 512] for i in range(0, len(texts), 512)):
-                    cut = [s[i : i + SEQUENCE] for s in text_classes(part) for i in range(0, len(s), SEQUENCE)]
-                    for total, more in zip(sums, expected_counts(cut, now)):
+                    cut = [(s[i : i + SEQUENCE], i == 0) for s in text_classes(part) for i in range(0, len(s), SEQUENCE)]
+                    for total, more in zip(sums, expected_counts([c for c, _ in cut], now, [first for _, first in cut])):
                         total += more
             yield pd.DataFrame([r for kind, s in zip("sme", sums) for r in _slices(kind, s)], columns=["part", "sums"])
 
@@ -266,16 +280,15 @@ def _score_block(p: Parameters, floor: np.ndarray, total: int, distinct: int):
                 words = tokens(text)
                 ids.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
             hidden = log_likelihoods([classes[i] for i in ids], p) / LOG10
-            for doc_id, learnt, i, h in zip(part["doc_id"], part["learnt"], ids, hidden):
+            for doc_id, absent, learnt, i, h in zip(part["doc_id"], part["absent"], part["learnt"], ids, hidden):
                 words = plus[i].sum()
-                rows.append((doc_id, not learnt, len(i), int((c[i] > 0).sum()), total, words - len(i) * base_floor, h + words - floor[classes[i]].sum()))
-        out = pd.DataFrame(rows, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-        return out.astype({"doc_id": "Int64"})
+                rows.append((doc_id, absent, not learnt, len(i), int((c[i] > 0).sum()), total, words - len(i) * base_floor, h + words - floor[classes[i]].sum()))
+        return pd.DataFrame(rows, columns=["doc_id", "absent", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return of
 
 
-_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_SCORES = "doc_id long, absent boolean, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", iterations: int = ITERATIONS) -> DataFrame:
@@ -285,21 +298,24 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", itera
     and are scored one by one; other columns are not carried. Without training texts, every word
     is unknown and N and V are 0; an empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), learns(id_col).alias("learnt"))
+    rows = docs.select(*whole_id(id_col), F.coalesce(text_col, F.lit("")).alias("text"), learns(id_col).alias("learnt"))
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
+    blocks = max(1, -(-size // BLOCK_BYTES), min(FEW_BLOCKS, -(-size // SMALL_BLOCK_BYTES)))
     rows = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
     rows = materialize(rows, "language-model-texts")
     dictionary = rows.select("block", "text", "learnt").mapInArrow(_dictionary, "block int, word binary, n long")
     dictionary = materialize(dictionary.groupBy("block", "word").agg(F.sum("n").alias("n")), "language-model-words")
-    counts = materialize(dictionary.groupBy("word").agg(F.sum("n").alias("c")), "language-model-counts")
+    counts = materialize(dictionary.groupBy("word").agg(F.sum("n").alias("c"), F.count("*").alias("blocks")), "language-model-counts")
     sums = _summed(counts.mapInPandas(_class_totals, "part string, sums binary"))
     c, v = sums.get("c", np.zeros(CLASSES)), sums.get("v", np.zeros(CLASSES))
     total, distinct = int(c.sum()), int(v.sum())
     p = train(rows.where("learnt").select("text"), (c + 0.5) / (c + 0.5).sum(), iterations)
-    of_block = dictionary.join(counts, "word").select("block", "word", "c")
-    scored = rows.select("block", "doc_id", "text", "learnt").groupBy("block").cogroup(of_block.groupBy("block"))
-    return scored.applyInPandas(_score_block(p, np.log10(c + v + 1), total, distinct), _SCORES)
+    of_block = spread_join(dictionary, counts, ["word"], "blocks").select("block", "word", "c")
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks)
+    texts = rows.select("block", "doc_id", "absent", "text", "learnt").repartition(tasks, "block")
+    scored = texts.groupBy("block").cogroup(of_block.repartition(tasks, "block").groupBy("block"))
+    scored = scored.applyInPandas(_score_block(p, np.log10(c + v + 1), total, distinct), _SCORES)
+    return scored.select(null_id(), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Packing of tokenized documents into fixed-length sequences by first-fit decreasing.
 
 Documents are tokenized once, where they lie, and cut into pieces of at most ``capacity`` tokens;
-full pieces are sequences of their own. The rest goes to randomised groups of a bounded expected
-size, and in each group a tournament tree over the bins' free room finds the first bin that fits a
+full pieces are sequences of their own and are never shuffled. The rest goes to randomised groups of
+a bounded expected number of tokens, and in each group a tournament tree over the bins' free room finds the first bin that fits a
 piece in logarithmic time. As pieces may be cut, the room that is left in full-looking bins is then
 filled from the emptiest ones, so that a group pads one sequence at most.
 """
@@ -16,10 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, null_as_empty, null_id, whole_id
+
 CAPACITY = 2048
 END_ID = 1
-#: Expected documents in a group; each leaves at most one piece that isn't full.
-GROUP_DOCS = 4096
+#: Expected tokens in a group of pieces that aren't full.
+GROUP_TOKENS = 1 << 21
 #: Fixed value: the pattern that cuts a text before byte-level merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -146,12 +148,12 @@ def pack(pieces: list[tuple[int, int, int]], capacity: int) -> list[list[tuple[i
     return [b for b in bins if b]
 
 
-_PIECE = "doc_id long, doc_tokens long, start long, ids binary, grp long"
-_OUT = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+_PIECE = "doc_id long, absent boolean, doc_tokens long, start long, length long, ids binary, lot long"
+_OUT = "doc_id long, absent boolean, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-def _cut(groups: int, capacity: int, tokenizer_file: str | None, seed: int):
-    """Per task: each document's ids and its pieces, each dealt to a random group."""
+def _cut(capacity: int, tokenizer_file: str | None, seed: int):
+    """Per task: each document's ids and its pieces, each with a random number for its group."""
     from pyspark import TaskContext
 
     encoder = None
@@ -165,56 +167,51 @@ def _cut(groups: int, capacity: int, tokenizer_file: str | None, seed: int):
             for at in range(0, len(pdf), 256):
                 part = pdf.iloc[at : at + 256]
                 rows = []
-                texts = ["" if t is None or t != t else t for t in part["text"]]
-                for doc_id, ids in zip(part["doc_id"], encoder.encode(texts)):
+                for doc_id, absent, ids in zip(part["doc_id"], part["absent"], encoder.encode(null_as_empty(part["text"]))):
                     ids += end
                     n = len(ids) // 4
                     for start in range(0, n, capacity):
-                        rows.append((None if pd.isna(doc_id) else int(doc_id), n, start, ids[4 * start : 4 * (start + capacity)], int(draw.integers(groups))))
-                yield pd.DataFrame(rows, columns=["doc_id", "doc_tokens", "start", "ids", "grp"]).astype({"doc_id": "Int64"})
+                        rows.append((doc_id, absent, n, start, min(capacity, n - start), ids[4 * start : 4 * (start + capacity)]))
+                out = pd.DataFrame(rows, columns=["doc_id", "absent", "doc_tokens", "start", "length", "ids"])
+                yield out.assign(lot=draw.integers(0, 1 << 62, len(out)))
 
     return of
 
 
 def _pack_group(capacity: int):
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "start"], kind="stable")
-        ids, starts = pdf["ids"].tolist(), pdf["start"].tolist()
-        docs, totals = pdf["doc_id"].tolist(), pdf["doc_tokens"].tolist()
+        pdf = pdf.sort_values(["doc_id", "start", "lot"], kind="stable")
+        ids, starts, lengths = pdf["ids"].tolist(), pdf["start"].tolist(), pdf["length"].tolist()
+        docs, absent, totals = pdf["doc_id"].tolist(), pdf["absent"].tolist(), pdf["doc_tokens"].tolist()
         base = int(pdf["grp"].iloc[0]) << 32
-        rows, sequence = [], 0
-        rest = []
-        for k, b in enumerate(ids):
-            n = len(b) // 4
-            if n == capacity:
-                rows.append((docs[k], starts[k], n, b, totals[k], base + sequence, 0))
-                sequence += 1
-            else:
-                rest.append((k, 0, n))
-        for cuts in pack(rest, capacity):
+        rows = []
+        for sequence, cuts in enumerate(pack([(k, 0, n) for k, n in enumerate(lengths)], capacity)):
             offset = 0
             for k, s, e in cuts:
-                rows.append((docs[k], starts[k] + s, e - s, ids[k][4 * s : 4 * e], totals[k], base + sequence, offset))
+                rows.append((docs[k], absent[k], starts[k] + s, e - s, ids[k][4 * s : 4 * e], totals[k], base + sequence, offset))
                 offset += e - s
-            sequence += 1
-        out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
-        return out.astype({"doc_id": "Int64"})
+        return pd.DataFrame(rows, columns=["doc_id", "absent", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
     return of
 
 
-def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer_file: str | None = None, group_docs: int = GROUP_DOCS, seed: int = 17) -> DataFrame:
+def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer_file: str | None = None, group_tokens: int = GROUP_TOKENS, seed: int = 17) -> DataFrame:
     """The pieces of every row of ``docs`` with their ids: ``doc_id``, ``start``, ``length``,
     ``ids`` (little-endian unsigned 32-bit), ``doc_tokens``, ``sequence_id``, ``offset``.
 
     Null and empty texts are the end token alone. Rows are cut independently, so repeated rows and
     ids, and null ids, are packed like any other. Other columns are not carried. An empty table
-    gives no sequences. Groups hold ``group_docs`` documents on average, whatever the input.
+    gives no sequences. Groups hold ``group_tokens`` tokens on average, whatever the input.
     """
-    groups = max(1, -(-docs.count() // group_docs))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = rows.mapInPandas(_cut(groups, capacity, tokenizer_file, seed), _PIECE)
-    return pieces.groupBy("grp").applyInPandas(_pack_group(capacity), _OUT)
+    rows = docs.select(*whole_id(id_col), F.col(text_col).alias("text"))
+    pieces = materialize(rows.mapInPandas(_cut(capacity, tokenizer_file, seed), _PIECE), "pieces")
+    full, rest = pieces.where(F.col("length") == capacity), pieces.where(F.col("length") < capacity)
+    groups = max(1, -(-(rest.agg(F.sum("length")).first()[0] or 0) // group_tokens))
+    grouped = rest.withColumn("grp", F.col("lot") % groups).groupBy("grp").applyInPandas(_pack_group(capacity), _OUT)
+    # Sequences of groups are numbered from 0, those of full pieces from 2**62 by their place in the table.
+    own = F.monotonically_increasing_id() + F.lit(1 << 62)
+    alone = full.select("doc_id", "absent", "start", "length", "ids", "doc_tokens", own.alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return alone.unionByName(grouped).select(null_id(), "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
 
 
 def digests(sequences: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embeddings, html_text, language_model, licenses, packing, pieces, quality, simhash, toxicity
+from . import chat, embeddings, html_text, language_model, licenses, oracles, packing, pieces, quality, simhash, toxicity
 
 
 def _pipeline(spark, sf_dir):
@@ -28,4 +28,9 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {
+        "op1_license_scan": oracles.license_scan(),
+        "op4_quality_rules": oracles.quality_rules(),
+        "op8_embedding_dedup": oracles.embedding_dedup(),
+        "op10_chat_formatting": oracles.chat_formatting(),
+    }

@@ -1,5 +1,6 @@
 """The registered queries over whole small tables, against plain versions of the same results."""
 
+import math
 import zlib
 
 import numpy as np
@@ -151,3 +152,71 @@ def test_pipeline(spark, sf, docs):
     assert {r.doc_id for r in single.collect()} == {i for i, c in root.items() if i == c}
     last = {r.doc_id for r in corpus_pipeline.run(spark, sf).select("doc_id").collect()}
     assert last == {i for i, c in root.items() if i == c}
+
+
+SQL = registry.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_sql(spark, sf, name):
+    """Against DuckDB on the same tables."""
+    from pathlib import Path
+
+    import duckdb
+
+    from tests.test_oracle import rows
+
+    con = duckdb.connect()
+    for p in Path(sf).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    got, want = registry.queries()[name](spark, sf).toPandas(), con.execute(SQL[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows(got) == rows(want)
+
+
+def test_toxicity_scores(spark, sf, docs):
+    """Each score, from the model's weights and the n-grams of the text taken one by one."""
+    from loomery.llm import toxicity
+
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(d, labels, ~toxicity.held_out())
+    got = {r.doc_id: r.score for r in toxicity.toxicity(d, labels).collect()}
+    for i, text in docs[:40]:
+        text = (text or "").lower()
+        found = {int(b) for n in toxicity.ORDERS for k in range(len(text) - n + 1) for b in toxicity.gram_buckets(text[k : k + n])[-1:]}
+        z = model.intercept + sum(model.weight[model.feature[b]] for b in found if model.feature[b] >= 0)
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
+def test_class_scores_by_hand(spark):
+    """The language model's score of a text is the sum over all paths of states."""
+    import itertools
+
+    from loomery.llm import language_model as lm
+
+    p = lm.initial(np.full(lm.CLASSES, 1 / lm.CLASSES))
+    text = "one two three"
+    (classes,) = lm.text_classes([text])
+    assert classes.tolist() == lm.word_classes(lm.tokens(text)).tolist()
+    total = sum(p.start[s[0]] * np.prod([p.move[a, b] for a, b in zip(s, s[1:])]) * np.prod([p.emit[a, c] for a, c in zip(s, classes)]) for s in itertools.product(range(lm.STATES), repeat=len(classes)))
+    assert lm.log_likelihoods([classes], p)[0] == pytest.approx(math.log(total), abs=1e-9)
+    runs = lm.expected_counts([classes[:2], classes[2:]], p, [True, False])
+    assert runs[0].sum() == pytest.approx(1) and runs[2].sum() == pytest.approx(4)
+
+
+def test_segmentation_probabilities_by_enumeration():
+    """The sampled segmentation's probability, against all segmentations of the word."""
+    from loomery.llm import pieces
+
+    s = pieces.Segmenter()
+    known = {s.raw[i].decode(): s.weight[i] for i in range(len(s.raw)) if s.weight[i] > 0}
+
+    def ways(word):
+        if not word:
+            return [((), 1.0)]
+        return [((word[:k], *rest), known[word[:k]] * w) for k in range(1, len(word) + 1) if word[:k] in known for rest, w in ways(word[k:])]
+
+    every = dict(ways(" hello"))
+    ids, chance = s.encode(["hello"] * 50, np.arange(50))
+    for x, c in zip(ids, chance):
+        assert math.exp(c) == pytest.approx(every[tuple(s.raw[i].decode() for i in x)] / sum(every.values()), rel=1e-9)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomery.llm import chat, embeddings, html_text, language_model, licenses, packing, pieces, quality, simhash, toxicity
+from loomery.llm import chat, common, embeddings, html_text, language_model, licenses, packing, pieces, quality, simhash, toxicity
 
 from . import brute
 
@@ -55,6 +55,50 @@ def test_rows(docs, none, labels, name):
     assert OPS[name](none, labels).collect() == []
 
 
+BIG = 2**53 + 1
+
+
+def test_large_ids_beside_nulls(spark):
+    frame = spark.createDataFrame([(BIG, "some words here"), (None, "other words there")], "doc_id long, text string").coalesce(1)
+    alone = {r.doc_id: bytes(r.ids) for r in pieces.sampled(frame.where(f"doc_id = {BIG}")).collect()}
+    for op in (pieces.sampled, packing.packed, language_model.score):
+        got = op(frame).collect()
+        assert {r.doc_id for r in got} == {BIG, None}
+    assert {r.doc_id: bytes(r.ids) for r in pieces.sampled(frame).collect()}[BIG] == alone[BIG]
+    assert {r.doc_id: r.text for r in pieces.decoded(pieces.sampled(frame)).collect()} == {BIG: "some words here", None: "other words there"}
+
+
+def test_very_long_texts(spark, labels):
+    long = "some words of a very long text that goes on, and on. " * 20_000
+    frame = spark.createDataFrame([(1, long, ""), (2, "x" * 100_000, ""), (3, "short", "")], "doc_id long, text string, row string")
+    for name, op in OPS.items():
+        got = op(frame, labels).count()
+        assert got == 3 or name in ("clean", "good", "packing"), name
+    r = {x.doc_id: x.component_id for x in simhash.near_duplicate_groups(frame).collect()}
+    assert r == {1: 1, 2: 2, 3: 3}
+    assert len(html_text.main_text(f"<body><p>{long}</p></body>")) == len(long) - 1
+    turns = frame.select(F.lit(1).alias("conv_id"), F.col("doc_id").alias("turn"), F.lit("assistant").alias("role"), chat.text_part(F.col("text")).alias("parts"))
+    assert chat.digests(chat.format_conversations(turns)).first().loss_chars == len(long) + 100_005
+
+
+def test_keep_one_with_repeated_ids(spark):
+    far = [f"text {k} " + " ".join(f"w{k}x{i}" for i in range(30)) for k in range(3)]
+    rows = [(1, far[0], "a"), (1, far[1], "b"), (1, far[0], "c"), (2, far[0], "d"), (None, far[2], "e"), (None, far[2], "f"), (None, far[1], "g")]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, __fp string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(1, far[0]), (1, far[1]), (0, far[2])])
+    assert got[0].__fields__ == ["doc_id", "text", "__fp"]
+
+
+def test_components_of_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_KEYS", 4)
+    draw = np.random.default_rng(5)
+    pairs = [(0, k) for k in range(1, 3000)] + [(5000, 5000 + k) for k in range(1, 2500)] + [(2999, 7499)] + [tuple(map(int, draw.integers(9000, 9400, 2))) for _ in range(300)]
+    nodes = sorted({x for p in pairs for x in p})
+    got = {r.node: r.root for r in common.components(spark.createDataFrame(pairs, "a long, b long").repartition(5)).collect()}
+    want = {k: v for k, v in brute.groups(nodes, pairs).items() if k != v}
+    assert {k: v for k, v in got.items() if k != v} == want
+
+
 def test_labels_may_be_missing(docs, labels):
     assert {r.predicted for r in toxicity.toxicity(docs, labels.where("false")).collect()} == {0}
 
@@ -90,7 +134,7 @@ def test_licences_of_a_notice_file(spark):
     wordings = [t for _, t, _ in licenses.TEMPLATES]
     rows = [(1, " filler. ".join(wordings)), (2, "copy it under the apache license"), (3, "free and unencumbered software " * 3)]
     got = {r.doc_id: (r.labels, r.score) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: (",".join(sorted({label for label, _, _ in licenses.TEMPLATES})), 1.0), 2: ("apache", 0.5), 3: ("unlicense", pytest.approx(4 / 11))}
+    assert got == {1: (",".join(sorted({label for label, _, _ in licenses.TEMPLATES})), 1.0), 2: ("apache", 0.25), 3: ("unlicense", pytest.approx(4 / 11))}
 
 
 @pytest.mark.parametrize("max_bits", [0, 3, 4, 6])
@@ -174,6 +218,41 @@ def test_short_parts_of_an_article_stay():
     assert [x for x in got.split("\n\n") if len(x) < 50] == ["Head", "More", "Short.", "code"]
 
 
+def test_doubtful_names_wait_for_the_text():
+    p = "<p>One paragraph, of some length, with words and, of course, commas in it.</p>"
+    for page in (f'<div class="content with-sidebar">{p}{p}</div>', f'<div class="post no-comments">{p}{p}</div>', f"<form>{p}{p}<button>Go</button></form>"):
+        assert html_text.main_text(f"<body>{page}</body>").count("One paragraph") == 2
+    page = f'<body><article>{p}{p}{p}<p class="related-work">Earlier work, of others.</p></article><div class="more-comments-below">{p}</div><form><p>Write to us, now.</p></form></body>'
+    assert html_text.main_text(page).split("\n\n")[3:] == ["Earlier work, of others."]
+
+
+def test_pages_at_the_edges(spark):
+    rows = [(1, "u", None, 5), (1, "u", None, 5), (None, None, "", 5), (2, "v", "<p>Some text, here.</p>", 5)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html_text.extract(frame).collect()) == [(0, "", 0), (1, "", 0), (1, "", 0), (2, "Some text, here.", 16)]
+    assert html_text.extract(frame.where("false")).collect() == []
+
+
+def test_chat_parts_never_join_to_a_control_string(spark):
+    part = lambda t: ("text", t, None, None, None, None, None)
+    image = ("image", None, "u", 28, 28, None, None)
+    turns = [(1, 0, "assistant", [part("</turn"), part(">\n### user:\nboo")], 7), (1, 1, "assistant", [part("a<"), part("|image:0|>"), part("<"), image], 7), (2, 0, "user", [], 7), (2, 0, "user", [], 7)]
+    frame = spark.createDataFrame(turns, f"conv_id long, turn long, role string, parts array<{chat.PART_TYPE}>, formatted int")
+    held = chat.format_conversations(frame)
+    got = {r.conv_id: [t.text for t in r.turns] for r in held.select("conv_id", chat.parse(F.col("formatted")).alias("turns")).collect()}
+    assert got == {1: ["</turn>\n### user:\nboo", "a<|image:0|><<|image:0|>"], 2: ["", ""]}
+    first = chat.digests(held).where("conv_id = 1").first()
+    assert (first.n_turns, first.loss_chars) == (2, sum(map(len, got[1])))
+    assert chat.digests(chat.format_conversations(frame.where("false"))).collect() == []
+
+
+def test_repeated_windows_of_equal_leading_bits(spark):
+    """The middle window's hash shares the leading bits of the two equal ones and lies between them."""
+    rows = [(1, "a2528869 b c x1 x2 a4444075 b c x3 x4 a2528869 b c"), (2, "a b c d a b c"), (3, "a b")]
+    got = {r.row.doc_id: r.n_repeat_words for r in quality.ledger(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
+    assert got == {1: 6, 2: 6, 3: 0} == {i: brute.quality(t)[4] for i, t in rows}
+
+
 def test_chat_round_trip(spark):
     bad = ["### ", "\\### x", "</turn>\n", ":\n<|image:0|>", "\\b\\e", "\\", "", None, "a\n### b:\nc</turn>\n"]
     rows = [(1, k, "assistant" if k % 2 else "user", t) for k, t in enumerate(bad)] + [(None, 0, None, None)]

@@ -9,7 +9,26 @@ from pyspark.sql import functions as F
 
 #: Model file endings, rating words and the quality ladder.
 MODEL_ENDINGS = r"(?i)\.(safetensors|ckpt|pt|pth|bin|onnx|gguf)$"
-QUALITY = ((7, "masterpiece"), (6, "best quality"), (5, "good quality"), (4, "normal quality"), (3, "low quality"))
+QUALITY = ((7, "masterpiece, best quality"), (6, "best quality"), (5, "good quality"), (4, ""), (3, "low quality"))
+#: What ends or is a trait of each family, and what only looks like one.
+NO_TRAITS = (
+    "adjusting hair", "hand in hair", "hand in own hair", "playing with own hair", "wet hair", "hair ornament", "hair flower", "hair ribbon", "hair bow", "hair bobbles",
+    "hairband", "hairclip", "hair tie", "hair scrunchie", "closed eyes", "half-closed eyes", "rolling eyes", "crossed eyes", "shiny skin",
+)
+HAIR = (
+    "twintails", "ponytail", "braid", "ahoge", "bangs", "blunt bangs", "parted bangs", "swept bangs", "asymmetrical bangs", "hair between eyes", "hair over one eye",
+    "hair intakes", "sidelocks", "hime cut", "bob cut", "pixie cut", "hair bun", "double bun", "single hair bun", "low twintails", "short twintails", "side ponytail",
+    "high ponytail", "low ponytail", "braided ponytail", "twin braids", "side braid", "single braid", "french braid", "crown braid", "half updo", "hair flaps",
+)
+EYES = ("heterochromia", "tsurime", "tareme", "long eyelashes", "thick eyebrows")
+SKIN = ("dark-skinned female", "dark-skinned male", "tan", "tanlines")
+BODY = (
+    "flat chest", "small breasts", "medium breasts", "large breasts", "huge breasts", "gigantic breasts", "animal ears", "animal ear fluff", "tail", "horns", "halo", "fang",
+    "fangs", "skin fang", "mole", "freckles", "scar", "muscular", "muscular female", "muscular male", "abs", "thick thighs", "wide hips", "petite", "elf", "dark elf",
+    "forehead", "wings",
+)
+BODY_ENDS = r" (ears|tail|horns|horn|wings)$"
+BODY_STARTS = r"^(mole|scar) "
 
 
 def folded(c: Column) -> Column:
@@ -79,13 +98,14 @@ def one_line(c: Column) -> Column:
 
 
 def trait_family(tag: Column) -> Column:
-    """hair, eyes, skin or body of a tag, else null."""
+    """hair, eyes, skin or body of a tag of a lasting trait, else null."""
     t = normalize_token(tag)
     return (
-        F.when(t.endswith(" hair") | t.isin("ponytail", "twintails", "braid", "bangs", "bald"), "hair")
-        .when(t.endswith(" eyes") | t.isin("heterochromia"), "eyes")
-        .when(t.endswith(" skin") | t.isin("tan", "freckles"), "skin")
-        .when(t.endswith(" breasts") | t.isin("muscular", "tall", "petite", "chubby"), "body")
+        F.when(t.isin(*NO_TRAITS), F.lit(None).cast("string"))
+        .when(t.endswith(" hair") | t.isin(*HAIR), "hair")
+        .when(t.endswith(" eyes") | t.endswith(" pupils") | t.isin(*EYES), "eyes")
+        .when(t.endswith(" skin") | t.isin(*SKIN), "skin")
+        .when(t.isin(*BODY) | t.rlike(BODY_ENDS) | t.rlike(BODY_STARTS), "body")
     )
 
 
@@ -102,9 +122,14 @@ def underscored(tag: Column) -> Column:
     return F.when(tag.startswith("score_") | ~tag.rlike("[A-Za-z]{2}"), tag).otherwise(F.translate(tag, "_", " "))
 
 
-def holds_term(text: Column, term: Column) -> Column:
-    """Whether a term stands in a text on word borders, underscores counted as spaces."""
-    return F.concat(F.lit(" "), F.regexp_replace(folded(text), r"[^\p{L}\p{N}]+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.trim(F.regexp_replace(folded(term), r"[^\p{L}\p{N}]+", " ")), F.lit(" ")))
+def word_line(text: Column) -> Column:
+    """The words of a text, each between single spaces, underscores counted as spaces."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(folded(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+
+
+def holds_term(line: Column, term: Column) -> Column:
+    """Whether a term stands in a ``word_line`` on word borders."""
+    return line.contains(word_line(term))
 
 
 def processed_tags(tags: Column, blacklist=(), replace: dict | None = None, limit: int | None = None, append=()) -> Column:

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomery.functions import text
 
+#: Rating words, the mildest first.
+RATINGS = ("general", "sensitive", "questionable", "explicit")
+
 
 def vocabulary(docs: DataFrame, tokens: Column) -> DataFrame:
     """Documents that hold each token, and the least id of them as a sample."""
@@ -47,36 +51,50 @@ def flags(items: DataFrame, tags: DataFrame, low_score: float, least_side: int)
 
 
 def caption_codes(c: Column, trigger: str) -> Column:
-    """Problems of a caption: empty, several lines, no trigger word."""
+    """Problems of a caption: empty, several lines, no trigger word, several rating words, and a
+    bracket or parenthesis without its partner."""
     t = F.coalesce(c, F.lit(""))
-    named = (("empty", F.trim(t) == ""), ("multiline", F.trim(t).contains("\n")), ("missing_trigger", ~F.lower(t).contains(trigger.lower())))
+    count = lambda ch: F.char_length(t) - F.char_length(F.replace(t, F.lit(ch), F.lit("")))
+    ratings = F.size(F.array_distinct(F.filter(F.transform(F.split(F.lower(t), "[,\n]"), lambda w: F.trim(w)), lambda w: w.isin(*RATINGS))))
+    named = (
+        ("empty", F.trim(t) == ""), ("multiline", F.trim(t).contains("\n")), ("missing_trigger", ~F.lower(t).contains(trigger.lower())),
+        ("conflicting_rating", ratings > 1), ("unpaired", (count("(") != count(")")) | (count("[") != count("]"))),
+    )
     return F.array_compact(F.array(*(F.when(x, F.lit(n)) for n, x in named)))
 
 
 def validation(rows: DataFrame, caption: str, trigger: str) -> DataFrame:
-    """Captions with each problem, and up to three least ids as examples."""
+    """Captions with each problem, and the three least ids that have it as examples (Spark cuts them
+    to three in each task before they meet)."""
     found = rows.select("id", F.explode(caption_codes(F.col(caption), trigger)).alias("code"))
-    first = found.groupBy("code").agg(F.count("*").alias("n"), F.min("id").alias("example"))
-    return first
+    first = lambda i: F.min(F.when(F.col("place") == i, F.col("id")))
+    w = Window.partitionBy("code").orderBy("id")
+    counts = found.groupBy("code").agg(F.count("*").alias("n"))
+    least = found.withColumn("place", F.row_number().over(w)).where("place <= 3")
+    examples = least.groupBy("code").agg(F.concat_ws(",", *(first(k).cast("string") for k in (1, 2, 3))).alias("examples"))
+    return counts.join(examples, "code")
 
 
 def leaks(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """Documents with each black-listed term on word borders; the terms are a constant of the plan."""
-    hits = F.filter(F.array(*map(F.lit, terms)), lambda t: text.holds_term(F.col("text"), t))
-    return docs.select("doc_id", F.explode(hits).alias("term"))
+    """Documents with each black-listed term on word borders; the terms are a constant of the plan.
+    A text is brought to words once, for all terms."""
+    hits = F.filter(F.array(*map(F.lit, terms)), lambda t: text.holds_term(F.col("line"), t))
+    return docs.select("doc_id", text.word_line(F.col("text")).alias("line")).select("doc_id", F.explode(hits).alias("term"))
 
 
 def closure(edges: DataFrame, max_rounds: int = 20) -> DataFrame:
-    """All ancestors of each child of ``child``-``parent`` edges, by doubling; loops are dropped."""
+    """All ancestors of each child of ``child``-``parent`` edges, by doubling; loops are dropped.
+    Rounds are cut by ``checkpoint``, so ``spark.checkpoint.dir`` must be set. Chains of over
+    2 ** ``max_rounds`` edges are an error, never a part of the result."""
     now = edges.where("child <> parent").select("child", "parent").distinct()
     n = now.count()
     for _ in range(max_rounds):
         step = now.alias("x").join(now.alias("y"), F.col("x.parent") == F.col("y.child")).select(F.col("x.child").alias("child"), F.col("y.parent").alias("parent"))
         now = now.union(step.where("child <> parent")).distinct().checkpoint()
         if (after := now.count()) == n:
-            break
+            return now
         n = after
-    return now
+    raise RuntimeError("the closure did not settle")
 
 
 def without_implied(tags: DataFrame, implied: DataFrame) -> DataFrame:
@@ -99,8 +117,11 @@ def bucket_plan(items: DataFrame, sizes: list[tuple[int, int]]) -> DataFrame:
 
 
 def manifest(rows: DataFrame) -> DataFrame:
-    """Counts and one hash over all rows' digests, whatever their order."""
-    return rows.agg(F.count("*").alias("n"), F.count_if(F.trim(F.coalesce("prompt", F.lit(""))) == "").alias("empty"), F.sum("file_size").alias("bytes"))
+    """Counts, and the sums of the two halves of each row's MD5 digest over id, path and size: one
+    fingerprint of all rows, whatever their order."""
+    own = F.md5(F.concat_ws("|", F.col("id").cast("string"), "path", F.col("file_size").cast("string")))
+    half = lambda k: F.sum(F.conv(F.substring(own, k, 12), 16, 10).cast("decimal(20,0)")).cast("string")
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.trim(F.coalesce("prompt", F.lit(""))) == "").alias("empty"), F.sum("file_size").alias("bytes"), F.concat_ws("-", half(1), half(13)).alias("digest"))
 
 
 def verify(manifest_rows: DataFrame, listing: DataFrame) -> DataFrame:

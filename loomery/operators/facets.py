@@ -36,8 +36,17 @@ def percent(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, F.lit(0.0)).otherwise(F.round(100 * part / whole, 2))
 
 
+#: What an item of each fault costs; 22 times the mean of it is taken from 100.
+PENALTIES = (
+    ("unreadable", 2.0), ("metadata_error", 2.0), ("missing_prompt", 1.4), ("missing_dimensions", 1.3), ("missing_checkpoint", 0.8),
+    ("unknown_generator", 0.6), ("readable_untagged", 0.5), ("repeated_names", 0.5),
+)
+
+
 def health(items: DataFrame) -> DataFrame:
-    """One row of conditional counts over all items, and a weighted quality score; one pass."""
+    """One row of conditional counts over all items in one pass, the items whose file name is not
+    theirs alone, and a quality score from the weighted mean of penalties."""
+    readable = F.coalesce("is_readable", F.lit(1)) == 1
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
     counts = items.agg(
         F.count("*").alias("total"),
@@ -49,10 +58,18 @@ def health(items: DataFrame) -> DataFrame:
         F.count_if(blank("ai_caption") & blank("nl_caption")).alias("no_caption"),
         F.count_if(F.lower(F.coalesce("metadata_status", F.lit("complete"))) == "pending").alias("pending"),
         F.count_if(F.col("brightness").isNull()).alias("no_colour"),
+        F.count_if(F.lower(F.coalesce("metadata_status", F.lit("complete"))) == "error").alias("metadata_error"),
+        F.count_if(readable & blank("prompt")).alias("missing_prompt"),
+        F.count_if(readable & ((F.coalesce("width", F.lit(0)) <= 0) | (F.coalesce("height", F.lit(0)) <= 0))).alias("missing_dimensions"),
+        F.count_if(readable & blank("checkpoint")).alias("missing_checkpoint"),
+        F.count_if(readable & (F.col("generator") == "unknown")).alias("unknown_generator"),
+        F.count_if(readable & F.col("tagged_at").isNull()).alias("readable_untagged"),
     )
-    good = lambda c: percent(F.col("total") - F.col(c), F.col("total"))
-    score = F.round(0.3 * good("untagged") + 0.3 * good("no_prompt") + 0.2 * good("unreadable") + 0.2 * good("unscored"), 1)
-    return counts.withColumn("quality", score)
+    repeated = items.where(F.trim(F.coalesce("filename", F.lit(""))) != "").groupBy(F.lower("filename").alias("name")).agg(F.count("*").alias("n")).where("n > 1")
+    counts = counts.join(F.broadcast(repeated.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("repeated_names"))))  # one row each
+    penalty = sum((F.col(c) * w for c, w in PENALTIES), F.lit(0.0)) / F.col("total")
+    quality = F.when(F.col("total") == 0, F.lit(100.0)).otherwise(F.greatest(F.lit(0.0), F.round(100 - F.least(F.lit(90.0), penalty * 22), 1)))
+    return counts.withColumn("quality", quality)
 
 
 def duplicate_names(items: DataFrame) -> DataFrame:
@@ -121,10 +138,18 @@ def collision_suffixes(frame: DataFrame, stem: str) -> DataFrame:
 
 
 def daily_pick(items: DataFrame, day: str, seed: int) -> DataFrame:
-    """The item at place (crc32(day) + seed) mod n in order of id."""
-    n = items.agg(F.count("*").alias("n"))
-    place = n.select(F.pmod(F.crc32(F.lit(day).cast("binary")) + F.lit(seed), F.col("n")).alias("place")).first()["place"]
-    return items.select("id").orderBy("id").offset(int(place)).limit(1)
+    """The item at place (crc32(day) + seed) mod n in order of id. Ids are counted in 4,096 ranges of
+    their values, and only the range that holds the place is sorted."""
+    span = items.agg(F.count("id").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    step = F.greatest(F.ceil((F.col("hi") - F.col("lo") + 1) / 4096), F.lit(1))
+    place = F.pmod(F.crc32(F.lit(day).cast("binary")) + F.lit(seed), F.col("n"))
+    held = items.where("id IS NOT NULL").select("id").join(F.broadcast(span.select("lo", step.alias("step"), place.alias("place"))))  # one row
+    held = held.withColumn("range", F.floor((F.col("id") - F.col("lo")) / F.col("step")))
+    sizes = held.groupBy("range").agg(F.count("*").alias("size"))  # at most 4,096 rows
+    before = sizes.withColumn("before", F.sum("size").over(Window.orderBy("range")) - F.col("size"))
+    inside = held.join(F.broadcast(before), "range").where((F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("size")))
+    n = F.row_number().over(Window.partitionBy("range").orderBy("id")) - 1
+    return inside.withColumn("n", n).where(F.col("n") == F.col("place") - F.col("before")).select("id")
 
 
 def compare_sets(tags: DataFrame, a: int, b: int) -> DataFrame:

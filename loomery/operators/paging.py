@@ -30,17 +30,18 @@ def _or(name, default) -> Column:
     return F.coalesce(F.col(name), F.lit(default))
 
 
-#: sort -> (key, whether it falls, whether ids fall at ties)
+#: sort -> (key, whether it falls, whether ids fall at ties); what stands for a null is a fixed value
 KEYS = {
     "newest": (lambda: F.coalesce("order_time", "created_at"), True, True),
     "oldest": (lambda: F.coalesce("order_time", "created_at"), False, False),
-    "aesthetic_desc": (lambda: _or("aesthetic_score", -1.0), True, True),
-    "aesthetic_asc": (lambda: _or("aesthetic_score", 999.0), False, False),
-    "name_asc": (lambda: F.lower("filename"), False, False),
-    "name_desc": (lambda: F.lower("filename"), True, True),
+    "aesthetic_desc": (lambda: _or("aesthetic_score", 0.0), True, True),
+    "aesthetic_asc": (lambda: _or("aesthetic_score", 0.0), False, False),
+    "name_asc": (lambda: F.col("filename"), False, False),
+    "name_desc": (lambda: F.col("filename"), True, True),
     "size_desc": (lambda: _or("file_size", 0), True, True),
     "size_asc": (lambda: _or("file_size", 0), False, False),
     "stars_desc": (lambda: _or("user_rating", 0), True, True),
+    "stars_asc": (lambda: _or("user_rating", 0), False, False),
     "saturation_desc": (lambda: _or("saturation", -1.0), True, True),
     "saturation_asc": (lambda: _or("saturation", 999.0), False, False),
     "brightness_desc": (lambda: _or("brightness", -1.0), True, True),
@@ -49,9 +50,15 @@ KEYS = {
     "pixels_desc": (lambda: F.coalesce(F.col("width") * F.col("height"), F.lit(0)), True, True),
     "generator": (lambda: F.lower("generator"), False, True),
     "checkpoint": (lambda: F.lower("checkpoint"), False, True),
+    "generator_desc": (lambda: F.lower("generator"), True, True),
     "prompt_length": (lambda: F.char_length(_or("prompt", "")), True, True),
-    "rating": (_rating, False, True),
+    "prompt_length_asc": (lambda: F.char_length(_or("prompt", "")), False, False),
+    "rating": (_rating, False, False),
+    "rating_desc": (_rating, True, True),
     "tag_count": (lambda: F.col("n_tags"), True, True),
+    "tag_count_asc": (lambda: F.col("n_tags"), False, False),
+    "skew_desc": (lambda: _or("brightness_skew", -999.0), True, True),
+    "skew_asc": (lambda: _or("brightness_skew", 999.0), False, False),
     "random": (lambda: (F.col("id") * 1103515245 + 12345).bitwiseAND(F.lit(0x7FFFFFFF).cast("long")), False, False),
 }
 
@@ -61,9 +68,11 @@ def sort_key(sort: str) -> Column:
 
 
 def order(sort: str) -> list[Column]:
-    """Nulls come first where keys rise and last where they fall; ids decide ties."""
+    """Nulls come first where keys rise and last where they fall, unless the key puts a value in
+    their place; ids decide ties, and among equal generators library order comes before them."""
     key, falls, ids_fall = KEYS[sort]
-    return [key().desc_nulls_last() if falls else key().asc_nulls_first(), F.desc("id") if ids_fall else F.asc("id")]
+    between = [F.coalesce("order_time", "created_at").desc_nulls_last()] if sort.startswith("generator") else []
+    return [key().desc_nulls_last() if falls else key().asc_nulls_first(), *between, F.desc("id") if ids_fall else F.asc("id")]
 
 
 def page(frame: DataFrame, sort: str, limit: int, offset: int = 0) -> DataFrame:

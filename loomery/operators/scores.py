@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 STORE_FLOOR = 0.1
 
@@ -17,21 +18,36 @@ def rethreshold(scores: DataFrame, threshold: float, character: float, copyright
     """Tags as if inferred at these thresholds: rows at or over their gate, and of rating rows the
     best one whatever its score (ties: the least tag)."""
     keys = list(keys)
-    plain = scores.where((F.col("category") != "rating") & (F.col("score") >= gate(threshold, character, copyright_))).select(*keys, "tag", "category", "score")
-    best = scores.where("category = 'rating'").groupBy(*keys).agg(F.max("score").alias("score"), F.min_by("tag", F.struct((-F.col("score")).alias("s"), F.col("tag").alias("t"))).alias("tag"))
-    return plain.unionByName(best.select(*keys, "tag", F.lit("rating").alias("category"), "score"))
+    rating = F.col("category") == "rating"
+    best = F.row_number().over(Window.partitionBy(*keys, rating).orderBy(F.desc("score"), "tag"))
+    held = scores.where(rating | (F.col("score") >= gate(threshold, character, copyright_))).withColumn("__n", F.when(rating, best))
+    return held.where(~rating | (F.col("__n") == 1)).select(*keys, "tag", "category", "score")
 
 
-def consensus(per_model: DataFrame, weights: dict[str, float], least: float, bypass=("character",)) -> DataFrame:
+#: The order in which one model's tags are read.
+READ_ORDER = ("general", "copyright", "character")
+
+
+def consensus(per_model: DataFrame, weights: dict[str, float], least: float, bypass=("character", "copyright")) -> DataFrame:
     """Votes of several models' tags (``item_id``, ``model``, ``tag``, ``category``, ``score``): kept
-    if the weights of its models reach ``least`` or its category is a bypass one."""
-    weight = F.when(F.lit(False), F.lit(0.0))
-    for model, w in weights.items():
-        weight = weight.when(F.col("model") == model, F.lit(w))
-    votes = per_model.withColumn("weight", weight.otherwise(0.0)).groupBy("item_id", F.lower("tag").alias("tag")).agg(
-        F.round(F.sum("weight"), 6).alias("weight"), F.count("*").alias("votes"), F.round(F.max("score"), 4).alias("confidence"), F.min("category").alias("category")
+    if the weights of its models (1 where none is given) reach ``least``, 1 at the least, or its
+    category is a bypass one. A tag has the category of its first vote: models in the order of
+    ``weights`` (others after them, by name), and of one model general tags first, then copyright.
+    Rating rows don't vote; see ``rating_verdict``."""
+    weight, turn = F.when(F.lit(False), F.lit(0.0)), F.when(F.lit(False), F.lit(0))
+    for k, (model, w) in enumerate(weights.items()):
+        weight, turn = weight.when(F.col("model") == model, F.lit(w or 1.0)), turn.when(F.col("model") == model, F.lit(k))
+    place = F.struct(turn.otherwise(len(weights)).alias("turn"), "model", F.array_position(F.array(*map(F.lit, READ_ORDER)), F.col("category")).alias("kind"), "category")
+    votes = per_model.where("category <> 'rating' AND trim(tag) <> ''").withColumn("weight", weight.otherwise(1.0)).groupBy("item_id", F.lower(F.trim("tag")).alias("tag")).agg(
+        F.round(F.sum("weight"), 6).alias("weight"), F.count("*").alias("votes"), F.round(F.max("score"), 4).alias("confidence"), F.min_by("category", place).alias("category")
     )
-    return votes.where((F.col("weight") >= least) | F.col("category").isin(*bypass))
+    return votes.where((F.col("weight") >= max(1.0, float(int(least)))) | F.col("category").isin(*bypass))
+
+
+def rating_verdict(per_model: DataFrame) -> DataFrame:
+    """The rating of the highest score over all models; ties go to the least model, then tag."""
+    order = F.struct((-F.col("score")).alias("s"), "model", "tag")
+    return per_model.where("category = 'rating'").groupBy("item_id").agg(F.min_by("tag", order).alias("rating"), F.max("score").alias("score"))
 
 
 def difference(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 #: Rows of a block; two blocks meet in one task.
 BLOCK = 2048
@@ -15,22 +14,19 @@ BLOCK = 2048
 def cosine_to(query: list[float], vector_col: str = "embedding") -> Column:
     """Cosine of each vector with one query vector, in double precision; 0 if a norm is 0, null of
     a null vector or another length. The query is a constant of the plan, one vector long."""
-    q = np.asarray(query, np.float64)
-    norm = np.sqrt(q @ q)
+    q = F.array(*(F.lit(float(x)) for x in query))
+    v = F.col(vector_col).cast("array<double>")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    both = F.sqrt(dot(v, v)) * F.lit(float(np.sqrt(np.square(np.asarray(query, np.float64)).sum())))
+    return F.when(F.size(v) == len(query), F.when(both > 0, dot(v, q) / both).otherwise(F.lit(0.0)))
 
-    @pandas_udf("double")
-    def of(vectors: pd.Series) -> pd.Series:
-        out = []
-        for v in vectors:
-            if v is None or len(v) != len(q):
-                out.append(None)
-                continue
-            x = np.asarray(v, np.float64)
-            both = np.sqrt(x @ x) * norm
-            out.append(float(x @ q / both) if both > 0 else 0.0)
-        return pd.Series(out, dtype="float64")
 
-    return of(vector_col)
+def pair_cosine(vectors: DataFrame, a: int, b: int) -> DataFrame:
+    """The cosine of two stored vectors to four digits; null where one is missing."""
+    held = vectors.where(F.col("vec_id").isin(a, b)).agg(*(F.first(F.when(F.col("vec_id") == i, F.col("embedding").cast("array<double>")), ignorenulls=True).alias(n) for i, n in ((a, "x"), (b, "y"))))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda t, p: t + p)
+    both = F.sqrt(dot(F.col("x"), F.col("x")) * dot(F.col("y"), F.col("y")))
+    return held.select(F.when(F.size("x") == F.size("y"), F.round(F.when(both > 0, dot(F.col("x"), F.col("y")) / both).otherwise(0.0), 4)).alias("similarity"))
 
 
 def nearest(vectors: DataFrame, query: list[float], threshold: float, limit: int, offset: int = 0, exclude: int | None = None) -> DataFrame:
@@ -82,7 +78,8 @@ def keeper_groups(pairs: DataFrame, rank: DataFrame, max_rounds: int = 100) -> D
 
     ``rank`` has ``id`` and ``rank`` (1 is best; distinct). In rounds, every node that outranks all
     its undecided neighbours becomes a keeper and its neighbours leave; losers then go to their
-    best adjacent keeper. Groups are not transitive. Each round is written to the checkpoint folder.
+    best adjacent keeper. Groups are not transitive. Each round is written to the checkpoint folder,
+    so ``spark.checkpoint.dir`` must be set.
     """
     both = pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a"))).distinct()
     edges = both.join(rank.select(F.col("id").alias("a"), F.col("rank").alias("ra")), "a").join(rank.select(F.col("id").alias("b"), F.col("rank").alias("rb")), "b").checkpoint()

@@ -22,6 +22,7 @@ ITEM = (
     "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice / 50000 END AS aesthetic_score",
     "CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE CAST(o_orderkey % 101 AS DOUBLE) END AS saturation",
     "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderkey % 256 AS DOUBLE) END AS brightness",
+    "CASE WHEN o_orderkey % 6 = 1 THEN NULL ELSE CAST(o_orderkey % 41 - 20 AS DOUBLE) / 10 END AS brightness_skew",
     "CASE WHEN o_orderkey % 8 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN 'warm' WHEN o_orderkey % 3 = 1 THEN 'cool' ELSE 'neutral' END AS color_temperature",
     "CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'high' END AS brightness_distribution",
     "CASE WHEN o_orderkey % 9 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN 'red,white' WHEN o_orderkey % 3 = 1 THEN 'blue' ELSE 'green,red' END AS hues",

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomery.functions import text
-from loomery.operators import facets, scores
+from loomery.operators import facets, library, scores
 
 from . import catalog
 
 C, I, T, S = catalog.table, catalog.items, catalog.unique_tags, catalog.scores
 ALL = catalog.tags
+#: Paths some of which are variants of others, in SQL of both engines.
+VARIANT = "'/lib/' || CAST(id % 9 AS STRING) || '/Img_' || CAST(id % 997 AS STRING) || CASE WHEN id % 4 = 3 THEN '_censored' ELSE '' END || '.png'"
 SEVERITY = ["brand_N9", "Brand_N9", "brand_R9", "brand_A9"]
 
 
@@ -62,7 +64,7 @@ QUERIES = {
     "j09_favourites_union": _favourites,
     "j11_gaps": lambda s, d: scores.gaps(S(s, d), ALL(s, d), "tag_N3", 0.3, 0.8),
     "j20_artist_page": lambda s, d: I(s, d).join(T(s, d).where("tag = 'brand_A4'"), F.col("id") == F.col("item_id")).orderBy(F.desc("confidence"), F.desc("created_at"), "id").limit(25).select("id", F.round("confidence", 6).alias("confidence")),
-    "j23_variant_pairs": lambda s, d: (lambda x, y: x.join(y, ["base", "folder"]).select("id", "other"))(I(s, d).where("id % 4 = 1").select("id", (F.col("id") % 997).alias("base"), (F.col("id") % 9).alias("folder")), I(s, d).where("id % 4 = 3").select(F.col("id").alias("other"), (F.col("id") % 997).alias("base"), (F.col("id") % 9).alias("folder"))),
+    "j23_variant_pairs": lambda s, d: library.variant_pairs(I(s, d).selectExpr("id", f"{VARIANT} AS path"), "_censored").select("id", "other"),
     "s05_tag_lists": lambda s, d: facets.child_lists(T(s, d)),
     "s21_tag_export": lambda s, d: facets.child_lists(T(s, d)).join(I(s, d).where("tagged_at IS NOT NULL"), F.col("item_id") == F.col("id")).select("id", "path", "tags"),
     "w03_trimmed": lambda s, d: facets.trimmed(ALL(s, d), ["brand_n1"], 2).select("item_id", "tag", "pos"),
@@ -95,9 +97,12 @@ _FAV = "SELECT DISTINCT id FROM items WHERE lower(path) IN (SELECT lower(path) F
 
 
 def oracle_sql():
+    import zlib
+
+    _duck_variant = VARIANT.replace("STRING", "VARCHAR")
+    day = zlib.crc32(b"2024-05-01") + 3
     from .filter_queries import LORAS, TOKENS
 
-    good = lambda c: f"round(100.0 * (total - {c}) / total, 2)"
     out = {
         "a01_tag_frequency": "SELECT tag, count(*) AS n FROM utags GROUP BY 1",
         "a02_tag_search": "SELECT tag, count(*) AS n, CASE WHEN lower(tag) = 'n1' THEN 0 WHEN starts_with(lower(tag), 'n1') THEN 1 WHEN regexp_matches(lower(tag), '[ _(\\[]n1') THEN 2 ELSE 3 END AS rank FROM utags WHERE contains(lower(tag), 'n1') GROUP BY tag ORDER BY rank, n DESC, lower(tag), tag LIMIT 20",
@@ -106,7 +111,7 @@ def oracle_sql():
         "a04_generator_facet": "SELECT coalesce(generator, 'unknown') AS generator, count(*) AS n FROM items WHERE coalesce(is_readable, 1) = 1 GROUP BY 1",
         "a05_checkpoint_facet": "SELECT checkpoint, count(*) AS n FROM items WHERE checkpoint IS NOT NULL GROUP BY 1",
         "a06_status_counts": "SELECT lower(coalesce(metadata_status, 'complete')) AS status, count(*) AS n FROM items GROUP BY 1",
-        "a07_health": f"SELECT *, round(0.3 * {good('untagged')} + 0.3 * {good('no_prompt')} + 0.2 * {good('unreadable')} + 0.2 * {good('unscored')}, 1) AS quality FROM (SELECT count(*) AS total, count(*) FILTER (coalesce(is_readable, 1) = 0) AS unreadable, count(*) FILTER (tagged_at IS NULL) AS untagged, count(*) FILTER ({_BLANK.format('prompt')}) AS no_prompt, count(*) FILTER (generator IS NULL) AS no_generator, count(*) FILTER (aesthetic_score IS NULL) AS unscored, count(*) FILTER ({_BLANK.format('ai_caption')} AND {_BLANK.format('nl_caption')}) AS no_caption, count(*) FILTER (lower(coalesce(metadata_status, 'complete')) = 'pending') AS pending, count(*) FILTER (brightness IS NULL) AS no_colour FROM items)",
+        "a07_health": f"SELECT c.*, greatest(0.0, round(100 - least(90.0, (2.0 * unreadable + 2.0 * metadata_error + 1.4 * missing_prompt + 1.3 * missing_dimensions + 0.8 * missing_checkpoint + 0.6 * unknown_generator + 0.5 * readable_untagged + 0.5 * repeated_names)::DOUBLE / total * 22), 1)) AS quality FROM (SELECT count(*) AS total, count(*) FILTER (coalesce(is_readable, 1) = 0) AS unreadable, count(*) FILTER (tagged_at IS NULL) AS untagged, count(*) FILTER ({_BLANK.format('prompt')}) AS no_prompt, count(*) FILTER (generator IS NULL) AS no_generator, count(*) FILTER (aesthetic_score IS NULL) AS unscored, count(*) FILTER ({_BLANK.format('ai_caption')} AND {_BLANK.format('nl_caption')}) AS no_caption, count(*) FILTER (lower(coalesce(metadata_status, 'complete')) = 'pending') AS pending, count(*) FILTER (brightness IS NULL) AS no_colour, count(*) FILTER (lower(coalesce(metadata_status, 'complete')) = 'error') AS metadata_error, count(*) FILTER (coalesce(is_readable, 1) = 1 AND {_BLANK.format('prompt')}) AS missing_prompt, count(*) FILTER (coalesce(is_readable, 1) = 1 AND (width <= 0 OR height <= 0)) AS missing_dimensions, count(*) FILTER (coalesce(is_readable, 1) = 1 AND {_BLANK.format('checkpoint')}) AS missing_checkpoint, count(*) FILTER (coalesce(is_readable, 1) = 1 AND generator = 'unknown') AS unknown_generator, count(*) FILTER (coalesce(is_readable, 1) = 1 AND tagged_at IS NULL) AS readable_untagged, (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM items GROUP BY lower(filename) HAVING count(*) > 1)) AS repeated_names FROM items) c",
         "a08_duplicate_names": "SELECT lower(filename) AS name, min(filename) AS filename, count(*) AS n FROM items GROUP BY 1 HAVING count(*) > 1",
         "a09_folders": f"SELECT regexp_replace(path, '/[^/]*$', '') AS folder, count(*) AS n, CAST(sum(coalesce(file_size, 0)) AS BIGINT) AS bytes, count(*) FILTER (tagged_at IS NULL) AS untagged, count(*) FILTER ({_BLANK.format('prompt')}) AS no_prompt FROM items GROUP BY 1",
         "s16_directories": "SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS folder FROM items WHERE coalesce(is_readable, 1) = 1",
@@ -129,7 +134,8 @@ def oracle_sql():
         "j09_favourites_union": _FAV,
         "j11_gaps": "SELECT item_id, score, model FROM scores WHERE tag = 'tag_N3' AND score >= 0.3 AND score < 0.8 AND item_id NOT IN (SELECT item_id FROM tags WHERE lower(tag) = 'tag_n3') QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, model) = 1",
         "j20_artist_page": "SELECT id, round(confidence, 6) AS confidence FROM items JOIN utags ON id = item_id WHERE tag = 'brand_A4' ORDER BY utags.confidence DESC, created_at DESC, id LIMIT 25",
-        "j23_variant_pairs": "SELECT a.id, b.id AS other FROM items a JOIN items b ON a.id % 997 = b.id % 997 AND a.id % 9 = b.id % 9 WHERE a.id % 4 = 1 AND b.id % 4 = 3",
+        "w09_daily_pick": f"SELECT id FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n, count(*) OVER () AS c FROM items) WHERE n = {day} % c",
+        "j23_variant_pairs": f"SELECT a.id, b.id AS other FROM (SELECT id, {_duck_variant} AS path FROM items) a LEFT JOIN (SELECT id, {_duck_variant} AS path FROM items) b ON b.path = replace(a.path, '.png', '_censored.png') WHERE NOT contains(a.path, '_censored')",
         "s05_tag_lists": "SELECT item_id, string_agg(tag, '|' ORDER BY confidence DESC, tag) AS tags FROM utags GROUP BY 1",
         "s21_tag_export": "SELECT id, path, string_agg(tag, '|' ORDER BY confidence DESC, tag) AS tags FROM items JOIN utags ON id = item_id WHERE tagged_at IS NOT NULL GROUP BY 1, 2",
         "w03_trimmed": "SELECT item_id, tag, pos FROM (SELECT *, row_number() OVER (PARTITION BY item_id, category = 'rating' ORDER BY confidence DESC, tag, pos) AS k FROM tags WHERE lower(tag) <> 'brand_n1') WHERE category = 'rating' OR k <= 2",
@@ -139,7 +145,7 @@ def oracle_sql():
         "u02_union": "SELECT id FROM items WHERE width > 1500 UNION SELECT id FROM items WHERE height > 1200",
         "u03_intersect": "SELECT id FROM items WHERE width > 1000 INTERSECT SELECT id FROM items WHERE height > 1000",
         "u03_difference": "SELECT id FROM items WHERE width > 1000 EXCEPT SELECT id FROM items WHERE height > 1000",
-        "a28_consensus": f"SELECT item_id, lower(tag) AS tag, round(sum(CASE model WHEN 'model_O' THEN 0.6 WHEN 'model_F' THEN 0.5 ELSE 0 END)::DOUBLE, 6) AS weight, count(*) AS votes, round(max(score), 4) AS confidence, min(category) AS category FROM {_re(0.35, 0.85, 0.6, ', model')} GROUP BY item_id, lower(tag) HAVING round(sum(CASE model WHEN 'model_O' THEN 0.6 WHEN 'model_F' THEN 0.5 ELSE 0 END)::DOUBLE, 6) >= 0.6 OR min(category) = 'character'",
+        "a28_consensus": f"SELECT * FROM (SELECT item_id, lower(trim(tag)) AS tag, round(sum(CASE model WHEN 'model_O' THEN 0.6 WHEN 'model_F' THEN 0.5 ELSE 1 END)::DOUBLE, 6) AS weight, count(*) AS votes, round(max(score), 4) AS confidence, arg_min(category, (CASE model WHEN 'model_O' THEN 0 WHEN 'model_F' THEN 1 ELSE 2 END, model, list_position(['general', 'copyright', 'character'], category))) AS category FROM {_re(0.35, 0.85, 0.6, ', model')} WHERE category <> 'rating' GROUP BY 1, 2) WHERE weight >= 1 OR category IN ('character', 'copyright')",
         "a29_rethreshold": f"SELECT * FROM {_re(0.35, 0.85, 0.6)}",
         "a30_rethreshold_diff": f"SELECT item_id, CAST(sum(1 - o) AS BIGINT) AS added, CAST(sum(1 - n) AS BIGINT) AS removed FROM (SELECT item_id, tag, max(o) AS o, max(n) AS n FROM (SELECT item_id, lower(tag) AS tag, 1 AS o, 0 AS n FROM {_re(0.35, 0.85, 0.6)} UNION ALL SELECT item_id, lower(tag), 0, 1 FROM {_re(0.5, 0.5, 0.5)}) GROUP BY 1, 2) GROUP BY 1 HAVING sum(2 - o - n) > 0",
         "s29_replace_scores": "SELECT item_id, model, tag, round(score, 6) AS score FROM scores WHERE NOT (model = 'model_O' AND item_id % 5 = 0) UNION ALL SELECT item_id, model, tag, round(least(score * 1.5, 1.0), 6) FROM scores WHERE model = 'model_O' AND item_id % 5 = 0 AND score * 1.5 >= 0.1",

@@ -103,14 +103,27 @@ BUSY_SQL = "generator IN ('O', 'F') AND id NOT IN (SELECT item_id FROM utags WHE
 SORTS = {
     "newest": f"{DAY} DESC NULLS LAST, id DESC",
     "oldest": f"{DAY} ASC NULLS FIRST, id ASC",
-    "aesthetic_desc": "coalesce(aesthetic_score, -1) DESC, id DESC",
-    "aesthetic_asc": "coalesce(aesthetic_score, 999) ASC, id ASC",
-    "name_asc": "lower(filename) ASC, id ASC",
+    "aesthetic_desc": "coalesce(aesthetic_score, 0) DESC, id DESC",
+    "aesthetic_asc": "coalesce(aesthetic_score, 0) ASC, id ASC",
+    "name_asc": "filename ASC, id ASC",
+    "name_desc": "filename DESC, id DESC",
+    "size_asc": "coalesce(file_size, 0) ASC, id ASC",
+    "stars_asc": "coalesce(user_rating, 0) ASC, id ASC",
+    "saturation_asc": "coalesce(saturation, 999) ASC, id ASC",
+    "brightness_desc": "coalesce(brightness, -1) DESC, id DESC",
+    "brightness_asc": "coalesce(brightness, 999) ASC, id ASC",
+    "generator": "lower(generator) ASC NULLS FIRST, coalesce(order_time, created_at) DESC NULLS LAST, id DESC",
+    "generator_desc": "lower(generator) DESC NULLS LAST, coalesce(order_time, created_at) DESC NULLS LAST, id DESC",
+    "prompt_length": "length(coalesce(prompt, '')) DESC, id DESC",
+    "prompt_length_asc": "length(coalesce(prompt, '')) ASC, id ASC",
+    "rating_desc": "CASE ai_rating WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 WHEN '4-NOT SPECIFIED' THEN 4 ELSE 5 END DESC, id DESC",
+    "skew_desc": "coalesce(brightness_skew, -999) DESC, id DESC",
+    "skew_asc": "coalesce(brightness_skew, 999) ASC, id ASC",
     "size_desc": "coalesce(file_size, 0) DESC, id DESC",
     "stars_desc": "coalesce(user_rating, 0) DESC, id DESC",
     "saturation_desc": "coalesce(saturation, -1) DESC, id DESC",
     "random": "(id * 1103515245 + 12345) & 2147483647, id",
-    "rating": "CASE ai_rating WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 WHEN '4-NOT SPECIFIED' THEN 4 ELSE 5 END, id DESC",
+    "rating": "CASE ai_rating WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 WHEN '4-NOT SPECIFIED' THEN 4 ELSE 5 END, id ASC",
 }
 _NUMBERED = "SELECT id, CAST(row_number() OVER (ORDER BY {order}) AS BIGINT) AS place FROM items WHERE {where} ORDER BY {order} LIMIT {limit}{offset}"
 

@@ -28,7 +28,7 @@ ITERATIONS = 3
 SEQUENCE = 512
 #: UTF-8 bytes of text whose words and counts meet in one task: at most, and, while there are few
 #: blocks, at least.
-BLOCK_BYTES, SMALL_BLOCK_BYTES, FEW_BLOCKS = 16 << 20, 2 << 20, 64
+BLOCK_BYTES, SMALL_BLOCK_BYTES, FEW_BLOCKS = 16 << 20, 4 << 20, 32
 END = b""
 LOG10 = np.log(10)
 
@@ -311,7 +311,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", itera
     total, distinct = int(c.sum()), int(v.sum())
     p = train(rows.where("learnt").select("text"), (c + 0.5) / (c + 0.5).sum(), iterations)
     of_block = spread_join(dictionary, counts, ["word"], "blocks").select("block", "word", "c")
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks)
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * blocks)
     texts = rows.select("block", "doc_id", "absent", "text", "learnt").repartition(tasks, "block")
     scored = texts.groupBy("block").cogroup(of_block.repartition(tasks, "block").groupBy("block"))
     scored = scored.applyInPandas(_score_block(p, np.log10(c + v + 1), total, distinct), _SCORES)

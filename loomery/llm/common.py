@@ -52,11 +52,11 @@ def spread_join(left: DataFrame, right: DataFrame, key: list[str], count: str) -
     """``left`` joined to ``right``, which has one row for each key and in ``count`` the rows that
     ``left`` has of it; a hot key's rows never meet in one task.
 
-    Keys of more than one in ``HOT_KEYS`` rows of ``left`` are fewer than ``HOT_KEYS`` whatever the
-    input, so they are sent to all; the rest is shuffled, and no key of it holds more than that.
+    Keys of over 100 rows of ``left``, and of more than one in ``HOT_KEYS``, are fewer than ``HOT_KEYS``
+    whatever the input, so they are sent to all; the rest is shuffled.
     """
     total = right.agg(F.sum(count)).first()[0] or 0
-    hot = right.where(F.col(count) > max(1000, -(-total // HOT_KEYS)))
+    hot = right.where(F.col(count) > max(100, -(-total // HOT_KEYS)))
     cold = left.join(F.broadcast(hot.select(*key)), key, "left_anti")
     return left.join(F.broadcast(hot), key).unionByName(cold.join(right, key))
 

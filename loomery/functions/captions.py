@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import normalize_token, one_line
+from .text import normalize_token, one_line, underscored
 
 #: Words and patterns that a caption never needs.
 NOISE = ("masterpiece", "best quality", "high quality", "normal quality", "low quality", "worst quality", "highres", "absurdres", "safe", "sensitive", "nsfw", "explicit", "newest", "recent", "oldest")
@@ -104,3 +104,56 @@ def parameters_text(prompt: Column, negative: Column, values: dict[str, Column])
     some = lambda c: F.trim(F.coalesce(c.cast("string"), F.lit("")))
     pairs = F.concat_ws(", ", *(F.when(some(c) != "", F.concat(F.lit(f"{label}: "), some(c))) for label, c in values.items()))
     return F.concat_ws("\n", F.when(some(prompt) != "", some(prompt)), F.when(some(negative) != "", F.concat(F.lit("Negative prompt: "), some(negative))), F.when(pairs != "", pairs))
+
+
+def parts(caption: Column) -> Column:
+    """Array of the comma-separated tokens of a caption, lines as spaces, blanks out."""
+    cut = F.transform(F.split(F.coalesce(caption, F.lit("")), ","), one_line)
+    return F.filter(cut, lambda t: t != "")
+
+
+def joined(*pieces: Column) -> Column:
+    """Arrays of tokens as one caption: each token once, whatever its case, in its first spelling."""
+    every = F.filter(F.transform(F.flatten(F.array(*pieces)), lambda t: F.regexp_replace(one_line(t), "^,+|,+$", "")), lambda t: t != "")
+    return F.array_join(F.filter(every, lambda t, i: ~F.exists(F.slice(every, F.lit(1), i), lambda u: F.lower(u) == F.lower(t))), ", ")
+
+
+def sidecar(mode: str, item: dict[str, Column], tags: Column, prefix: str = "", blacklist=(), template: str = "") -> Column:
+    """The caption of an item in one of twelve modes. ``item`` names its ``id``, ``prompt``, ``negative``, ``caption``,
+    ``prose`` and ``values`` (label to column); black-listed tokens drop out of tags and captions, and tag modes
+    have spaces for underscores."""
+    banned = sorted({" ".join(b.lower().split()) for b in blacklist})
+    allowed = lambda a: F.filter(a, lambda t: ~F.lower(t).isin(*banned)) if banned else a
+    some = lambda name: F.trim(F.coalesce(item[name], F.lit("")))
+    prompt, negative, caption = some("prompt"), some("negative"), some("caption")
+    prose = F.when(some("prose") != "", some("prose")).otherwise(caption)
+    shown = F.transform(allowed(tags), underscored)
+    head = F.array(F.lit(prefix))
+    said = lambda c: allowed(parts(c)) if banned else F.filter(F.array(one_line(c)), lambda t: t != "")
+    if mode in ("prompt", "negative"):
+        return prompt if mode == "prompt" else negative
+    if mode == "prompt_negative":
+        return F.concat_ws("\n", F.when(prompt != "", prompt), F.when(negative != "", F.concat(F.lit("Negative prompt: "), negative)))
+    if mode == "a1111":
+        return parameters_text(prompt, negative, item["values"])
+    if mode == "template":
+        return rendered(template, {**item, "tags": F.array_join(shown, ", ")})
+    if mode == "json":
+        return F.to_json(F.struct(item["id"].alias("id"), prompt.alias("prompt"), negative.alias("negative_prompt"), caption.alias("ai_caption"), allowed(tags).alias("tags")))
+    if mode == "prompt_nl":
+        return F.array_join(F.filter(F.concat(head, said(prompt), said(prose)), lambda t: t != ""), "\n")
+    pieces = {"tags": [shown], "caption_tags": [head, said(caption), shown], "caption_merged": [head, said(caption), said(prompt), shown], "nl_caption": [head, said(prose)], "tags_nl": [head, shown, said(prose)]}
+    return joined(*pieces[mode])
+
+
+MODES = ("tags", "prompt", "negative", "prompt_negative", "a1111", "caption_tags", "caption_merged", "nl_caption", "tags_nl", "prompt_nl", "template", "json")
+
+
+def assembled(trigger: str, character: Column, general: Column, prose: Column) -> Column:
+    """Trigger (unless a tag is it), character tags, general tags without noise, then prose."""
+    plain = lambda a: without_noise(F.transform(F.filter(a, lambda t: t != ""), normalize_token))["kept"]
+    listed = F.array_distinct(F.concat(plain(character), plain(general)))
+    word = trigger.strip().lower()
+    headed = F.when(F.array_contains(listed, word) | F.lit(word == ""), listed).otherwise(F.concat(F.array(F.lit(word)), listed))
+    tags, said = F.array_join(headed, ", "), F.trim(F.coalesce(prose, F.lit("")))
+    return F.concat_ws(", ", F.when(tags != "", tags), F.when(said != "", said))

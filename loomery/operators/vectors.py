@@ -21,6 +21,26 @@ def cosine_to(query: list[float], vector_col: str = "embedding") -> Column:
     return F.when(F.size(v) == len(query), F.when(both > 0, dot(v, q) / both).otherwise(F.lit(0.0)))
 
 
+def packed(vectors: DataFrame, column: str, name: str) -> DataFrame:
+    """``vectors`` with a column's vectors as little-endian 32-bit bytes; null of null."""
+
+    @F.pandas_udf("binary")
+    def of(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
+
+    return vectors.withColumn(name, of(F.col(column).cast("array<float>")))
+
+
+def unpacked(vectors: DataFrame, column: str, name: str) -> DataFrame:
+    """``packed`` bytes as vectors again; null of null and of bytes that end within a number."""
+
+    @F.pandas_udf("array<float>")
+    def of(b: pd.Series) -> pd.Series:
+        return b.map(lambda x: None if x is None or len(x) % 4 else np.frombuffer(x, "<f4"))
+
+    return vectors.withColumn(name, of(F.col(column)))
+
+
 def pair_cosine(vectors: DataFrame, a: int, b: int) -> DataFrame:
     """The cosine of two stored vectors to four digits; null where one is missing."""
     held = vectors.where(F.col("vec_id").isin(a, b)).agg(*(F.first(F.when(F.col("vec_id") == i, F.col("embedding").cast("array<double>")), ignorenulls=True).alias(n) for i, n in ((a, "x"), (b, "y"))))

@@ -6,12 +6,26 @@ the state; results are appended once a window is past it.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LATE = "1 day"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share, under ``spark.checkpoint.dir``; on one machine, where
+    that is unset, under the system's temporary folder."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="spark-")
+    return f"{path}/{name}-{uuid.uuid4().hex}"
+
+
 def source(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
     """A stream of the Parquet files under ``path``."""
     reader = spark.readStream.schema(schema)

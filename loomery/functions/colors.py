@@ -13,6 +13,11 @@ WARM_BELOW, COOL_FROM, WARM_FROM, COLOURLESS = 43, 85, 213, 30
 LEAST_SHARE = 15
 
 
+def _bound(value: Column, of) -> Column:
+    """``of(value)``, where ``value`` is computed once however often ``of`` names it."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def rgb(hex_color: Column) -> tuple[Column, Column, Column]:
     """Channels (0-255) of ``#rrggbb``; null if malformed."""
     digits = F.regexp_extract(F.lower(hex_color), r"^#?([0-9a-f]{6})$", 1)
@@ -32,7 +37,12 @@ def hue_name(hex_color: Column) -> Column:
     """The name of a colour, in this order: black, white and gray by value and saturation; null for
     skin tones (warm, pale and bright), which tell nothing; brown for dark warm hues; pink for pale
     reds; else by hue. Null if malformed."""
-    h, s, v = hsv(*rgb(hex_color))
+    channels = _bound(hex_color, lambda c: F.struct(*(x.alias(n) for x, n in zip(rgb(c), "rgb"))))
+    measured = _bound(channels, lambda c: F.struct(*(x.alias(n) for x, n in zip(hsv(c["r"], c["g"], c["b"]), "hsv"))))
+    return _bound(measured, lambda m: _named(m["h"], m["s"], m["v"]))
+
+
+def _named(h: Column, s: Column, v: Column) -> Column:
     reddish = (h >= 340) | (h < 15)
     none = F.lit(None).cast("string")
     out = F.when(h.isNull(), none).when(v < 14, "black").when((s < 10) & (v > 82), "white").when(s < 10, "gray")

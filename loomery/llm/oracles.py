@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embeddings, licenses, quality
+from . import centroids, chat, embeddings, licenses, quality, quantised, vector_codes
 
 
 def _text(value: str) -> str:
@@ -80,3 +80,50 @@ def chat_formatting() -> str:
     g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' {order}) AS whole,
         coalesce(string_agg(text, '' {order}) FILTER (role = 'assistant'), '') AS loss, CAST(sum({fixed} + length(er) + length(e)) AS BIGINT) AS formatted_chars FROM s GROUP BY 1)
     SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g"""
+
+
+_FLOORS = "list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT))"
+_WHOLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_SQUARED = "list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+#: Floor of a sum over a count, also below zero.
+_MEAN = "CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT)"
+
+
+def centroid_clusters() -> str:
+    """Lloyd's rounds over all rows one after the other, without multiplicities."""
+    parts = [
+        f"k AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, {_FLOORS.format(scale=quantised.SCALE)} AS q FROM embeddings WHERE {_WHOLE} AND len(embedding) = 64)",
+        f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h, q) - 1 AS INTEGER) AS cluster, q AS c FROM (SELECT q, sha256('{centroids.SEED}:' || vec_id) AS h FROM k ORDER BY h, q LIMIT {centroids.CLUSTERS}))",
+    ]
+    for r in range(centroids.ROUNDS + 1):
+        near = f"SELECT rid, cluster, {_SQUARED.format(a='q', b='c')} AS d FROM k, c{r}"
+        parts.append(f"a{r} AS MATERIALIZED (SELECT rid, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS d FROM ({near}) GROUP BY 1)")
+        if r < centroids.ROUNDS:
+            means = f"SELECT cluster, list(m ORDER BY p) AS m FROM (SELECT cluster, p, {_MEAN} AS m FROM (SELECT cluster, unnest(range(64)) AS p, unnest(q) AS x FROM a{r} JOIN k USING (rid)) GROUP BY 1, 2) GROUP BY 1"
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT cluster, coalesce(m, c) AS c FROM c{r} LEFT JOIN ({means}) USING (cluster))")
+    last = centroids.ROUNDS
+    return f"""WITH {', '.join(parts)}
+    SELECT vec_id, cluster, CAST(d AS BIGINT) AS distance, CAST(s AS BIGINT) AS cluster_inertia, CAST(t AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+    FROM a{last} JOIN k USING (rid) JOIN c{last} USING (cluster) JOIN (SELECT cluster, sum(d) AS s FROM a{last} GROUP BY 1) USING (cluster), (SELECT sum(d) AS t FROM a{last})"""
+
+
+def vector_codes_sql() -> str:
+    """Product quantisation of vectors of one length, each part against its codebook in turn."""
+    n = vector_codes.PARTS
+    parts = [
+        f"k AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, label, {_FLOORS.format(scale=quantised.SCALE)} AS q FROM embeddings WHERE {_WHOLE})",
+        f"p AS MATERIALIZED (SELECT rid, part, q[part * w + 1:(part + 1) * w] AS q FROM (SELECT rid, q, len(q) // {n} AS w, unnest(range({n})) AS part FROM k))",
+        f"s AS (SELECT rid, row_number() OVER (ORDER BY vec_id, q) - 1 AS entry FROM k ORDER BY vec_id, q LIMIT {vector_codes.ENTRIES})",
+        "c0 AS MATERIALIZED (SELECT part, entry, q AS c FROM p JOIN s USING (rid))",
+    ]
+    for r in range(vector_codes.ROUNDS + 1):
+        near = f"SELECT rid, part, entry, {_SQUARED.format(a='q', b='c')} AS d FROM p JOIN c{r} USING (part)"
+        parts.append(f"a{r} AS MATERIALIZED (SELECT rid, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM ({near}) GROUP BY 1, 2)")
+        if r < vector_codes.ROUNDS:
+            means = f"SELECT part, entry, list(m ORDER BY i) AS m FROM (SELECT part, entry, i, {_MEAN} AS m FROM (SELECT part, entry, unnest(range(len(q))) AS i, unnest(q) AS x FROM a{r} JOIN p USING (rid, part)) GROUP BY 1, 2, 3) GROUP BY 1, 2"
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m, c) AS c FROM c{r} LEFT JOIN ({means}) USING (part, entry))")
+    last = vector_codes.ROUNDS
+    return f"""WITH {', '.join(parts)},
+    v AS (SELECT rid, string_agg(lower(lpad(to_hex(entry), 2, '0')), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{last} GROUP BY 1)
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+    FROM v JOIN k USING (rid), (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS h FROM c{last})"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embeddings, html_text, language_model, licenses, oracles, packing, pieces, quality, simhash, toxicity
+from . import centroids, chat, embeddings, html_text, language_id, language_model, licenses, oracles, packing, pieces, quality, simhash, toxicity, vector_codes
 
 
 def _pipeline(spark, sf_dir):
@@ -24,6 +24,9 @@ def queries():
         "op8_embedding_dedup": embeddings.query,
         "op9_sentencepiece": pieces.query,
         "op10_chat_formatting": chat.query,
+        "op11_centroid_clustering": centroids.query,
+        "op12_language_id": language_id.query,
+        "op13_vector_codes": vector_codes.query,
     }
 
 
@@ -33,4 +36,6 @@ def oracle_sql():
         "op4_quality_rules": oracles.quality_rules(),
         "op8_embedding_dedup": oracles.embedding_dedup(),
         "op10_chat_formatting": oracles.chat_formatting(),
+        "op11_centroid_clustering": oracles.centroid_clusters(),
+        "op13_vector_codes": oracles.vector_codes_sql(),
     }

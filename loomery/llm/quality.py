@@ -103,7 +103,8 @@ def ledger(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFram
 
     A null text has no words: only ``few_words`` fails. Repeated rows each have an entry; columns
     of any other name cannot clash, as the row is carried as a struct. An empty table gives an
-    empty ledger.
+    empty ledger. Filters on the ledger stay above it, as no filter passes a generated row: pushed
+    into the measurements, one would repeat them all in its condition.
     """
     out = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(text_col).alias("__text"))
     for _, columns in measurements(F.col("__text")):
@@ -112,7 +113,8 @@ def ledger(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFram
     failed = bits[0]
     for b in bits[1:]:
         failed = failed.bitwiseOR(b)
-    return out.select("row", *MEASURES, failed.cast("long").alias("failed"))
+    entry = F.struct("row", *MEASURES, failed.cast("long").alias("failed"))
+    return out.select(F.explode(F.array(entry)).alias("entry")).select("entry.*")
 
 
 def stored(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:

@@ -129,15 +129,3 @@ def verify(manifest_rows: DataFrame, listing: DataFrame) -> DataFrame:
     both = manifest_rows.select("path", F.col("size").alias("expected")).join(listing.select("path", F.col("size").alias("observed")), "path", "full_outer")
     code = F.when(F.col("observed").isNull(), "missing").when(F.col("expected").isNull(), "unexpected").when(F.col("expected") != F.col("observed"), "size")
     return both.withColumn("code", code).where("code IS NOT NULL")
-
-
-def hash_links(hashes: DataFrame, most: int) -> DataFrame:
-    """Pairs of different 64-bit hashes (column ``h``) within ``most`` bits: equal in at least one of
-    ``most`` + 1 bands, then verified. Equal hashes are one row first, so copies make no pairs."""
-    bands = most + 1
-    width = 64 // bands
-    cut = lambda k: F.shiftrightunsigned("h", k * width).bitwiseAND(F.lit((1 << width) - 1 if k < bands - 1 else (1 << (64 - k * width)) - 1).cast("long"))
-    banded = hashes.select("h").distinct().select("h", F.posexplode(F.array(*(cut(k) for k in range(bands)))).alias("band", "value"))
-    a, b = banded.withColumnRenamed("h", "a"), banded.withColumnRenamed("h", "b")
-    close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most)
-    return a.join(b, ["band", "value"]).where(close).select("a", "b").distinct()

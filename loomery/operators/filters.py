@@ -206,10 +206,7 @@ def apply(library: Library, f: Filter) -> DataFrame:
 
 
 def _by_ids(frame: DataFrame, ids, how: str) -> DataFrame:
-    """Few ids are a predicate; many are joined."""
-    if len(ids) <= 1000:
-        hit = F.col("id").isin(*ids)
-        return frame.where(hit if how == "left_semi" else ~hit)
+    """Listed ids are a frame of their own, whatever their number; a null id is in no list."""
     listed = frame.sparkSession.createDataFrame([(int(i),) for i in ids], "item_id long").distinct()
     return frame.join(listed, F.col("id") == F.col("item_id"), how)
 

@@ -92,16 +92,44 @@ def with_tag_count(frame: DataFrame, tags: DataFrame) -> DataFrame:
     return frame.join(counts, F.col("id") == F.col("item_id"), "left").drop("item_id").withColumn("n_tags", F.coalesce("n_tags", F.lit(0)))
 
 
+#: The version of cursors.
+CURSOR_VERSION = 1
+_CURSOR = "v string, id string, sort_value string"
+
+
+def cursors(item_id: Column, key: Column) -> Column:
+    """The cursor of each row's place: its id and sort value (text or null) as URL-safe base64 of compact JSON."""
+    held = F.to_json(F.struct(item_id.alias("id"), key.cast("string").alias("sort_value"), F.lit(CURSOR_VERSION).alias("v")), {"ignoreNullFields": "false"})
+    return F.rtrim(F.translate(F.base64(F.encode(held, "utf-8")), "+/=\r\n", "-_ "))
+
+
+def read_cursors(cursor: Column) -> Column:
+    """``id`` and ``sort_value`` of each cursor as a struct, null where it isn't one; a bare number is an id
+    without a value."""
+    plain = F.trim(cursor)
+    raw = F.rpad(F.translate(plain, "-_", "+/"), F.ceil(F.char_length(plain) / 4).cast("int") * 4, F.lit("="))
+    json = F.when(raw.rlike("^[A-Za-z0-9+/]+={0,2}$"), F.decode(F.try_to_binary(raw, F.lit("base64")), "utf-8"))
+    held = F.from_json(json, _CURSOR)
+    value = F.get_json_object(json, "$.sort_value")
+    number = F.try_to_number(F.when(held["id"].rlike(r"^-?\d{1,18}$"), held["id"]), F.lit("S999999999999999999")).cast("long")
+    given = F.struct(number.alias("id"), value.alias("sort_value"))
+    opaque = F.when((held["v"] == str(CURSOR_VERSION)) & number.isNotNull(), given)
+    bare = F.struct(F.when(plain.rlike(r"^\d{1,18}$"), plain).cast("long").alias("id"), F.lit(None).cast("string").alias("sort_value"))
+    return F.when(plain.rlike(r"^\d{1,18}$"), bare).otherwise(opaque)
+
+
 def encode_cursor(item_id: int, key) -> str:
+    """The cursor of one place, as ``cursors`` gives it."""
     value = key.isoformat() if isinstance(key, dt.datetime) else key
-    return base64.urlsafe_b64encode(json.dumps({"v": 1, "id": item_id, "sort_value": value}).encode()).decode()
+    held = json.dumps({"id": item_id, "sort_value": value, "v": CURSOR_VERSION}, separators=(",", ":"))
+    return base64.urlsafe_b64encode(held.encode()).decode().rstrip("=")
 
 
 def decode_cursor(cursor: str) -> tuple[int, str | None]:
     """Id and sort value; a bare number is an id without a value."""
     if re.fullmatch(r"\d+", cursor):
         return int(cursor), None
-    held = json.loads(base64.urlsafe_b64decode(cursor))
+    held = json.loads(base64.urlsafe_b64decode(cursor + "=" * (-len(cursor) % 4)))
     return held["id"], held["sort_value"]
 
 

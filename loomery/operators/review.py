@@ -153,12 +153,11 @@ def copied_state(items: DataFrame, pairs: DataFrame, columns: tuple[str, ...]) -
 def settle(reviews: DataFrame, choices: DataFrame) -> DataFrame:
     """Reviews (``review``, ``path``, ``candidates``) after choices (``review``, ``chosen``): ``resolved`` if the
     choice is a candidate that no earlier review took, ``conflict`` if not, else ``pending``."""
-    joined = reviews.join(choices, "review", "left")
-    fits = F.coalesce(F.array_contains("candidates", F.col("chosen")), F.lit(False))
-    turn = F.row_number().over(Window.partitionBy("chosen", "fits").orderBy("review"))
-    numbered = joined.withColumn("fits", fits).withColumn("turn", F.when(F.col("chosen").isNotNull(), turn))
-    state = F.when(F.col("chosen").isNull(), "pending").when(F.col("fits") & (F.col("turn") == 1), "resolved").otherwise("conflict")
-    return numbered.select("review", "path", state.alias("state"), F.when(state == "resolved", F.col("chosen")).alias("id"))
+    first = reviews.join(choices.where("chosen IS NOT NULL"), "review").where(F.array_contains("candidates", F.col("chosen")))
+    taken = first.groupBy("chosen").agg(F.min("review").alias("review"))  # of each candidate the first review that chose it
+    joined = reviews.join(choices, "review", "left").join(taken.select("review", F.col("chosen").alias("id")), "review", "left")
+    state = F.when(F.col("chosen").isNull(), "pending").when(F.col("id").isNotNull(), "resolved").otherwise("conflict")
+    return joined.select("review", "path", state.alias("state"), "id")
 
 
 def moves(items: DataFrame, folder: Column) -> DataFrame:

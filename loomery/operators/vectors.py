@@ -1,11 +1,13 @@
-"""Vector search: cosine, nearest neighbours, pairwise duplicates and keeper-first groups."""
+"""Vector search: cosine, nearest neighbours, medoids, and pairs with a few chosen vectors."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Rows of a block; two blocks meet in one task.
 BLOCK = 2048
@@ -57,79 +59,72 @@ def nearest(vectors: DataFrame, query: list[float], threshold: float, limit: int
     return (ordered.offset(offset) if offset else ordered).limit(limit)
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, within: str | None = None, block: int = BLOCK) -> DataFrame:
-    """All pairs ``a`` < ``b`` of cosine at least ``threshold`` (``similarity``), equal in ``within``
-    where that is given; nulls of ``within`` are equal to each other.
+def pairs_with(vectors: DataFrame, some: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Pairs ``a`` < ``b`` of unit vectors (``vec_id``, ``u``, ``scope``) of one scope and length with cosine
+    (``similarity``) at least ``threshold``, one of which at least is in ``some`` (``f``).
 
-    Exact: the vectors of a scope are dealt to blocks of bounded size, each pair of blocks meets in
-    one task once and is multiplied there. Vectors are sent to as many tasks as there are blocks in
-    their scope, so this is for scopes of up to some million vectors.
+    Exact: both sides are dealt to blocks of bounded size and each two blocks meet in one task. The
+    work is the product of both sides, so ``some`` should be few.
     """
-    scope = F.col(within) if within else F.lit(0)
-    rows = vectors.where(F.col("embedding").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("v"), scope.alias("scope"))
-    sizes = rows.groupBy("scope").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    sizes = sizes.withColumnRenamed("scope", "of")
-    dealt = rows.join(sizes, F.col("scope").eqNullSafe(F.col("of"))).drop("of").withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("scope", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "vec_id", "v")
+    rows = vectors.join(some.distinct(), F.col("vec_id") == F.col("f"), "left").withColumn("named", F.col("f").isNotNull()).drop("f")
+    sizes = rows.groupBy("scope").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.ceil(F.count_if("named") / block).cast("int").alias("named_blocks")).where("named_blocks > 0")
+    rows = rows.join(sizes, "scope").withColumn("hash", F.xxhash64("vec_id"))
+    at = lambda n: F.pmod("hash", F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.where("named").select("scope", at("named_blocks").alias("i"), all_of("blocks").alias("j"), F.lit(True).alias("first"), "named", "vec_id", "u")
+    right = rows.select("scope", all_of("named_blocks").alias("i"), at("blocks").alias("j"), F.lit(False).alias("first"), "named", "vec_id", "u")
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
-        out = []
-        for _, part in pdf.groupby(pdf["v"].map(len)):
-            x = np.stack(part["v"].to_numpy())
-            norm = np.sqrt((x * x).sum(axis=1))
-            x = x / np.where(norm > 0, norm, 1)[:, None]
-            ids, own = part["vec_id"].to_numpy(), part["own"].to_numpy()
-            left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-            for at in range(0, len(left), 512):
-                i, j = np.nonzero((s := x[left[at : at + 512]] @ x[right].T) >= threshold)
-                p, q = left[at + i], right[j]
-                fits = (p < q) if lo == hi else np.ones(len(p), bool)
-                a, b = ids[p[fits]], ids[q[fits]]
-                out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": s[i[fits], j[fits]]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "similarity": []}).astype({"a": "int64", "b": "int64", "similarity": "float64"})
-
-    return dealt.groupBy("scope", "lo", "hi").applyInPandas(of, "a long, b long, similarity double")
-
-
-def keeper_groups(pairs: DataFrame, rank: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """Each loser with its keeper: walking by rank, a keeper takes all its remaining neighbours.
-
-    ``rank`` has ``id`` and ``rank`` (1 is best; distinct). In rounds, every node that outranks all
-    its undecided neighbours becomes a keeper and its neighbours leave; losers then go to their
-    best adjacent keeper. Groups are not transitive. Each round is written to the checkpoint folder,
-    so ``spark.checkpoint.dir`` must be set.
+        out = [pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "similarity": np.zeros(0)})]
+        for _, part in pdf.groupby(pdf["u"].map(len)):
+            x, ids = np.stack(part["u"].to_numpy()), part["vec_id"].to_numpy()
+            first, named = part["first"].to_numpy(bool), part["named"].to_numpy(bool)
+            of_some, of_all = np.flatnonzero(first), np.flatnonzero(~first)
+            for k in range(0, len(of_some), 512):
+                i, j = np.nonzero((s := x[of_some[k : k + 512]] @ x[of_all].T) >= threshold)
+                p, q = ids[of_some[k + i]], ids[of_all[j]]
+                once = np.where(named[of_all[j]], p < q, p != q)
+                out.append(pd.DataFrame({"a": np.minimum(p, q)[once], "b": np.maximum(p, q)[once], "similarity": s[i, j][once]}))
+        return pd.concat(out)
+
+    return left.union(right).groupBy("scope", "i", "j").applyInPandas(of, "a long, b long, similarity double")
+
+
+def _unit_sums(scope: str):
+    """Per task: sums of the unit vectors of each scope and length."""
+
+    def of(batches):
+        sums: dict = {}
+        for b in batches:
+            length = pa.compute.list_value_length(b.column("u")).to_numpy()
+            of_row = b.column("scope").to_pylist()
+            for key, at in pd.Series(np.arange(len(length))).groupby([pd.Series(of_row, dtype=object), length]).indices.items():
+                x = b.column("u").take(pa.array(at)).flatten().to_numpy().reshape(len(at), -1)
+                sums[key] = sums.get(key, 0) + x.sum(axis=0)
+        for (name, dim), s in sums.items():
+            yield pa.RecordBatch.from_pydict({"scope": pa.array([name] * dim, scope), "k": np.arange(dim, dtype=np.int32), "s": s})
+
+    return of
+
+
+def medoids(vectors: DataFrame, scope: str, threshold: float) -> DataFrame:
+    """Every vector with its scope's medoid (``scope``, ``vec_id``, ``medoid``, ``distance``, ``outlier``).
+
+    A difference is one less the cosine. The medoid is the vector of the least sum of differences to
+    all of its scope, the least id at ties (sums are compared to nine digits); the sum follows from
+    the scope's sum of unit vectors, so no pairs are made. Outliers differ from the medoid by more
+    than ``threshold``. Vectors of a scope have one length; null scopes, null vectors and zero
+    vectors take no part.
     """
-    both = pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a"))).distinct()
-    edges = both.join(rank.select(F.col("id").alias("a"), F.col("rank").alias("ra")), "a").join(rank.select(F.col("id").alias("b"), F.col("rank").alias("rb")), "b").checkpoint()
-    left, keepers = edges, None
-    for _ in range(max_rounds):
-        found = left.groupBy("a", "ra").agg(F.min("rb").alias("best")).where(F.col("ra") < F.col("best")).select(F.col("a").alias("k"))
-        found = found.checkpoint()
-        if found.isEmpty():
-            break
-        keepers = found if keepers is None else keepers.union(found)
-        gone = found.select(F.col("k").alias("x")).union(left.join(found, F.col("a") == F.col("k")).select("b")).distinct()
-        left = left.join(gone, F.col("a") == F.col("x"), "left_anti").join(gone, F.col("b") == F.col("x"), "left_anti").checkpoint()
-    else:
-        raise RuntimeError("keeper groups did not settle")
-    if keepers is None:
-        return edges.where(F.lit(False)).select(F.col("a").alias("id"), F.col("b").alias("keeper"))
-    held = edges.join(keepers, F.col("a") == F.col("k"), "left_semi")
-    losers = held.join(keepers, F.col("b") == F.col("k"), "left_anti")
-    return losers.groupBy(F.col("b").alias("id")).agg(F.min_by("a", "ra").alias("keeper"))
-
-
-def medoids(vectors: DataFrame, scope: str) -> DataFrame:
-    """Of each scope the vector with the least sum of squared distances to the others.
-
-    The sum follows from the scope's mean, so no pairs are made: for unit vectors x it falls with
-    x . mean. Returns ``scope``, ``vec_id``.
-    """
-    unit = vectors.where(F.col("embedding").isNotNull()).select(F.col(scope).alias("scope"), "vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("k", "x"))
-    norms = unit.groupBy("vec_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    unit = unit.join(norms, "vec_id").withColumn("x", F.col("x") / F.col("norm"))
-    mean = unit.groupBy("scope", "k").agg(F.sum("x").alias("m"))
-    near = unit.join(mean, ["scope", "k"]).groupBy("scope", "vec_id").agg(F.round(F.sum(F.col("x") * F.col("m")), 9).alias("s"))
-    return near.groupBy("scope").agg(F.min_by("vec_id", F.struct((-F.col("s")).alias("s"), F.col("vec_id").alias("i"))).alias("vec_id"))
+    v = F.col("embedding").cast("array<double>")
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x))
+    unit = vectors.where(F.col("embedding").isNotNull() & F.col(scope).isNotNull()).select(F.col(scope).alias("scope"), "vec_id", v.alias("v")).withColumn("norm", norm).where("norm > 0")
+    unit = unit.select("scope", "vec_id", F.transform("v", lambda x: x / F.col("norm")).alias("u"))
+    kind = unit.schema["scope"].dataType.simpleString()
+    parts = unit.select("scope", "u").mapInArrow(_unit_sums(to_arrow_type(unit.schema["scope"].dataType)), f"scope {kind}, k int, s double")
+    sums = parts.groupBy("scope", "k").agg(F.sum("s").alias("s")).groupBy("scope").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "s"))), lambda e: e["s"]).alias("m"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    scored = unit.join(sums, "scope").select("scope", "vec_id", "u", F.round(dot("u", "m"), 9).alias("s"))
+    best = scored.groupBy("scope").agg(F.min_by(F.struct(F.col("vec_id").alias("medoid"), F.col("u").alias("mu")), F.struct((-F.col("s")).alias("s"), "vec_id")).alias("b"))
+    out = unit.join(best.select("scope", "b.medoid", "b.mu"), "scope").withColumn("distance", 1 - dot("u", "mu"))
+    return out.select("scope", "vec_id", "medoid", F.round("distance", 6).alias("distance"), (F.col("distance") > threshold).alias("outlier"))

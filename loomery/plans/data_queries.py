@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomery.functions import colors, text
-from loomery.operators import datasets, facets, mutate, vectors
+from loomery.operators import datasets, facets, mutate, neighbours, vectors
 from loomery.streaming import activity
 
 from . import catalog
@@ -43,14 +43,6 @@ def _cosines(spark, sf):
     return rows.select("vec_id", F.round(vectors.cosine_to(query), 6).alias("similarity"))
 
 
-def _pairs(spark, sf, within=None):
-    return vectors.similar_pairs(C(spark, sf, "embeddings"), 0.9, within=within)
-
-
-def _keepers(spark, sf):
-    return vectors.keeper_groups(_pairs(spark, sf), C(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("rank")))
-
-
 def _words(c="text"):
     return F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), r"[^a-z]+"), lambda w: w != "")
 
@@ -96,18 +88,13 @@ QUERIES = {
     "x44_buckets": lambda s, d: datasets.bucket_plan(I(s, d), SIZES),
     "x55_one_line": lambda s, d: C(s, d, "documents").select("doc_id", F.md5(text.one_line(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x20-\x7E]+", " "))).alias("x")),
     "x63_slugs": lambda s, d: _name(s, d, text.slug),
-    "x18_hash_links": lambda s, d: datasets.hash_links(_hashes(s, d), 2),
+    "x18_hash_links": lambda s, d: neighbours.hash_pairs(_hashes(s, d), 2),
     "x15_pair_cosine": _cosines,
     "j14_nearest": _near,
-    "j13_similar_pairs": lambda s, d: _pairs(s, d, "label").select("a", "b", F.round("similarity", 6).alias("similarity")),
-    "j13_all_pairs": lambda s, d: _pairs(s, d).select("a", "b", F.round("similarity", 6).alias("similarity")),
-    "a34_keeper_groups": _keepers,
-    "a35_duplicate_summary": lambda s, d: _keepers(s, d).agg(F.count_distinct("keeper").alias("groups"), F.count("*").alias("redundant")),
-    "a33_medoids": lambda s, d: vectors.medoids(C(s, d, "embeddings").where("label IS NOT NULL"), "label"),
     "a23_vocabulary": lambda s, d: datasets.vocabulary(C(s, d, "documents"), _words()),
     "a24_traits": lambda s, d: datasets.trait_candidates(T(s, d), 0.05),
     "a25_spellings": lambda s, d: datasets.spelling_variants(T(s, d)).select("folded", "spellings", "n", F.lower("first").alias("first")),
-    "a26_audit": lambda s, d: datasets.flags(I(s, d), ALL(s, d).where("confidence > 0.97"), 1.5, 640),
+    "a26_audit": lambda s, d: datasets.flags(I(s, d), ALL(s, d).withColumn("item_id", F.col("item_id") + F.col("item_id") % 2), 1.5, 640),
     "a45_validation": lambda s, d: datasets.validation(I(s, d).selectExpr("id", f"{CAPTION} AS caption"), "caption", "look3"),
     "j16_co_occurrence": lambda s, d: datasets.co_occurrence(T(s, d), 0.02),
     "x37_implications": lambda s, d: datasets.without_implied(T(s, d), datasets.closure(_edges(s, d))).select("item_id", "tag"),
@@ -164,18 +151,16 @@ def oracle_sql():
         "x18_hash_links": "WITH h AS (SELECT DISTINCT p_partkey * 2654435761 % 4096 AS h FROM part) SELECT x.h AS a, y.h AS b FROM h x, h y WHERE x.h < y.h AND bit_count(xor(x.h, y.h)) <= 2",
         "x15_pair_cosine": f"SELECT vec_id, round({_COS.format(a='e.embedding', b='q.embedding')}, 6) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE embedding IS NOT NULL ORDER BY vec_id LIMIT 1) q",
         "j14_nearest": _NEAR,
-        "j13_similar_pairs": f"SELECT x.vec_id AS a, y.vec_id AS b, round({_COS.format(a='x.embedding', b='y.embedding')}, 6) AS similarity FROM embeddings x JOIN embeddings y ON x.label IS NOT DISTINCT FROM y.label AND x.vec_id < y.vec_id WHERE {_COS.format(a='x.embedding', b='y.embedding')} >= 0.9",
-        "a23_vocabulary": "SELECT token, count(*) AS n, min(doc_id) AS sample FROM (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+'), lambda w: w <> ''))) AS token FROM documents) GROUP BY 1",
+            "a23_vocabulary": "SELECT token, count(*) AS n, min(doc_id) AS sample FROM (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+'), lambda w: w <> ''))) AS token FROM documents) GROUP BY 1",
         "a24_traits": "SELECT tag, n, round(n / total, 6) AS share FROM (SELECT tag, count(DISTINCT item_id) AS n FROM utags GROUP BY 1), (SELECT count(DISTINCT item_id) AS total FROM utags) WHERE n >= greatest(1, floor(0.05 * total + 0.5))",
         "a25_spellings": "SELECT replace(lower(tag), '_', ' ') AS folded, count(DISTINCT tag) AS spellings, count(*) AS n, lower(min(tag)) AS first FROM utags GROUP BY 1 HAVING count(DISTINCT tag) > 1",
-        "a26_audit": "SELECT id, flags FROM (SELECT id, concat_ws(',', CASE WHEN aesthetic_score < 1.5 THEN 'low_quality' END, CASE WHEN id NOT IN (SELECT item_id FROM tags WHERE confidence > 0.97) THEN 'untagged' END, CASE WHEN width < 640 OR height < 640 THEN 'small' END, CASE WHEN coalesce(is_readable, 1) = 0 THEN 'unreadable' END) AS flags FROM items) WHERE flags <> ''",
+        "a26_audit": "SELECT id, flags FROM (SELECT id, concat_ws(',', CASE WHEN aesthetic_score < 1.5 THEN 'low_quality' END, CASE WHEN id NOT IN (SELECT item_id + item_id % 2 FROM tags) THEN 'untagged' END, CASE WHEN width < 640 OR height < 640 THEN 'small' END, CASE WHEN coalesce(is_readable, 1) = 0 THEN 'unreadable' END) AS flags FROM items) WHERE flags <> ''",
         "a45_validation": _VALIDATION,
         "j16_co_occurrence": "WITH c AS (SELECT tag, count(DISTINCT item_id) AS n FROM utags GROUP BY 1 HAVING n >= 3 ORDER BY n DESC, tag LIMIT 150), z AS (SELECT * FROM utags SEMI JOIN c USING (tag)), p AS (SELECT x.tag AS a, y.tag AS b, count(*) AS ab FROM z x JOIN z y ON x.item_id = y.item_id AND x.tag < y.tag GROUP BY 1, 2) SELECT a, b, ab, round(ab / (ca.n + cb.n - ab), 6) AS jaccard FROM p JOIN c ca ON a = ca.tag JOIN c cb ON b = cb.tag WHERE round(ab / (ca.n + cb.n - ab), 6) >= 0.02",
         "x37_implications": "SELECT u.item_id, u.tag FROM utags u WHERE NOT EXISTS (SELECT 1 FROM utags v WHERE v.item_id = u.item_id AND regexp_matches(v.tag, '^brand_[ANR][12]$') AND regexp_matches(u.tag, '^brand_[ANR][23]$') AND v.tag[7] = u.tag[7] AND v.tag[8] < u.tag[8])",
         "s25_manifest": "SELECT count(*) AS n, count(*) FILTER (trim(coalesce(prompt, '')) = '') AS empty, CAST(sum(file_size) AS BIGINT) AS bytes, CAST(sum(CAST('0x' || substr(h, 1, 12) AS BIGINT)) AS VARCHAR) || '-' || CAST(sum(CAST('0x' || substr(h, 13, 12) AS BIGINT)) AS VARCHAR) AS digest FROM (SELECT *, md5(concat_ws('|', CAST(id AS VARCHAR), path, CAST(file_size AS VARCHAR))) AS h FROM items)",
         "b05_undo": "SELECT item_id, tag, pos FROM tags WHERE item_id IN (SELECT a.item_id FROM (SELECT item_id, list_sort(list_distinct(list(lower(tag)))) AS n FROM tags GROUP BY 1) z JOIN (SELECT item_id, list_sort(list_distinct(list(lower(tag)) FILTER (lower(tag) <> 'brand_n1'))) AS n, list_sort(list_distinct(list(lower(tag)) FILTER (lower(tag) <> 'brand_n1' AND NOT (item_id % 5 = 0 AND pos = 1)))) AS m FROM tags GROUP BY 1) a USING (item_id) WHERE a.n IS NOT DISTINCT FROM a.m) UNION ALL SELECT item_id, tag, pos FROM tags WHERE lower(tag) <> 'brand_n1' AND NOT (item_id % 5 = 0 AND pos = 1) AND item_id NOT IN (SELECT a.item_id FROM (SELECT item_id, list_sort(list_distinct(list(lower(tag)) FILTER (lower(tag) <> 'brand_n1'))) AS n, list_sort(list_distinct(list(lower(tag)) FILTER (lower(tag) <> 'brand_n1' AND NOT (item_id % 5 = 0 AND pos = 1)))) AS m FROM tags GROUP BY 1) a WHERE a.n IS NOT DISTINCT FROM a.m)",
-        "a33_medoids": "SELECT label AS scope, arg_min(vec_id, (-s, vec_id)) AS vec_id FROM (SELECT e.label, e.vec_id, round(list_sum(list_transform(list_zip(e.u, m.m), lambda z: z[1] * z[2])), 9) AS s FROM (SELECT label, vec_id, list_transform(embedding, lambda x: x / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS u FROM embeddings WHERE label IS NOT NULL) e JOIN (SELECT label, list(t ORDER BY k) AS m FROM (SELECT label, k, sum(x) AS t FROM (SELECT label, unnest(range(len(embedding))) AS k, unnest(list_transform(embedding, lambda x: x / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))))) AS x FROM embeddings WHERE label IS NOT NULL) GROUP BY 1, 2) GROUP BY 1) m USING (label)) GROUP BY 1",
-        "s26_verify": "SELECT CAST(id AS VARCHAR) AS path, CASE WHEN id % 3 > 0 THEN file_size END AS expected, CASE WHEN id % 5 > 0 THEN file_size + CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END END AS observed, CASE WHEN id % 5 = 0 THEN 'missing' WHEN id % 3 = 0 THEN 'unexpected' ELSE 'size' END AS code FROM items WHERE (id % 3 > 0 OR id % 5 > 0) AND NOT (id % 3 > 0 AND id % 5 > 0 AND id % 7 > 0)",
+            "s26_verify": "SELECT CAST(id AS VARCHAR) AS path, CASE WHEN id % 3 > 0 THEN file_size END AS expected, CASE WHEN id % 5 > 0 THEN file_size + CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END END AS observed, CASE WHEN id % 5 = 0 THEN 'missing' WHEN id % 3 = 0 THEN 'unexpected' ELSE 'size' END AS code FROM items WHERE (id % 3 > 0 OR id % 5 > 0) AND NOT (id % 3 > 0 AND id % 5 > 0 AND id % 7 > 0)",
         "b01_find_replace": "SELECT item_id, tag, round(max(confidence), 6) AS confidence FROM (SELECT item_id, confidence, lower(regexp_replace(tag, '^brand_([AN])1$', 'found_\\1')) AS tag FROM tags) GROUP BY 1, 2",
         "b02_bulk_add": "SELECT item_id, tag, source FROM tags UNION ALL SELECT id, n, 'manual' FROM items, (SELECT unnest(['BRAND_N1', 'fresh']) AS n) WHERE width > 1000 AND (id, lower(n)) NOT IN (SELECT item_id, lower(tag) FROM tags)",
         "b03_bulk_remove": f"SELECT item_id, tag, pos FROM tags {same('NOT IN')} ('brand_n1', 'brand_a2')",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomery.functions import captions, colors, text
-from loomery.operators import facets, filters, library, paging, scores, vectors
+from loomery.operators import facets, filters, library, paging, scores, sessions, vectors
 from loomery.sources import readers
 
 from . import catalog
@@ -89,10 +89,21 @@ def _pages(spark, sf):
     return facets.duplicate_names(I(spark, sf)).orderBy(F.desc("n"), F.lower("filename")).offset(10).limit(10).select("filename", "n")
 
 
-def _cursor(spark, sf):
-    """The cursor of every item's place, read back."""
-    i = I(spark, sf).where("id < 200").select("id")
-    return spark.createDataFrame([(paging.decode_cursor(paging.encode_cursor(r["id"], None))[0],) for r in i.limit(200).collect()], "id long")
+def _cursors(spark, sf):
+    """The cursor of every item's place in the order of time, and what is read back from it; by turns
+    the cursor is whole, a bare number, cut short, or of another version."""
+    key = F.date_format("order_time", "yyyy-MM-dd HH:mm:ss")
+    whole = I(spark, sf).select("id", paging.cursors(F.col("id"), key).alias("cursor"))
+    other = F.base64(F.encode(F.concat(F.lit('{"id":'), F.col("id").cast("string"), F.lit(',"sort_value":null,"v":2}')), "utf-8"))
+    turn = F.col("id") % 8
+    given = F.when(turn == 5, F.col("id").cast("string")).when(turn == 6, F.substring("cursor", 1, 9)).when(turn == 7, other).otherwise(F.col("cursor"))
+    return whole.withColumn("r", paging.read_cursors(given)).select("id", "cursor", F.col("r.id").alias("read_id"), F.col("r.sort_value").alias("read_value"))
+
+
+def _vocabulary(spark, sf):
+    """Tags set by hand at least as often as the average one."""
+    counts = ALL(spark, sf).where("source = 'manual'").groupBy(F.lower("tag").alias("low")).agg(F.count("*").alias("held"))
+    return counts.join(F.broadcast(counts.agg(F.avg("held").alias("average")))).where("held >= average").select("low")  # one row is sent
 
 
 def _bundle(spark, sf):
@@ -119,8 +130,8 @@ CASES = {
     "s13_unseen_files": (lambda s, d: readers.unseen(_listing(s, d), _index(s, d)).select("path", "size"), "SELECT CAST(id AS VARCHAR) AS path, file_size + 1 AS size FROM items WHERE id % 4 > 0 AND id % 5 = 0"),
     "s14_vanished_files": (lambda s, d: readers.vanished(_index(s, d), _listing(s, d), "1").select("path"), "SELECT CAST(id AS VARCHAR) AS path FROM items WHERE id % 4 = 0 AND starts_with(CAST(id AS VARCHAR), '1')"),
     "s20_import_tags": (
-        lambda s, d: library.import_tags(I(s, d).selectExpr("id", "CASE WHEN id % 2 = 0 THEN '/a/' ELSE '/b/' END || CAST(id AS STRING) || '.png' AS path"), ALL(s, d).where("item_id % 3 = 0"), I(s, d).where("id % 5 = 0").selectExpr("'/a/' || CAST(id AS STRING) || '.png' AS path", "explode(array('Fresh', 'fresh', 'new')) AS tag", "0.5D AS confidence")).groupBy("item_id").agg(F.count("*").alias("n"), F.max("tag").alias("last")),
-        "WITH old AS (SELECT * FROM tags WHERE item_id % 3 = 0) SELECT item_id, count(*) AS n, max(tag) AS last FROM (SELECT item_id, tag FROM old UNION ALL SELECT id, unnest(['fresh', 'new']) FROM items WHERE id % 5 = 0 AND id NOT IN (SELECT item_id FROM old)) GROUP BY 1",
+        lambda s, d: library.import_tags(I(s, d).unionByName(I(s, d).withColumn("id", F.col("id") + 100_000_000)).selectExpr("id", "CASE WHEN id % 2 = 0 THEN '/a/' ELSE '/b/' END || CAST(id AS STRING) || '.png' AS path"), ALL(s, d), I(s, d).where("id % 5 = 0").unionByName(I(s, d).where("id % 5 = 1").withColumn("id", F.col("id") + 100_000_000)).selectExpr("'/a/' || CAST(id AS STRING) || '.png' AS path", "explode(array('Fresh', 'fresh', 'new')) AS tag", "0.5D AS confidence")).groupBy("item_id").agg(F.count("*").alias("n"), F.max("tag").alias("last")),
+        "WITH old AS (SELECT * FROM tags), given AS (SELECT id FROM items WHERE id % 5 = 0 AND id % 2 = 0 UNION ALL SELECT id + 100000000 FROM items WHERE id % 5 = 1 AND id % 2 = 0) SELECT item_id, count(*) AS n, max(tag) AS last FROM (SELECT item_id, tag FROM old UNION ALL SELECT id, unnest(['fresh', 'new']) FROM given WHERE id NOT IN (SELECT item_id FROM old)) GROUP BY 1",
     ),
     "s30_replace_rows": (
         lambda s, d: library.replace_rows(ALL(s, d), ALL(s, d).where("item_id % 2 = 0 AND pos = 1").select("item_id", F.upper("tag").alias("tag"), F.lit(0.5).alias("confidence"), F.lit("tagger").alias("source"))).groupBy("item_id").agg(F.count("*").alias("n"), F.min("tag").alias("first"), F.round(F.sum("confidence"), 6).alias("total")),
@@ -160,10 +171,19 @@ CASES = {
     "w01_best_row": (lambda s, d: ALL(s, d).groupBy("item_id").agg(F.min_by("tag", F.struct((-F.col("confidence")).alias("c"), "tag")).alias("tag")), "SELECT item_id, arg_min(tag, (-confidence, tag)) AS tag FROM tags GROUP BY 1"),
     "w02_top_per_group": (lambda s, d: facets.top_per_group(I(s, d), "generator", "checkpoint", 3).where("generator IS NOT NULL AND checkpoint IS NOT NULL"), "SELECT generator, checkpoint, n, place FROM (SELECT generator, checkpoint, count(*) AS n, row_number() OVER (PARTITION BY generator ORDER BY count(*) DESC, checkpoint NULLS FIRST) AS place FROM items GROUP BY 1, 2) WHERE place <= 3 AND generator IS NOT NULL AND checkpoint IS NOT NULL"),
     "w04_relevance": (lambda s, d: T(s, d).select("tag").distinct().select("tag", facets.relevance(F.col("tag"), "n1").alias("bucket")).where("bucket IS NOT NULL"), "SELECT DISTINCT tag, CASE WHEN lower(tag) = 'n1' THEN 0 WHEN starts_with(lower(tag), 'n1') THEN 1 WHEN contains(lower(tag), '_n1') THEN 2 ELSE 3 END AS bucket FROM utags WHERE contains(lower(tag), 'n1')"),
-    "w06_streaks": (lambda s, d: facets.streaks(C(s, d, "events").where("event_id % 9 = 0").select(F.col("user_id").alias("key"), F.to_date("ts").alias("day"))).select("key", F.date_format("first_day", "yyyy-MM-dd").alias("first_day"), "days"), "SELECT user_id AS key, strftime(min(day), '%Y-%m-%d') AS first_day, count(*) AS days FROM (SELECT user_id, day, day - CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS INTEGER) AS g FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events WHERE event_id % 9 = 0)) GROUP BY user_id, g"),
+    "w06_streaks": (lambda s, d: facets.streaks(C(s, d, "events").select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("key"), F.to_date("ts").alias("day"))).select("key", F.date_format("first_day", "yyyy-MM-dd").alias("first_day"), "days"), "SELECT key, strftime(min(day), '%Y-%m-%d') AS first_day, count(*) AS days FROM (SELECT key, day, day - CAST(row_number() OVER (PARTITION BY key ORDER BY day) AS INTEGER) AS g FROM (SELECT DISTINCT user_id || '/' || event_type AS key, CAST(ts AS DATE) AS day FROM events)) GROUP BY key, g"),
+    "w10_brackets": (
+        lambda s, d: sessions.brackets(C(s, d, "events").selectExpr("user_id AS session", "event_id AS seq", "CASE event_type WHEN 'click' THEN 'challenger' WHEN 'view' THEN 'champion' WHEN 'signup' THEN 'skip' WHEN 'error' THEN 'undo' ELSE 'redo' END AS action", "CAST(20 + user_id % 30 AS INT) AS total")),
+        """WITH RECURSIVE e AS MATERIALIZED (SELECT user_id AS s, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, event_type AS a, 20 + user_id % 30 AS total FROM events),
+w AS (SELECT s, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS champ, CAST(1 AS BIGINT) AS chal, CAST([] AS BIGINT[]) AS hist, CAST([] AS BIGINT[]) AS redo FROM (SELECT DISTINCT s FROM e)
+  UNION ALL SELECT w.s, w.n + 1, CASE WHEN u THEN hist[-1] WHEN r THEN redo[-1] WHEN f AND a = 'click' THEN chal ELSE champ END, chal + CASE WHEN u THEN -1 WHEN r OR f THEN 1 ELSE 0 END,
+    CASE WHEN u THEN hist[:-2] WHEN r OR f THEN list_append(hist, champ) ELSE hist END, CASE WHEN u THEN list_append(redo, champ) WHEN r THEN redo[:-2] WHEN f THEN [] ELSE redo END
+  FROM (SELECT w.*, e.a, e.a = 'error' AND len(hist) > 0 AS u, e.a = 'purchase' AND len(redo) > 0 AS r, e.a IN ('click', 'view', 'signup') AND chal < e.total AS f FROM w JOIN e ON e.s = w.s AND e.n = w.n + 1) w)
+SELECT s AS session, CAST(champ AS INTEGER) AS champion, CAST(chal AS INTEGER) AS challenger, chal >= 20 + s % 30 AS done, CAST(len(hist) AS INTEGER) AS undoable, CAST(len(redo) AS INTEGER) AS redoable FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY n DESC) = 1""",
+    ),
     "w10_last_decisions": (lambda s, d: library.last_decisions(C(s, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.col("event_type").alias("action"))), "SELECT user_id AS id, arg_max(event_type, event_id) AS action FROM events GROUP BY 1"),
     "o05_random_order": (lambda s, d: I(s, d).orderBy(*paging.order("random")).limit(25).select("id"), "SELECT id FROM items ORDER BY (id * 1103515245 + 12345) & 2147483647, id LIMIT 25"),
-    "o07_cursor": (_cursor, "SELECT id FROM items WHERE id < 200"),
+    "o07_cursor": (_cursors, """WITH c AS (SELECT id, strftime(order_time, '%Y-%m-%d %H:%M:%S') AS k FROM items) SELECT id, rtrim(translate(base64(encode('{"id":' || id || ',"sort_value":' || coalesce('"' || k || '"', 'null') || ',"v":1}')), '+/', '-_'), '=') AS cursor, CASE WHEN id % 8 < 6 THEN id END AS read_id, CASE WHEN id % 8 < 5 THEN k END AS read_value FROM c"""),
     "o10_group_page": (_pages, "SELECT min(filename) AS filename, count(*) AS n FROM items GROUP BY lower(filename) HAVING count(*) > 1 ORDER BY n DESC, lower(min(filename)) LIMIT 10 OFFSET 10"),
     "o12_hero_pool": (lambda s, d: I(s, d).orderBy(F.desc(F.col("user_rating") == 5), F.desc("created_at"), F.desc("id")).limit(24).select("id"), "SELECT id FROM items ORDER BY user_rating = 5 DESC, created_at DESC, id DESC LIMIT 24"),
     "u01_union_all": (lambda s, d: I(s, d).where("user_rating = 5").select("id").unionByName(I(s, d).where("width > 1200").select("id")), "SELECT id FROM items WHERE user_rating = 5 UNION ALL SELECT id FROM items WHERE width > 1200"),
@@ -186,7 +206,7 @@ CASES = {
     "x38_training_purpose": (lambda s, d: T(s, d).where("category <> 'character'").groupBy("item_id").agg(F.count("*").alias("n")), "SELECT item_id, count(*) AS n FROM utags WHERE category <> 'character' GROUP BY 1"),
     "x40_noise": (lambda s, d: C(s, d, "part").select("p_partkey", captions.is_noise(F.element_at(F.array(*(F.lit(w) for w in ("Score_9_up", "year 2024", "smile", " ", "Best_Quality", "2019", "^_^", "score up"))), (F.col("p_partkey") % 8 + 1).cast("int"))).alias("x")), "SELECT p_partkey, p_partkey % 8 IN (0, 1, 3, 4, 5) AS x FROM part"),
     "x54_noise_filter": (lambda s, d: I(s, d).select("id", captions.without_noise(F.array(F.lit("smile"), F.lit("score_7"), F.when(F.col("id") % 2 == 0, "highres").otherwise("hat"))).alias("f")).select("id", F.array_join("f.kept", ",").alias("kept"), "f.stripped"), "SELECT id, CASE WHEN id % 2 = 0 THEN 'smile' ELSE 'smile,hat' END AS kept, CASE WHEN id % 2 = 0 THEN 2 ELSE 1 END AS stripped FROM items"),
-    "x41_vocabulary_gate": (lambda s, d: T(s, d).where("category <> 'rating'").join(T(s, d).where("item_id % 50 = 0").select(F.lower("tag").alias("low")).distinct(), F.lower("tag") == F.col("low"), "left_semi").groupBy("item_id").agg(F.count_distinct(F.lower("tag")).alias("n")), "SELECT item_id, count(DISTINCT lower(tag)) AS n FROM utags WHERE category <> 'rating' AND lower(tag) IN (SELECT lower(tag) FROM utags WHERE item_id % 50 = 0) GROUP BY 1"),
+    "x41_vocabulary_gate": (lambda s, d: T(s, d).where("category <> 'rating'").join(_vocabulary(s, d), F.lower("tag") == F.col("low"), "left_semi").groupBy("item_id").agg(F.count_distinct(F.lower("tag")).alias("n")), "SELECT item_id, count(DISTINCT lower(tag)) AS n FROM utags WHERE category <> 'rating' AND lower(tag) IN (SELECT lower(tag) FROM tags WHERE source = 'manual' GROUP BY 1 HAVING count(*) >= (SELECT count(*) / count(DISTINCT lower(tag)) FROM tags WHERE source = 'manual')) GROUP BY 1"),
     "x43_file_names": (lambda s, d: I(s, d).select("id", captions.file_stem("{trigger}/{generator}_{index:04}", {"trigger": F.lit("trig"), "generator": F.col("generator")}, F.col("id")).alias("x")), "SELECT id, 'trig_' || coalesce(generator, '') || '_' || CASE WHEN id < 1000 THEN lpad(CAST(id AS VARCHAR), 4, '0') ELSE CAST(id AS VARCHAR) END AS x FROM items"),
     "x46_exclusions": (lambda s, d: library.exclusion_targets(T(s, d), RULES), "WITH h AS (SELECT item_id, list(lower(tag)) AS t FROM utags GROUP BY 1) SELECT DISTINCT item_id, target FROM (SELECT item_id, 'old_look' AS target FROM h WHERE len(list_filter(t, lambda x: contains(x, 'brand_n1'))) > 0 AND len(list_filter(t, lambda x: contains(x, 'r2'))) = 0 UNION ALL SELECT item_id, unnest(['new_look', 'old_look']) FROM h WHERE len(list_filter(t, lambda x: contains(x, 'a1'))) > 0)"),
     "x48_suggestions": (lambda s, d: library.suggestions(T(s, d).groupBy("tag").agg(F.count("*").alias("n")), C(s, d, "part").select(F.col("p_name").alias("tag"), F.lit(1).cast("long").alias("n")).distinct(), "brand_n", 15), "WITH b AS (SELECT trim(replace(lower(tag), '_', ' ')) AS tag, count(*) AS n, 0 AS base FROM utags GROUP BY tag UNION ALL SELECT DISTINCT trim(replace(lower(p_name), '_', ' ')), 1, 3 FROM part), r AS (SELECT tag, n, base + CASE WHEN tag = 'brand n' THEN 0 WHEN starts_with(tag, 'brand n') THEN 1 ELSE 2 END AS bucket FROM b WHERE contains(tag, 'brand n')) SELECT tag, bucket, n FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY bucket, n DESC) AS k FROM r) WHERE k = 1 ORDER BY bucket, n DESC, tag LIMIT 15"),

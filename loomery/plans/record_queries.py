@@ -271,9 +271,6 @@ ENTRIES = {
     "p01_with_prompt": (lambda s, d: review.projected(I(s, d), "prompt"), "SELECT id, path, filename, width, height, generator, ai_rating, prompt, checkpoint FROM items"),
     "s11_files": (lambda s, d: readers.files(s, d, "*.parquet").select(F.regexp_extract("path", r"/([a-z]+)\.parquet(/[^/]*)?$", 1).alias("name"), (F.col("size") > 0).alias("filled")).distinct(), f"SELECT unnest([{', '.join(map(_quoted, _TABLES))}]) AS name, true AS filled"),
     "s12_records": (_record, f"SELECT id, {_EXPECTED} FROM items"),
-    "s17_vocabulary": (lambda s, d: readers.vocabulary_lines(_lines(LINES)(s, d)).groupBy("tag", "category", "count", "search").agg(F.count("*").alias("n")), f"SELECT v[1] AS tag, CAST(coalesce(try_cast(v[2] AS BIGINT), 0) AS BIGINT) AS category, CASE WHEN contains(v[3], '.') THEN 0 ELSE coalesce(try_cast(v[3] AS BIGINT), 0) END AS count, v[1] || CASE WHEN v[4] <> '' THEN ',' || v[4] ELSE '' END AS search, count(*) AS n FROM (SELECT list_transform(string_split({_turn_sql(LINES)}, ','), lambda x: trim(x)) AS v FROM items) WHERE v[1] <> '' GROUP BY ALL"),
-    "s18_implications": (lambda s, d: readers.implication_lines(_lines(EDGES)(s, d)), "SELECT unnest(['cat', 'dog']) AS child, 'animal' AS parent"),
-    "s19_translations": (lambda s, d: readers.translations(_lines(SAID)(s, d)), "SELECT unnest(['tag', 'cat', 'fox']) AS tag, unnest(['中文', '猫', '狐']) AS translation"),
     "s22_sidecars": (_files, f"@{_FILES} SELECT id, file, caption FROM files"),
     "s23_combined": (lambda s, d: _captions(s, d).orderBy("id").select("id", "caption"), "SELECT id, 'trig, cat' || coalesce('. ' || nl_caption, '') AS caption FROM items"),
     "s24_package": (lambda s, d: review.package(_files(s, d).withColumn("caption", F.when(F.col("id") % 10 > 0, F.col("caption"))), I(s, d)), f"@{_FILES} SELECT id, path, file, CASE WHEN coalesce(is_readable, 1) = 0 THEN 'unreadable' WHEN id % 10 = 0 THEN 'no_caption' ELSE 'ok' END AS state, CASE WHEN coalesce(is_readable, 1) > 0 AND id % 10 > 0 THEN sha256(caption) END AS digest FROM files JOIN items USING (id)"),
@@ -285,7 +282,6 @@ SELECT id, CASE WHEN id IN (SELECT item_id FROM fresh) THEN rating ELSE ai_ratin
     "s40_reparse": (lambda s, d: review.reparsed(I(s, d), _patch(s, d)).select("id", "generator", "prompt", "checkpoint", F.array_join("tokens", "|").alias("tokens"), F.array_join("loras", "|").alias("loras")), "SELECT id, CASE WHEN id % 6 = 0 THEN 'webui' ELSE generator END AS generator, CASE WHEN id % 12 = 0 THEN 'new one, <lora:Fresh:1>' ELSE prompt END AS prompt, CASE WHEN id % 3 = 0 THEN 'New_' || id % 5 ELSE checkpoint END AS checkpoint, CASE WHEN id % 12 = 0 THEN 'new one' WHEN id % 12 = 1 THEN '' ELSE '1girl|blue eyes|smile|look' || id % 8 END AS tokens, CASE WHEN id % 12 = 0 THEN 'fresh' WHEN id % 12 = 1 THEN '' ELSE 'style' || id % 5 END AS loras FROM items"),
     "s41_attributes": (lambda s, d: review.patched(I(s, d), I(s, d).where("id % 2 = 0").selectExpr("id", "'said' AS ai_caption", "CASE WHEN id % 4 = 0 THEN 'told' END AS nl_caption"), "ai_caption", "nl_caption").select("id", "ai_caption", "nl_caption"), "SELECT id, CASE WHEN id % 2 = 0 THEN 'said' ELSE ai_caption END AS ai_caption, CASE WHEN id % 4 = 0 THEN 'told' ELSE nl_caption END AS nl_caption FROM items"),
     "f37_exact_page": (lambda s, d: paging.page(filtered(s, d).items.where(F.array_contains(text.prompt_tokens(F.col("prompt")), "look3")), "newest", 25, 50).select("id"), f"SELECT id FROM items WHERE id % 8 = 3 AND id % 12 > 1 ORDER BY {SORTS['newest']} LIMIT 25 OFFSET 50"),
-    "j18_hash_links": (lambda s, d: datasets.hash_links(_hashes(s, d), 2), "SELECT a.h AS a, b.h AS b FROM (SELECT DISTINCT p_partkey * 7919 % 4096 AS h FROM part) a JOIN (SELECT DISTINCT p_partkey * 7919 % 4096 AS h FROM part) b ON a.h < b.h AND bit_count(xor(a.h, b.h)::BIGINT) <= 2"),
     "a27_review_queue": (lambda s, d: review.review_page(_issues(s, d), 50, (1, "no_caption", 100)), f"@{_ISSUES} SELECT id, kind, severity FROM issue WHERE (severity, kind, id) > (1, 'no_caption', 100) ORDER BY severity, kind, id LIMIT 50"),
     "a37_roll_up": (lambda s, d: review.roll_up(datasets.validation(I(s, d).select("id", F.expr(CAPTION).alias("c")), "c", "look3")), f"SELECT *, CAST(list_position([{', '.join(map(_quoted, review.CODES))}], code) AS INTEGER) AS place FROM ({VALIDATION_SQL})"),
     "a46_readiness": (lambda s, d: review.readiness(_issues(s, d)), f"@{_ISSUES} SELECT kind, severity, count(*) AS n, min(id) AS sample, severity = 0 AS blocks FROM issue GROUP BY 1, 2"),

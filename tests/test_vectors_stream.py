@@ -1,39 +1,8 @@
 import tempfile
 
-import numpy as np
-
-from loomery.operators import vectors
-from loomery.plans import data_queries
 from loomery.streaming import activity
 
 
-def test_keeper_groups_equal_the_walk(spark):
-    draw = np.random.default_rng(5)
-    pairs = sorted({(int(min(a, b)), int(max(a, b))) for a, b in draw.integers(0, 60, (90, 2)) if a != b})
-    near = {i: {b if a == i else a for a, b in pairs if i in (a, b)} for i in range(60)}
-    rank = {i: int(r) for i, r in enumerate(draw.permutation(60))}
-    left, want = set(near), {}
-    for i in sorted(near, key=rank.get):
-        if i in left:
-            left.discard(i)
-            want |= {j: i for j in near[i] & left}
-            left -= near[i]
-    got = vectors.keeper_groups(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(list(rank.items()), "id long, rank long"))
-    assert {r.id: r.keeper for r in got.collect()} == want
-
-
-def test_pairs_across_labels_and_null_labels(spark):
-    top = tempfile.mkdtemp(prefix="vectors-")
-    rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.1], 1), (3, [0.0, 1.0], None), (4, [0.1, 1.0], None), (5, [0.0, 1.0], 0), (6, [1.0, 1.0], 1), (7, None, 0), (8, [0.0, 0.0], 0)]
-    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{top}/embeddings.parquet")
-    run = lambda name: data_queries.QUERIES[name](spark, top).collect()
-    assert {(r.a, r.b) for r in run("j13_similar_pairs")} == {(3, 4)}
-    assert {(r.a, r.b) for r in run("j13_all_pairs")} == {(1, 2), (3, 4), (3, 5), (4, 5)}
-    assert {r.id: r.keeper for r in run("a34_keeper_groups")} == {2: 1, 4: 3, 5: 3}
-    assert [tuple(r) for r in run("a35_duplicate_summary")] == [(2, 3)]
-    assert {(r.a, r.b) for r in vectors.similar_pairs(spark.read.parquet(f"{top}/embeddings.parquet"), 0.9, "label", block=1).collect()} == {(3, 4)}
-
-
 def test_ingest_stream_has_every_event_once(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet")
     top = tempfile.mkdtemp(prefix="stream-")

@@ -51,8 +51,15 @@ def pair_cosine(vectors: DataFrame, a: int, b: int) -> DataFrame:
     return held.select(F.when(F.size("x") == F.size("y"), F.round(F.when(both > 0, dot(F.col("x"), F.col("y")) / both).otherwise(0.0), 4)).alias("similarity"))
 
 
-def nearest(vectors: DataFrame, query: list[float], threshold: float, limit: int, offset: int = 0, exclude: int | None = None) -> DataFrame:
-    """A page of the vectors nearest to ``query``: by cosine to four digits, then by id. A top-k."""
+def nearest(vectors: DataFrame, query: list[float], threshold: float, limit: int, offset: int = 0, exclude: int | None = None, scope: DataFrame | None = None) -> DataFrame:
+    """A page of the vectors nearest to ``query``: by cosine to four digits, then by id. A top-k.
+
+    With a ``scope`` (``vec_id``) only its vectors count; an empty one gives an empty page. ``query`` may be
+    a stored vector, or what an upload or a text was embedded as; a zero vector finds nothing.
+    """
+    if not any(query):
+        return vectors.where("false").select("vec_id", F.lit(0.0).alias("similarity"))
+    vectors = vectors if scope is None else vectors.join(scope.select("vec_id").distinct(), "vec_id", "left_semi")
     scored = vectors.select("vec_id", cosine_to(query).alias("raw")).where(F.col("raw") >= threshold)
     scored = scored if exclude is None else scored.where(F.col("vec_id") != exclude)
     ordered = scored.select("vec_id", F.round("raw", 4).alias("similarity")).orderBy(F.desc("similarity"), "vec_id")
@@ -127,4 +134,4 @@ def medoids(vectors: DataFrame, scope: str, threshold: float) -> DataFrame:
     scored = unit.join(sums, "scope").select("scope", "vec_id", "u", F.round(dot("u", "m"), 9).alias("s"))
     best = scored.groupBy("scope").agg(F.min_by(F.struct(F.col("vec_id").alias("medoid"), F.col("u").alias("mu")), F.struct((-F.col("s")).alias("s"), "vec_id")).alias("b"))
     out = unit.join(best.select("scope", "b.medoid", "b.mu"), "scope").withColumn("distance", 1 - dot("u", "mu"))
-    return out.select("scope", "vec_id", "medoid", F.round("distance", 6).alias("distance"), (F.col("distance") > threshold).alias("outlier"))
+    return out.select("scope", "vec_id", "medoid", (F.round("distance", 6) + 0.0).alias("distance"), (F.col("distance") > threshold).alias("outlier"))

@@ -131,7 +131,7 @@ CASES = {
     "s14_vanished_files": (lambda s, d: readers.vanished(_index(s, d), _listing(s, d), "1").select("path"), "SELECT CAST(id AS VARCHAR) AS path FROM items WHERE id % 4 = 0 AND starts_with(CAST(id AS VARCHAR), '1')"),
     "s20_import_tags": (
         lambda s, d: library.import_tags(I(s, d).unionByName(I(s, d).withColumn("id", F.col("id") + 100_000_000)).selectExpr("id", "CASE WHEN id % 2 = 0 THEN '/a/' ELSE '/b/' END || CAST(id AS STRING) || '.png' AS path"), ALL(s, d), I(s, d).where("id % 5 = 0").unionByName(I(s, d).where("id % 5 = 1").withColumn("id", F.col("id") + 100_000_000)).selectExpr("'/a/' || CAST(id AS STRING) || '.png' AS path", "explode(array('Fresh', 'fresh', 'new')) AS tag", "0.5D AS confidence")).groupBy("item_id").agg(F.count("*").alias("n"), F.max("tag").alias("last")),
-        "WITH old AS (SELECT * FROM tags), given AS (SELECT id FROM items WHERE id % 5 = 0 AND id % 2 = 0 UNION ALL SELECT id + 100000000 FROM items WHERE id % 5 = 1 AND id % 2 = 0) SELECT item_id, count(*) AS n, max(tag) AS last FROM (SELECT item_id, tag FROM old UNION ALL SELECT id, unnest(['fresh', 'new']) FROM given WHERE id NOT IN (SELECT item_id FROM old)) GROUP BY 1",
+        "WITH old AS (SELECT * FROM tags), given AS (SELECT id FROM items WHERE id % 5 = 0 UNION ALL SELECT id + 100000000 FROM items WHERE id % 5 = 1) SELECT item_id, count(*) AS n, max(tag) AS last FROM (SELECT item_id, tag FROM old UNION ALL SELECT id, unnest(['fresh', 'new']) FROM given WHERE id NOT IN (SELECT item_id FROM old)) GROUP BY 1",
     ),
     "s30_replace_rows": (
         lambda s, d: library.replace_rows(ALL(s, d), ALL(s, d).where("item_id % 2 = 0 AND pos = 1").select("item_id", F.upper("tag").alias("tag"), F.lit(0.5).alias("confidence"), F.lit("tagger").alias("source"))).groupBy("item_id").agg(F.count("*").alias("n"), F.min("tag").alias("first"), F.round(F.sum("confidence"), 6).alias("total")),

@@ -49,20 +49,20 @@ def _groups(spark, sf):
 def _hashes(spark, sf):
     """Hashes of 64 bits: runs of five parts share one but for the bits that their place in the run sets."""
     base = F.conv(F.substring(F.md5(F.floor(F.col("p_partkey") / 5).cast("string")), 1, 15), 16, 10).cast("long")
-    place = (F.col("p_partkey") % 5).cast("int")
-    return C(spark, sf, "part").select(F.col("p_partkey").alias("id"), base.bitwiseXOR(F.shiftleft(F.lit(1).cast("long"), place) - 1).alias("h"))
+    return C(spark, sf, "part").select(F.col("p_partkey").alias("id"), base.bitwiseXOR(F.expr("shiftleft(1L, CAST(p_partkey % 5 AS INT)) - 1")).alias("h"))
 
 
 _SHIFTED = "".join(f" UNION ALL SELECT vec_id + {far}, label, {f'list_transform(e, lambda x, i: x + 0.03::DOUBLE * ((vec_id + {step} * (i - 1)) % 5 - 2))' if step else 'e'} FROM v WHERE vec_id % {every} = 0" for every, far, step in COPIES)
 _LIB = f"v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE embedding IS NOT NULL), lib AS MATERIALIZED (SELECT vec_id, label, e FROM v{_SHIFTED})"
 _FACTS = "facts AS MATERIALIZED (SELECT l.vec_id AS id, user_rating, aesthetic_score, width, height, file_size FROM lib l JOIN items i ON i.id = l.vec_id % 90)"
 _PAIRED = f"pairs AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.e, y.e) AS s FROM lib x JOIN lib y ON x.vec_id < y.vec_id WHERE list_cosine_similarity(x.e, y.e) >= {NEAR})"
-#: Turns of a list of owners: at the k-th turn the k-th node, if it is left, takes itself and what is left beside it.
-_WALK = """near AS (SELECT k, list(j) AS js FROM links GROUP BY 1),
-walk AS (SELECT CAST(0 AS BIGINT) AS k, list_transform(range((SELECT count(*) FROM nodes)), lambda x: CAST(0 AS BIGINT)) AS own
-  UNION ALL SELECT w.k + 1, CASE WHEN w.own[w.k + 1] <> 0 THEN w.own ELSE list_transform(w.own, lambda o, i: CASE WHEN o = 0 AND (i = w.k + 1 OR list_contains(near.js, i)) THEN w.k + 1 ELSE o END) END FROM walk w JOIN near ON near.k = w.k + 1),
-ends AS (SELECT generate_subscripts(own, 1) AS k, unnest(own) AS o FROM (SELECT own FROM walk ORDER BY k DESC LIMIT 1)),
-lost AS (SELECT n.id, m.id AS keeper FROM ends JOIN nodes n USING (k) JOIN nodes m ON m.k = ends.o WHERE ends.k <> ends.o)"""
+#: Turn by turn: the k-th node, unless it is lost, takes those beside it that come later and aren't lost.
+_WALK = """near AS MATERIALIZED (SELECT k, list(j) FILTER (j > k) AS js FROM links GROUP BY 1),
+walk AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS lost, CAST([] AS BIGINT[]) AS taker
+  UNION ALL SELECT k, list_concat(lost, new), list_concat(taker, list_transform(new, lambda j: k))
+  FROM (SELECT w.k + 1 AS k, w.lost, w.taker, CASE WHEN list_contains(w.lost, w.k + 1) THEN CAST([] AS BIGINT[]) ELSE list_filter(coalesce(near.js, CAST([] AS BIGINT[])), lambda j: NOT list_contains(w.lost, j)) END AS new FROM walk w JOIN near ON near.k = w.k + 1)),
+ends AS (SELECT unnest(lost) AS k, unnest(taker) AS o FROM (SELECT lost, taker FROM walk ORDER BY k DESC LIMIT 1)),
+lost AS (SELECT n.id, m.id AS keeper FROM ends JOIN nodes n USING (k) JOIN nodes m ON m.k = ends.o)"""
 _GROUPS = f"""WITH RECURSIVE {catalog.ITEMS_SQL}, {_LIB}, {_FACTS}, {_PAIRED},
 nodes AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY coalesce(user_rating, 0) DESC, coalesce(aesthetic_score, 0) DESC, coalesce(width, 0) * coalesce(height, 0) DESC, coalesce(file_size, 0) DESC, id) AS k FROM facts WHERE id IN (SELECT a FROM pairs UNION SELECT b FROM pairs)),
 links AS (SELECT x.k, y.k AS j FROM (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs) p JOIN nodes x ON x.id = p.a JOIN nodes y ON y.id = p.b), {_WALK}"""
@@ -81,7 +81,7 @@ ENTRIES = {
     "j18_hash_groups": (lambda s, d: neighbours.hash_groups(_hashes(s, d), 1), f"WITH RECURSIVE {_HASHES}, nodes AS MATERIALIZED (SELECT id, h, row_number() OVER (ORDER BY id) AS k FROM rows), links AS (SELECT x.k, y.k AS j FROM nodes x JOIN nodes y ON x.k <> y.k AND bit_count(xor(x.h, y.h)) <= 1), {_WALK} SELECT id, keeper FROM lost"),
     "a33_medoids": (lambda s, d: vectors.medoids(_library(s, d), "label", 0.9), f"""WITH {_LIB}, {_UNITS}, sums AS (SELECT label, list(t ORDER BY k) AS m FROM (SELECT label, k, sum(x) AS t FROM (SELECT label, unnest(range(len(u))) AS k, unnest(u) AS x FROM units) GROUP BY 1, 2) GROUP BY 1),
 best AS (SELECT label, arg_min({{'id': vec_id, 'u': u}}, (-round(list_inner_product(u, m), 9), vec_id)) AS b FROM units JOIN sums USING (label) GROUP BY 1)
-SELECT label AS scope, vec_id, b.id AS medoid, round(1 - list_inner_product(u, b.u), 6) AS distance, 1 - list_inner_product(u, b.u) > 0.9 AS outlier FROM units JOIN best USING (label)"""),
+SELECT label AS scope, vec_id, b.id AS medoid, round(1 - list_inner_product(u, b.u), 6) + 0.0 AS distance, 1 - list_inner_product(u, b.u) > 0.9 AS outlier FROM units JOIN best USING (label)"""),
 }
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import data_queries, facet_queries, filter_queries, library_queries, neighbour_queries, record_queries, report_queries
+from . import data_queries, facet_queries, filter_queries, library_queries, neighbour_queries, record_queries, report_queries, structure_queries
 
-MODULES = (filter_queries, facet_queries, data_queries, library_queries, neighbour_queries, record_queries, report_queries)
+MODULES = (filter_queries, facet_queries, data_queries, library_queries, neighbour_queries, record_queries, report_queries, structure_queries)
 
 
 def queries():

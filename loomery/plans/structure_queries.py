@@ -151,7 +151,7 @@ FROM (SELECT id, {_P.replace('STRING', 'VARCHAR')} AS p, {_N.replace('STRING', '
 def _branching(spark, sf):
     """Hops in a graph of each part: every node feeds on two later ones and on one that may lie before it."""
     one = lambda k: f"'[\"' || CAST({k} AS STRING) || '\",0]'"
-    node = f"""'"' || CAST(k AS STRING) || '":{{"class_type":"' || CASE WHEN k = 0 THEN 'KSampler' ELSE 'Node' END || '","inputs":{{"say":"[\"0\", 1]","a":' || {one('2 * k + 1')} || ',"b":' || {one('2 * k + 2')} || ',"c":' || {one('(7 * k + p_partkey) % m')} || '}}}}'"""
+    node = f"""'"' || CAST(k AS STRING) || '":{{"class_type":"' || CASE WHEN k = 0 THEN 'KSampler' ELSE 'Node' END || '","inputs":{{"a":' || {one('2 * k + 1')} || ',"b":' || {one('2 * k + 2')} || ',"c":' || {one('(7 * k + p_partkey) % m')} || '}}}}'"""
     rows = C(spark, sf, "part").selectExpr("p_partkey", "p_partkey % 12 + 1 AS m")
     graph = F.expr("'{' || array_join(transform(sequence(0L, m - 1), k -> " + node + "), ',') || '}'")
     return rows.select("p_partkey", F.explode(records.upstream(graph)).alias("node", "hops"))

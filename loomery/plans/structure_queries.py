@@ -5,9 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomery.functions import categories, records
+from loomery.functions import captions, categories, records
 from loomery.operators import draws, evidence, pictures, review, vector_index, vectors
-from loomery.sources import packages
+from loomery.sources import packages, readers
 from loomery.streaming import activity, two_phase
 
 from . import catalog
@@ -148,6 +148,82 @@ CASE WHEN id % 7 < 3 THEN CASE WHEN starts_with(p, 'plain') THEN '' ELSE 'style'
 FROM (SELECT id, {_P.replace('STRING', 'VARCHAR')} AS p, {_N.replace('STRING', 'VARCHAR')} AS n, {_M.replace('STRING', 'VARCHAR')} AS m FROM items)"""
 
 
+def _answers(spark, sf):
+    """A model's answer about every item, in four forms by turns, taken apart again."""
+    prose = F.concat(F.lit("A "), F.coalesce("generator", F.lit("plain")), F.lit(" scene of "), F.col("width").cast("string"), F.lit("."))
+    tags = [F.concat(F.lit("tone "), (F.col("id") % 7).cast("string")), F.lower(F.coalesce("checkpoint", F.lit("none"))), F.when(F.col("id") % 3 == 0, "Seen from afar, and said so.").otherwise("blue sky")]
+    line, turn = F.array_join(F.array(*tags), ", "), F.col("id") % 4
+    said = (
+        F.when(turn == 0, F.to_json(F.struct(prose.alias("description"), line.alias("tags"))))
+        .when(turn == 1, F.concat(F.lit("```json\n"), F.to_json(F.struct(prose.alias("caption"), F.array(*tags).alias("tags"))), F.lit("\n```")))
+        .when(turn == 2, F.concat(F.lit("<nl>"), prose, F.lit("</nl> so <TAGS> "), line, F.lit("</TAGS>")))
+        .otherwise(F.concat(F.lit("Caption: "), prose, F.lit("\nTags: "), line))
+    )
+    return I(spark, sf).select("id", records.answer(said).alias("a")).select("id", "a.prose", "a.tags", F.array_join(records.tag_list(F.col("a.tags")), "|").alias("listed"))
+
+
+def _references(spark, sf):
+    """Models that every item's document names, some of them twice or without an address."""
+    n = F.col("id")
+    of = lambda k: F.struct(F.when((n + k) % 5 > 0, F.concat(F.lit("urn:air:sd1:lora:civitai:"), (n % 100 + k).cast("string"), F.lit("@"), (n + k).cast("string"))).otherwise("none").alias("air"), F.concat(F.lit("Mod "), (n % 13).cast("string")).alias("modelName"), F.when(n % 4 > 0, F.concat(F.lit("v"), (n % 4).cast("string"))).alias("versionName"), ((n % 9 + 1) / 4).alias("weight"))
+    text = F.concat(F.lit("a picture. Civitai resources: "), F.to_json(F.array(of(1), of(2), of(1))), F.lit(" and more"))
+    held = records.model_references(F.to_json(F.struct(n.alias("number"), F.struct(text.alias("said")).alias("inner"))))
+    return I(spark, sf).select("id", F.explode(held).alias("m")).select("id", "m.*")
+
+
+_REFERENCES = "SELECT id, 'Mod ' || id % 13 AS model, CASE WHEN id % 4 > 0 THEN 'v' || id % 4 END AS version, (id % 9 + 1) / 4 AS weight, id % 100 + k AS model_id, id + k AS version_id FROM items, (VALUES (1), (2)) t(k) WHERE (id + k) % 5 > 0"
+
+
+def _parameters(spark, sf):
+    """Generation values of every item's comment under the names used here."""
+    n = F.col("id")
+    comment = F.to_json(F.struct((n % 50 + 1).alias("steps"), (n % 8 + 0.5).alias("scale"), F.when(n % 3 > 0, n * 7).alias("seed"), F.col("width"), F.when(n % 5 > 0, F.col("height")).alias("height"), F.lit("x").alias("mine"), (n % 2 == 0).alias("sm")))
+    return I(spark, sf).select("id", F.explode(records.novel_params(comment)).alias("key", "value"))
+
+
+_PARAMETERS = "SELECT id, unnest(['steps', 'cfg_scale', 'seed', 'size', 'sm']) AS key, unnest([CAST(id % 50 + 1 AS VARCHAR), CAST(id % 8 + 0.5 AS VARCHAR), CASE WHEN id % 3 > 0 THEN CAST(id * 7 AS VARCHAR) END, CASE WHEN id % 5 > 0 THEN width || 'x' || height END, CASE WHEN id % 2 = 0 THEN 'true' ELSE 'false' END]) AS value FROM items"
+
+
+#: Texts that read like prompts or not, made of every item's own columns, in SQL of both engines.
+_READ = "CASE id % 5 WHEN 0 THEN prompt WHEN 1 THEN 'worst quality, lowres, ' || CAST(width AS STRING) || ', ' || coalesce(generator, 'blurry') || ', blurry' WHEN 2 THEN 'one line of plain words about picture ' || CAST(id AS STRING) || ' and nothing else' WHEN 3 THEN 'smile, ' || coalesce(prompt, 'none') || ', (look' || CAST(id % 9 AS STRING) || ':1.3)' ELSE coalesce(checkpoint, '') || ', x' END"
+_KNOWN = ("1girl", "Blue_Eyes", "smile", "model_3", "look4")
+
+
+def _read_like(spark, sf):
+    words = T(spark, sf).select("tag").distinct().union(spark.createDataFrame([(w,) for w in _KNOWN], "tag string"))
+    found = records.prompt_likeness(I(spark, sf).selectExpr("id", f"{_READ} AS t"), "id", "t", words)
+    return found.select("id", F.round("score", 6).alias("score"), F.round("share", 6).alias("share"), "negative")
+
+
+_LIKE = f"""known AS (SELECT DISTINCT replace(lower(tag), '_', ' ') AS w FROM (SELECT tag FROM utags UNION ALL SELECT unnest([{', '.join(f"'{w}'" for w in _KNOWN)}]))),
+t AS (SELECT id, coalesce({_READ.replace('STRING', 'VARCHAR')}, '') AS t FROM items),
+p AS (SELECT id, t, list_filter(list_transform(string_split(lower(regexp_replace(regexp_replace(t, '<[^<>]*>', ' ', 'g'), ':\s*-?[0-9.]+\s*\)|[()\[\]{{}}]', ' ', 'g')), ','), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS k, len(list_filter([{', '.join(f"'{w}'" for w in records.NEGATIVE_WORDS)}], lambda w: contains(lower(t), w))) >= 3 AS negative, len(list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '')) AS words FROM t),
+m AS (SELECT id, negative, len(k) AS n, list_sum(list_transform(k, lambda x: length(x))) / len(k) AS mean, CASE WHEN len(k) >= 5 THEN 0.5 WHEN len(k) >= 3 THEN 0.42 WHEN words >= 8 THEN 0.4 END AS base FROM p),
+h AS (SELECT id, count(w) / count(*) AS share FROM (SELECT id, replace(unnest(k), '_', ' ') AS x FROM p) LEFT JOIN known ON w = x GROUP BY 1),
+r AS (SELECT id, negative, coalesce(share, 0) AS share, CASE WHEN n = 0 THEN 0.0 WHEN base IS NULL THEN 0.1 WHEN NOT mean BETWEEN 2 AND 60 THEN 0.15 ELSE least(0.55, base + least(0.05, n * 0.005)) END AS shape FROM m LEFT JOIN h USING (id))"""
+
+
+def _assembled(spark, sf):
+    """The training caption of every item that has tags, from its own."""
+    of = lambda category, n: F.transform(F.sort_array(F.collect_set(F.when(F.col("category") == category, F.col("tag")))), lambda t: t).alias(n)
+    held = T(spark, sf).groupBy(F.col("item_id").alias("id")).agg(of("character", "c"), of("general", "g"))
+    return held.join(I(spark, sf).select("id", "nl_caption"), "id").select("id", captions.assembled("brand a1", F.col("c"), F.col("g"), F.col("nl_caption")).alias("x"))
+
+
+_ASSEMBLED = """SELECT id, concat_ws(', ', CASE WHEN len(y) > 0 THEN array_to_string(y, ', ') END, CASE WHEN trim(nl_caption) <> '' THEN trim(nl_caption) END) AS x FROM (SELECT id, nl_caption, CASE WHEN list_contains(l, 'brand a1') THEN l ELSE list_prepend('brand a1', l) END AS y FROM (SELECT item_id, list_filter(k, lambda x, i: list_position(k, x) = i) AS l FROM (SELECT item_id, list_transform(list_concat(coalesce(list(DISTINCT tag ORDER BY tag) FILTER (category = 'character'), []), coalesce(list(DISTINCT tag ORDER BY tag) FILTER (category = 'general'), [])), lambda t: trim(replace(lower(t), '_', ' '))) AS k FROM utags GROUP BY 1)) JOIN items ON id = item_id)"""
+
+
+def _tree(spark, sf):
+    """A tree of folders with the captions of every item, written and listed again: bytes of each folder."""
+    path = activity.scratch(spark, "tree")
+    rows = I(spark, sf).select(F.regexp_extract("path", r"^/lib/(\d+/sub\d+)/", 1).alias("f"), F.coalesce("ai_caption", F.lit("none")).alias("value"))
+    rows = rows.select(F.substring_index("f", "/", 1).alias("lib"), F.substring_index("f", "/", -1).alias("sub"), "value")
+    rows.repartition("lib", "sub").write.partitionBy("lib", "sub").text(path)
+    listed = readers.files(spark, path, "*.txt")
+    folder = lambda c: F.regexp_extract("path", f"/{c}=([^/]*)/", 1)
+    return listed.groupBy(folder("lib").alias("lib"), folder("sub").alias("sub")).agg(F.sum("size").alias("bytes"))
+
+
 def _branching(spark, sf):
     """Hops in a graph of each part: every node feeds on two later ones and on one that may lie before it."""
     one = lambda k: f"'[\"' || CAST({k} AS STRING) || '\",0]'"
@@ -205,6 +281,14 @@ ENTRIES = {
     "x47_drawn_tags": (_prompts, f"{_drawn_sql()} SELECT seed, category, tag, CAST(place AS INTEGER) AS place FROM {_LAST}"),
     "x47_prompts": (lambda s, d: draws.prompts(_prompts(s, d), ["quality", "character", "general", "rating"]), f"{_drawn_sql()} SELECT seed, string_agg(tag, ', ' ORDER BY list_position(['quality', 'character', 'general', 'rating'], category), place) AS prompt FROM {_LAST} GROUP BY 1"),
     "s12_built_records": (_built, _BUILT),
+    "x21_built_generators": (lambda s, d: _built(s, d).groupBy("generator").agg(F.count("*").alias("n"), F.min("id").alias("first")), f"SELECT generator, count(*) AS n, min(id) AS first FROM ({_BUILT}) GROUP BY 1"),
+    "x22_built_programs": (lambda s, d: _built(s, d).where("generator IN ('fooocus', 'swarmui', 'nai')"), f"SELECT * FROM ({_BUILT}) WHERE generator IN ('fooocus', 'swarmui', 'nai')"),
+    "x42_built_answers": (_answers, "SELECT id, prose, tags, CASE WHEN id % 3 = 0 THEN tone || '|' || model ELSE tone || '|' || model || '|blue sky' END || CASE WHEN id % 3 = 0 THEN '|Seen from afar' ELSE '' END AS listed FROM (SELECT id, 'A ' || coalesce(generator, 'plain') || ' scene of ' || width || '.' AS prose, tone || ', ' || model || ', ' || CASE WHEN id % 3 = 0 THEN 'Seen from afar, and said so.' ELSE 'blue sky' END AS tags, tone, model FROM (SELECT *, 'tone ' || id % 7 AS tone, lower(coalesce(checkpoint, 'none')) AS model FROM items))"),
+    "x51_built_references": (_references, _REFERENCES),
+    "x61_built_params": (_parameters, f"SELECT * FROM ({_PARAMETERS}) WHERE value IS NOT NULL"),
+    "x24_built_likeness": (_read_like, f"@{_LIKE} SELECT id, round(greatest(CASE WHEN share >= 0.4 THEN 0.6 + 0.4 * share ELSE share END, shape), 6) AS score, round(share, 6) AS share, negative FROM r WHERE (SELECT count(*) FROM utags) > 0"),
+    "x53_built_captions": (_assembled, _ASSEMBLED),
+    "s11_tree": (_tree, "SELECT split_part(path, '/', 3) AS lib, split_part(path, '/', 4) AS sub, CAST(sum(length(coalesce(ai_caption, 'none')) + 1) AS BIGINT) AS bytes FROM items GROUP BY 1, 2"),
     "x23_branching_graphs": (_branching, _BRANCHING),
     "j22_members_only": (lambda s, d: _scoped(s, d, "event_type = 'purchase'"), _SCOPED.format("event_type = 'purchase'")),
     "j22_empty_scope": (lambda s, d: _scoped(s, d, "event_type = 'none'"), _SCOPED.format("event_type = 'none'")),

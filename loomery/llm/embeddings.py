@@ -160,7 +160,7 @@ def _near(x: np.ndarray, budget: float, own: np.ndarray, chunk: np.ndarray, lo:
 
 
 _KEY = ["label", "dim", "block", "cell", "lo", "hi"]
-_KEY_TYPES = "label int, dim int, block int, cell long, lo int, hi int"
+_KEY_TYPES = "label string, dim int, block int, cell long, lo int, hi int"
 
 
 def _own_first(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -221,7 +221,8 @@ def _vectors(rows: DataFrame, vector_col: str, id_col: str, label_col: str) -> D
     # Adding 0.0 makes -0.0 into 0.0, as grouping does, so that equal vectors have equal hashes too.
     zero = F.lit(0.0).cast("float" if single else "double")
     plain = F.col(vector_col) if single else F.transform(F.col(vector_col), lambda v: v.cast("double"))
-    rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("int").alias("label"), F.transform(plain, lambda v: v + zero).alias("v"))
+    named = F.col(label_col) + 0.0 if dict(rows.dtypes)[label_col] in ("float", "double") else F.col(label_col)  # -0.0 is 0.0
+    rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), named.cast("string").alias("label"), F.transform(plain, lambda v: v + zero).alias("v"))
     finite = F.forall("v", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists("v", lambda v: v != 0)
     fit = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite, F.lit(False))
     rows = rows.select("vec_id", "label", F.when(fit, F.col("v")).alias("v"))
@@ -244,7 +245,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     cosine is at least ``threshold``. Vectors that are null, empty, zero or hold null or non-finite
     components link with nothing, and neither do rows of a null id; these have no links and are
     kept. Equal vectors of a label are one class with a count, so copies never meet as pairs;
-    repeated ids are rows of their own. Other columns are not carried; an empty table gives an
+    repeated ids are rows of their own. Labels may be of any type that has a text form. Other columns are not carried; an empty table gives an
     empty result.
     """
     rows = _vectors(vectors, vector_col, id_col, label_col)
@@ -264,10 +265,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     grid = Grid(turn, threshold, blocks, grid_dims(largest, spread[:: min(blocks, common)], width))
 
     cell = ["label", "dim", "block", "cell"]
-    sizes = classes.select("label", "v").mapInPandas(_cell_sizes(grid), "label int, cell long, rows long, dim int, block int, mine long")
+    sizes = classes.select("label", "v").mapInPandas(_cell_sizes(grid), "label string, cell long, rows long, dim int, block int, mine long")
     sizes = sizes.groupBy(*cell).agg(F.sum("rows").alias("rows"), F.sum("mine").alias("mine")).where((F.col("rows") > 1) & (F.col("mine") > 0))
     sizes = materialize(sizes.withColumn("chunks", F.ceil(F.col("rows") / CHUNK).cast("int")).select(*cell, "rows", "chunks"), "vector-cells")
-    entries = classes.select("label", "cid", "v").mapInPandas(_entries(grid), "label int, dim int, block int, cell long, own boolean, cid long, part binary")
+    entries = classes.select("label", "cid", "v").mapInPandas(_entries(grid), "label string, dim int, block int, cell long, own boolean, cid long, part binary")
     sized = spread_join(entries, sizes, cell, "rows")
     sized = sized.withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     sized = sized.select(*cell, F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "own", "chunk", "cid", "part")

@@ -113,6 +113,14 @@ def test_vectors(spark):
     assert embeddings.near_duplicates(frame.where("false")).collect() == []
 
 
+def test_labels_are_compared_as_they_are(spark):
+    """Fractions, texts and long numbers are labels too."""
+    for kind, labels in (("double", [0.25, 0.75, -0.0, 0.0]), ("string", ["a", "b", "c", "c"]), ("long", [2**40, 2**40 + 1, 7, 7])):
+        rows = [(i, x, [1.0, 0.01 * i]) for i, x in enumerate(labels)]
+        got = embeddings.near_duplicates(spark.createDataFrame(rows, f"vec_id long, label {kind}, embedding array<float>")).collect()
+        assert {r.vec_id: r.component_id for r in got} == {0: 0, 1: 1, 2: 2, 3: 2}, kind
+
+
 def test_negative_zeros_and_far_magnitudes(spark):
     rows = [(1, 0, [1.0, 0.0]), (2, 0, [1.0, -0.0]), (3, 0, [1.0, -0.01]), (4, 1, [1e300, -0.0]), (5, 1, [1e200, 1e199]), (6, 1, [2.0, 0.0]), (7, 1, [1e-300, 0.0]), (8, 1, [5e-324, -0.0]), (9, 1, [0.0, 1.5e308]), (10, 1, [float("inf"), 0.0]), (11, 1, [-0.0, 0.0])]
     got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()
@@ -185,6 +193,22 @@ def test_tokenizer_agrees():
     assert packing.Encoder().encode(odd) == want
 
 
+def test_tokenizer_agrees_on_random_texts():
+    """Characters of all planes, white space of all kinds, digits, marks and contractions, at random."""
+    import unicodedata
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    draw = np.random.default_rng(11)
+    groups = [[chr(c) for c in range(32, 127)], list(" \n\t\r\u00a0\u2003\u3000\x0b\x85"), ["'s", "'LL", "'re", "n't", "\u2019s"], [chr(c) for c in range(0x300, 0x370)], [chr(c) for c in range(0x1F300, 0x1F650)], [chr(c) for c in range(0x660, 0x66A)] + list("²½Ⅷ")]
+    pick = lambda g: g[int(draw.integers(len(g)))]
+    wild = lambda: next(c for c in iter(lambda: chr(int(draw.integers(1, 0x110000))), None) if unicodedata.category(c) != "Cs")
+    texts = ["".join(wild() if draw.random() < 0.2 else pick(groups[int(draw.integers(len(groups)))]) for _ in range(int(draw.integers(1, 60)))) for _ in range(4000)]
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.Encoder().encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def test_tokenizer_takes_long_white_space(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -278,6 +302,23 @@ def test_policies(docs):
         assert r.n_failed == entries.where(F.col("failed").bitwiseAND(F.lit(1 << bit)) != 0).count()
 
 
+def test_pipeline_of_nothing(spark):
+    """Stages of empty tables, and of null and empty texts, end with the columns of pieces."""
+    import tempfile
+
+    import corpus_pipeline
+
+    top = tempfile.mkdtemp(prefix="empty-")
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(f"{top}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{top}/labels.parquet")
+    out = corpus_pipeline.run(spark, top)
+    assert out.collect() == [] and "ids_crc32" in out.columns
+    odd = spark.createDataFrame([(1, None, None, None, None), (1, "", None, None, None), (None, "a", None, None, None)], schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, odd, top).columns == odd.columns
+
+
 def test_first_fit():
     bins = packing.first_fit_decreasing([5, 7, 3, 5, 2, 1], 10)
     assert bins == [[1, 2], [0, 3], [4, 5]]

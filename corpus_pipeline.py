@@ -13,22 +13,40 @@ from loomery.llm.common import materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labelled ones among them, doesn't reject."""
+    """Documents that the classifier, trained on the labelled ones among them, doesn't reject.
+
+    Null and empty texts get the score of a text without n-grams; repeated rows are judged one by
+    one; without labels, or with those of one class, the class's constant decides. An empty table stays
+    empty; all columns stay, whatever their names.
+    """
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule of the current policy rejects."""
+    """Documents that no rule of the current policy rejects.
+
+    Null and empty texts have no words and go; repeated rows stay or go together. An empty table
+    stays empty; all columns stay, whatever their names.
+    """
     return quality.keep_good(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: the smallest id.
+
+    Null and empty texts have one fingerprint and are one group, from which one row stays; repeated
+    rows are near duplicates of each other; a null id stays only where no other row of its group
+    has one. An empty table stays empty; all columns stay, whatever their names.
+    """
     return simhash.keep_one(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents, packed into sequences."""
+    """Pieces of the documents, packed into sequences, with digests of their ids.
+
+    A null or empty text is one piece of its end token; repeated rows are packed each. An empty table
+    gives no pieces; other columns are not carried.
+    """
     return packing.digests(packing.packed(docs))
 
 

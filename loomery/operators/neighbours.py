@@ -141,18 +141,20 @@ def meeting(named: DataFrame, key: list[str], held: str) -> DataFrame:
 
 def near_pairs(found: DataFrame, threshold: float, *scope: str) -> DataFrame:
     """Pairs ``a`` < ``b`` (``cls``) of ``classes`` of one scope and length with cosine at least
-    ``threshold``, and their ``similarity``. Exact; ``spark.checkpoint.dir`` must be set.
+    ``threshold``, and their ``similarity``. Exact; ``spark.checkpoint.dir`` must be set. ``found`` is read
+    several times, so it should be stored.
 
     Only a block's components travel with its name; pairs beyond the block's budget end there, and
     whole vectors meet for the few that are left. Vectors that lie too near the mean for names
     meet all others in blocks, as ``vectors.pairs_with`` has it.
     """
-    found = found.withColumn("scope", F.xxhash64(F.lit(0), *scope)).checkpoint()
-    rows, reach = found.count(), 2 - 2 * threshold
+    found = found.withColumn("scope", F.xxhash64(F.lit(0), *scope))
+    rows, reach = 0, 2 - 2 * threshold
     mean: dict[int, np.ndarray] = {}
-    sums = found.select("u").mapInArrow(_means, "dim int, k int, s double, n long").groupBy("dim", "k").agg((F.sum("s") / F.sum("n")).alias("m"))
+    sums = found.select("u").mapInArrow(_means, "dim int, k int, s double, n long").groupBy("dim", "k").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     for r in sums.collect():  # one row for each dimension
-        mean.setdefault(r["dim"], np.zeros(r["dim"]))[r["k"]] = r["m"]
+        mean.setdefault(r["dim"], np.zeros(r["dim"]))[r["k"]] = r["s"] / r["n"]
+        rows += r["n"] if r["k"] == 0 else 0
     entries = found.select("cls", "scope", "u").mapInArrow(_entries(mean, rows, reach), "cls long, scope long, dim int, block int, name long, own boolean, part array<double>").checkpoint()
 
     key = ["scope", "dim", "block", "name"]
@@ -168,7 +170,7 @@ def near_pairs(found: DataFrame, threshold: float, *scope: str) -> DataFrame:
     both = near.join(of("a", "ua"), "a").join(of("b", "ub"), "b").where("sa = sb AND size(ua) = size(ub)")
     dot = F.aggregate(F.zip_with("ua", "ub", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
     out = both.select("a", "b", dot.alias("similarity")).where(F.col("similarity") >= threshold)
-    flat = entries.where("block < 0").select(F.col("cls").alias("f")).checkpoint()
+    flat = entries.where("block < 0").select(F.col("cls").alias("f"))
     if not flat.isEmpty():
         out = out.union(plain.pairs_with(found.select(F.col("cls").alias("vec_id"), "u", "scope"), flat, threshold))
     return out
@@ -192,8 +194,8 @@ def keepers(pairs: DataFrame, ranks: DataFrame) -> DataFrame:
     """Each loser with its keeper (``id``, ``keeper``): in the order of the ranks, every node that is
     left is kept and takes all its neighbours that are left. Groups are never transitive.
 
-    ``pairs`` has ``a``, ``b``; ``ranks`` has ``id`` and ``rank``, an array<double> that ends with the
-    id, so that ranks differ; the smallest is the best. In rounds, nodes that outrank all their
+    ``pairs`` has ``a``, ``b``; ``ranks`` has ``id`` and ``rank``, an array<double>; the smallest is the best,
+    and of equal ones that of the smaller id. In rounds, nodes that outrank all their
     undecided neighbours are kept at once and those neighbours are lost; when few links are left, one
     task walks them. What is never lost is kept, and a loser's keeper is the best kept neighbour, as
     that one came first. Each round is written to ``spark.checkpoint.dir`` and makes the table smaller.
@@ -206,14 +208,20 @@ def keepers(pairs: DataFrame, ranks: DataFrame) -> DataFrame:
         if n <= LAST_LINKS:
             lost = lost.union(left.select("ka", "a", "b").coalesce(1).mapInPandas(_walk, "x long"))
             break
-        best = left.groupBy("a").agg(F.first("ka").alias("ka"), F.min("kb").alias("kb")).where("ka < kb").select(F.col("a").alias("x"))
+        at = lambda k, i: F.struct(F.col(k).alias("k"), F.col(i).alias("i"))
+        best = left.groupBy("a").agg(F.first(at("ka", "a")).alias("own"), F.min(at("kb", "b")).alias("other")).where("own < other").select(F.col("a").alias("x"))
         best = best.checkpoint()
         beaten = left.join(best, F.col("a") == F.col("x"), "left_semi").select(F.col("b").alias("x")).distinct().checkpoint()
         lost, gone = lost.union(beaten), best.union(beaten)
         left = left.join(gone, F.col("a") == F.col("x"), "left_anti").join(gone, F.col("b") == F.col("x"), "left_anti").checkpoint()
     lost = lost.checkpoint()
     held = links.join(lost, F.col("b") == F.col("x"), "left_semi").join(lost, F.col("a") == F.col("x"), "left_anti")
-    return held.groupBy(F.col("b").alias("id")).agg(F.min_by("a", "ka").alias("keeper"))
+    return held.groupBy(F.col("b").alias("id")).agg(F.min_by("a", F.struct("ka", "a")).alias("keeper"))
+
+
+def _halves(c: str) -> tuple[Column, Column]:
+    """A long as two doubles in its order, so that none is rounded."""
+    return F.shiftright(c, 32).cast("double"), F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)).cast("double")
 
 
 def duplicate_groups(vectors: DataFrame, facts: DataFrame, threshold: float) -> DataFrame:
@@ -225,7 +233,8 @@ def duplicate_groups(vectors: DataFrame, facts: DataFrame, threshold: float) ->
     neighbours, so they are walked as one node of their best member's rank, and the rest follow it.
     """
     zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    rank = F.array(-zero("user_rating"), -zero("aesthetic_score"), -zero("width") * zero("height"), -zero("file_size"), F.col("id").cast("double"))
+    facts = facts.withColumn("id", F.col("id").cast("long"))
+    rank = F.array(-zero("user_rating"), -zero("aesthetic_score"), -zero("width") * zero("height"), -zero("file_size"), *_halves("id"))
     known = vectors.join(facts.select("id", rank.alias("rank")), F.col("vec_id") == F.col("id")).drop("id")
     found = classes(known.select("vec_id", "embedding")).checkpoint()
     v = F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0))
@@ -264,7 +273,7 @@ def hash_groups(rows: DataFrame, most: int) -> DataFrame:
         return rows.where("false").select("id", F.col("id").alias("keeper"))
     held = rows.where("h IS NOT NULL").groupBy("h").agg(F.min("id").alias("best")).checkpoint()
     pairs = hash_pairs(held, most)
-    lost = keepers(pairs, held.select(F.col("h").alias("id"), F.array(F.col("best").cast("double")).alias("rank")))
+    lost = keepers(pairs, held.select(F.col("h").alias("id"), F.array(*_halves("best")).alias("rank")))
     to = held.select(F.col("h").alias("keeper"), F.col("best").alias("to"))
     named = held.join(lost.join(to, "keeper").select(F.col("id").alias("h"), "to"), "h", "left")
     out = rows.join(named, "h").select("id", F.coalesce("to", "best").alias("keeper"))

@@ -82,6 +82,18 @@ def test_keepers_equal_the_walk(spark, monkeypatch, last):
     assert {r.id: r.keeper for r in got.collect()} == walk(sorted(near, key=rank.get), near)
 
 
+@pytest.mark.parametrize("last", [0, 100_000])
+def test_equal_ranks_and_large_ids(spark, monkeypatch, last):
+    monkeypatch.setattr(neighbours, "LAST_LINKS", last)
+    big = 2**60
+    pairs = [(big + k, big + k + 1) for k in range(6)]
+    ranks = spark.createDataFrame([(big + k, [0.0]) for k in range(7)], "id long, rank array<double>")
+    got = neighbours.keepers(spark.createDataFrame(pairs, "a long, b long"), ranks)
+    assert {r.id - big: r.keeper - big for r in got.collect()} == {1: 0, 3: 2, 5: 4}
+    hashes = spark.createDataFrame([(big + k, (1 << k) - 1) for k in range(7)], "id long, h long")
+    assert {r.id - big: r.keeper - big for r in neighbours.hash_groups(hashes, 1).collect()} == {1: 0, 3: 2, 5: 4}
+
+
 def test_groups_with_ties_copies_and_missing_facts(spark):
     draw = np.random.default_rng(8)
     base = draw.normal(size=(12, 6))

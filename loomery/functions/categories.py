@@ -126,3 +126,20 @@ def categorized(tags: DataFrame, vocabulary: DataFrame | None = None) -> DataFra
     known = vocabulary.groupBy(F.translate(F.lower(F.trim("tag")), " ", "_").alias("__key")).agg(F.min("category").alias("__known"))
     joined = tags.withColumn("__key", F.translate(F.lower(F.trim("tag")), " ", "_")).join(known, "__key", "left")
     return joined.withColumn("category", F.coalesce("__known", rule)).drop("__key", "__known")
+
+
+def in_turn(tags: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Distinct ``tags`` (column ``tag``) with their ``category`` and what told it (``by``): the whole tag in the
+    ``vocabulary`` (``word``, ``category``), else the first rule of the ladder that holds, else the longest run
+    of its words in the vocabulary, else unknown. Null tags are left out."""
+    found = by_words(tags, vocabulary)
+    whole = F.coalesce(F.col("word") == F.array_join(F.filter(F.split(_key(F.col("tag")), "_+"), lambda w: w != ""), "_"), F.lit(False))
+
+    def settled(rule: Column) -> Column:
+        ruled, run = rule != "unknown", F.col("category").isNotNull()
+        told = F.when(whole, "word").when(ruled, "rule").when(run, "words").otherwise("none")
+        category = F.when(~whole & ruled, rule).when(run, F.col("category")).otherwise("unknown")
+        return F.struct(category.alias("category"), told.alias("by"))
+
+    # The rules are asked once for a tag: what follows from them is a row of its own.
+    return found.select("tag", F.inline(F.transform(F.array(by_rule(F.col("tag"))), settled)))

@@ -197,7 +197,7 @@ def _read_like(spark, sf):
 
 _LIKE = f"""known AS (SELECT DISTINCT replace(lower(tag), '_', ' ') AS w FROM (SELECT tag FROM utags UNION ALL SELECT unnest([{', '.join(f"'{w}'" for w in _KNOWN)}]))),
 t AS (SELECT id, coalesce({_READ.replace('STRING', 'VARCHAR')}, '') AS t FROM items),
-p AS (SELECT id, t, list_filter(list_transform(string_split(lower(regexp_replace(regexp_replace(t, '<[^<>]*>', ' ', 'g'), ':\s*-?[0-9.]+\s*\)|[()\[\]{{}}]', ' ', 'g')), ','), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS k, len(list_filter([{', '.join(f"'{w}'" for w in records.NEGATIVE_WORDS)}], lambda w: contains(lower(t), w))) >= 3 AS negative, len(list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '')) AS words FROM t),
+p AS (SELECT id, t, list_filter(list_transform(string_split(lower(regexp_replace(regexp_replace(t, '<[^<>]*>', ' ', 'g'), ':\\s*-?[0-9.]+\\s*\\)|[()\\[\\]{{}}]', ' ', 'g')), ','), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS k, len(list_filter([{', '.join(f"'{w}'" for w in records.NEGATIVE_WORDS)}], lambda w: contains(lower(t), w))) >= 3 AS negative, len(list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '')) AS words FROM t),
 m AS (SELECT id, negative, len(k) AS n, list_sum(list_transform(k, lambda x: length(x))) / len(k) AS mean, CASE WHEN len(k) >= 5 THEN 0.5 WHEN len(k) >= 3 THEN 0.42 WHEN words >= 8 THEN 0.4 END AS base FROM p),
 h AS (SELECT id, count(w) / count(*) AS share FROM (SELECT id, replace(unnest(k), '_', ' ') AS x FROM p) LEFT JOIN known ON w = x GROUP BY 1),
 r AS (SELECT id, negative, coalesce(share, 0) AS share, CASE WHEN n = 0 THEN 0.0 WHEN base IS NULL THEN 0.1 WHEN NOT mean BETWEEN 2 AND 60 THEN 0.15 ELSE least(0.55, base + least(0.05, n * 0.005)) END AS shape FROM m LEFT JOIN h USING (id))"""
@@ -271,6 +271,22 @@ UNION ALL SELECT id, 'small_image', 2, width || 'x' || height FROM items WHERE l
 UNION ALL SELECT id, 'duplicate_group', 2, CAST(keeper AS VARCHAR) FROM l UNION ALL SELECT DISTINCT keeper, 'duplicate_group', 2, CAST(keeper AS VARCHAR) FROM l WHERE keeper IN (SELECT id FROM items))"""
 _HASH = "coalesce(CAST(sum(CAST('0x' || substr({h}, 1, 12) AS HUGEINT)) AS VARCHAR), '0') || '-' || coalesce(CAST(sum(CAST('0x' || substr({h}, 13, 12) AS HUGEINT)) AS VARCHAR), '0')"
 
+#: Tags of every part that reach each kind of rule, in SQL of both engines.
+_AFFIXES = ("from_{}", "{}_background", "{} hair", "holding_{}", "{}_print", "rating:{}", "score_{}", "@{}", "no_{}", "{}_request", "{}girl", "own_hands_{}", "{}_raised", "{}_skirt", "{}_(medium)", "{}_view", "closed {} mouth", "{}", "old {} sky")
+AFFIXED = f"CASE p_partkey % {len(_AFFIXES)} " + " ".join(f"WHEN {k} THEN '" + a.replace("{}", "' || p_name || '") + "'" for k, a in enumerate(_AFFIXES)) + " END"
+
+
+def _ladder(t: str) -> str:
+    """The ladder's rules in SQL, one after the other."""
+    texts = lambda words: ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+    test = {"is": lambda ws: f"{t} IN ({texts(ws)})", "token": lambda ws: f"list_has_any(regexp_split_to_array({t}, '[_\\-\\s]+'), [{texts(ws)}])"}
+    for kind, f in (("starts", "starts_with"), ("ends", "ends_with"), ("holds", "contains"), ("matches", "regexp_matches")):
+        test[kind] = lambda ws, f=f: "(" + " OR ".join(f"{f}({t}, {texts([w])})" for w in ws) + ")"
+    return "CASE " + " ".join(f"WHEN {test[kind](words)} THEN '{category}'" for category, kind, words in categories.LADDER) + " ELSE 'unknown' END"
+
+
+_IN_TURN = f"{_BY_WORDS.replace(TAGGED, AFFIXED).rsplit('SELECT w.tag, b.word', 1)[0]} SELECT tag, CASE told WHEN 'rule' THEN rule WHEN 'none' THEN 'unknown' ELSE category END AS category, told AS by FROM (SELECT *, CASE WHEN word = array_to_string(ws, '_') THEN 'word' WHEN rule <> 'unknown' THEN 'rule' WHEN category IS NOT NULL THEN 'words' ELSE 'none' END AS told FROM (SELECT w.tag, w.ws, b.word AS word, b.category AS category, {_ladder('k')} AS rule FROM (SELECT *, replace(lower(trim(tag)), ' ', '_') AS k FROM w) w LEFT JOIN best USING (tag)))"
+
 #: name -> (query, SQL); None where the index decides which rows are found
 ENTRIES = {
     "j15_index_candidates": (_candidates, None),
@@ -296,6 +312,7 @@ ENTRIES = {
     "a27_evidence_page": (lambda s, d: review.review_page(_gathered(s, d), 60, (1, "empty_caption", 400)), f"@{_GATHERED} SELECT * FROM found WHERE (severity, kind, id) > (1, 'empty_caption', 400) ORDER BY severity, kind, id LIMIT 60"),
     "a46_readiness_report": (lambda s, d: evidence.report(I(s, d), _gathered(s, d)), f"@{_GATHERED} SELECT (SELECT count(*) FROM items) AS items, (SELECT {_HASH.format(h='md5(CAST(id AS VARCHAR))')} FROM items) AS scope_hash, count(*) AS evidence, count(*) FILTER (severity = 0) AS blockers, {_HASH.format(h='h')} AS input_hash, (SELECT count(*) FROM items WHERE id NOT IN (SELECT id FROM found WHERE severity = 0)) AS ready FROM (SELECT *, md5(concat_ws('|', CAST(id AS VARCHAR), kind, CAST(severity AS VARCHAR), coalesce(detail, '-'))) AS h FROM found)"),
     "x60_whole_records": (lambda s, d: pictures.records(_pixels(s, d)), _RECORDS),
+    "x08_in_turn": (lambda s, d: categories.in_turn(C(s, d, "part").selectExpr(f"{AFFIXED} AS tag"), _words(s, d)), _IN_TURN),
     "x08_by_words": (lambda s, d: categories.by_words(C(s, d, "part").selectExpr(f"{TAGGED} AS tag"), _words(s, d)), _BY_WORDS),
 }
 

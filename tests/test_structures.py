@@ -154,6 +154,35 @@ def test_categories_by_the_longest_run_of_words(spark):
     assert got == {"long_Blue_hair": ("blue_hair", "colour"), "hair": ("hair", "body"), "blue hair": ("blue_hair", "colour"), "long sleeves": ("long", "size"), "night sky": ("sky", "air"), "tall tower": none, "": none, "__": none, "hair of the dog": ("hair", "body"), "of_the_hill": ("of_the", "none")}
 
 
+def test_words_come_before_rules_and_rules_before_runs(spark):
+    words = spark.createDataFrame([("night sky", "mine"), ("tower", "place"), ("hair", "other")], "word string, category string")
+    want = {"Night_Sky": ("mine", "word"), "blue_hair": ("body", "rule"), "tall tower": ("place", "words"), "zzz": ("unknown", "none"), "": ("unknown", "none"), "hair": ("other", "word"), "from_tower": ("angle", "rule")}
+    got = categories.in_turn(spark.createDataFrame([(t,) for t in [*want, None]], "tag string"), words).collect()
+    assert {r.tag: (r.category, r.by) for r in got} == want
+
+
+def test_evidence_of_all_kinds(spark):
+    from loomery.operators import evidence
+
+    items = spark.createDataFrame([(1, "/a", 1, 900, 900, 5.0), (2, "/b", 0, 500, 900, 1.234), (3, "/c", None, 900, 900, None)], "id long, path string, is_readable int, width int, height int, aesthetic_score double")
+    tags = spark.createDataFrame([(1, "general", 0.5), (1, "explicit", 0.9), (1, "general", 0.9), (2, "general", 0.1), (9, "x", 0.1)], "item_id long, tag string, confidence double")
+    said = spark.createDataFrame([(1, "a"), (2, "  "), (9, "z")], "id long, caption string")
+    there = spark.createDataFrame([("/a",), ("/b",), ("/b",)], "path string")
+    sources = spark.createDataFrame([(1, "prompt", "workflow_widget_fallback"), (1, "loras", "global_graph_fallback"), (1, "prompt", "global_graph_fallback"), (2, "prompt", "txt"), (3, "prompt", "explicit_metadata"), (9, "x", "txt")], "id long, field string, source string")
+    groups = spark.createDataFrame([(3, 1), (2, 1)], "id long, keeper long")
+    run = lambda **more: evidence.gathered(items, tags, said, there, sources, groups, ("general", "explicit"), 0.6, 600, 2.0, **more)
+    assert sorted((r.kind, r.id, r.detail) for r in run().collect()) == sorted([
+        ("file_missing", 3, "/c"), ("image_unreadable", 2, None), ("empty_caption", 2, None), ("empty_caption", 3, None), ("rating_conflict", 1, "explicit,general"), ("low_tag_confidence", 1, "1"), ("low_tag_confidence", 2, "1"),
+        ("metadata_provenance_risk", 1, "loras,prompt"), ("sidecar_metadata_dependency", 2, "prompt"), ("small_image", 2, "500x900"), ("low_aesthetic", 2, "123"), ("duplicate_group", 1, "1"), ("duplicate_group", 2, "1"), ("duplicate_group", 3, "1"),
+    ])
+    assert {r.kind for r in run(kinds=("small_image", "file_missing")).collect()} == {"small_image", "file_missing"}
+    whole, part = evidence.report(items, run()).first(), evidence.report(items, run(kinds=("small_image",))).first()
+    assert (whole["items"], whole.evidence, whole.blockers, whole.ready) == (3, 14, 2, 1) and (part.blockers, part.ready) == (0, 3)
+    assert whole.scope_hash == part.scope_hash and whole.input_hash != part.input_hash
+    assert evidence.report(items.repartition(5), run().repartition(7)).first() == whole
+    assert evidence.report(items.where("false"), run().where("false")).first()["items"] == 0
+
+
 def test_names_of_forks(spark):
     names = {
         "reForge": "reforge", "Re-Forge 1.2": "reforge", "sdwebuireforge": "reforge", "SD_WebUI-reForge": "reforge", "stable diffusion webui reforge": "reforge", "sd-webui-forge": "forge", "StableDiffusionWebUIForge": "forge",

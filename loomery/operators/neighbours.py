@@ -6,9 +6,8 @@ distance D, some block of k dimensions is within D / blocks; where the two names
 both components of each differing dimension are at least as far apart as each is from the mean, so
 for one of the two vectors the squared distances of those components from the mean sum to no more
 than D / blocks / 2. Each vector therefore enters every block under its own name and asks under
-all names that its own components allow within that sum: two vectors meet by an equi-join, no
-link is lost, and with about as many dimensions in a block as the number of vectors has bits the
-names are as many as the vectors.
+all names that its own components allow within that sum: two vectors meet by an equi-join, and no
+link is lost. How many names that is depends on the threshold, so plans are compared by cost.
 """
 
 from __future__ import annotations
@@ -22,9 +21,12 @@ from pyspark.sql import functions as F
 from loomery.operators import vectors as plain
 
 #: Names that a block may ask under; vectors that would ask under more meet all others in blocks.
-MOST_NAMES = 4096
+MOST_NAMES = 8192
 #: Rows of a name that meet in one task, on each side.
 CHUNK = 1024
+#: What plans are compared by: bytes of a row besides its components, the vectors judged, and nanoseconds
+#: of a byte sent, of two names that meet, and of a product within a block.
+ROW_BYTES, JUDGED, PER_BYTE, PER_MEETING, PER_PRODUCT = 60, 100, 10, 400, 0.15
 #: Widens every budget by more than the rounding of doubles.
 SLACK = 1e-9
 #: Undecided links that are few enough to be walked in one task.
@@ -55,10 +57,9 @@ def _means(batches):
         yield pa.RecordBatch.from_pydict({"dim": np.full(dim, dim, np.int32), "k": np.arange(dim, dtype=np.int32), "s": s, "n": n.astype(np.int64)})
 
 
-def blocks_of(dim: int, rows: int) -> list[np.ndarray]:
-    """Dimensions of each block: about as many as the number of rows has bits, 8 to 40."""
-    bits = min(max(8, int(rows).bit_length()), 40)
-    return np.array_split(np.arange(dim), max(1, round(dim / bits)))
+def blocks_of(dim: int, blocks: int) -> list[np.ndarray]:
+    """Dimensions of each block; a name has 62 bits at most."""
+    return np.array_split(np.arange(dim), max(min(blocks, dim), -(-dim // 62)))
 
 
 def names(gap: np.ndarray, budget: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,43 +82,61 @@ def names(gap: np.ndarray, budget: float) -> tuple[np.ndarray, np.ndarray, np.nd
     return own, at, own[at] ^ mask
 
 
-def _entries(mean: dict[int, np.ndarray], rows: int, reach: float):
-    """Of each vector: its own names, and those that it asks under (block -1: it must meet all)."""
+def _entries(mean: dict[int, np.ndarray], blocks: int, reach: float):
+    """Of each vector and block: its own name, and all names that it asks under (block -1: it meets all)."""
 
     def of(batches):
         for whole in batches:
             for at in range(0, len(whole), 512):
                 b = whole.slice(at, 512)
-                length, cls = pa.compute.list_value_length(b.column("u")).to_numpy(), b.column("cls").to_numpy()
-                scope = b.column("scope").to_numpy(zero_copy_only=False)
+                length = pa.compute.list_value_length(b.column("u")).to_numpy()
                 for dim in np.unique(length).tolist():
-                    own = length == dim
-                    x = b.column("u").filter(pa.array(own)).flatten().to_numpy().reshape(-1, dim)
-                    parts = blocks_of(dim, rows)
-                    budget = reach / len(parts) / 2 * (1 + SLACK) + SLACK
-                    flat = np.zeros(len(x), bool)
-                    found = []
-                    for axes in parts:
-                        name, asks, asked = names(x[:, axes] - mean[dim][axes], budget)
-                        flat |= np.bincount(asks, minlength=len(x)) == 0
-                        found.append((name, asks, asked))
+                    own = b.filter(pa.array(length == dim))
+                    x = own.column("u").flatten().to_numpy().reshape(-1, dim)
+                    parts = blocks_of(dim, blocks)
+                    found = [names(x[:, axes] - mean[dim][axes], budget_of(reach, parts)) for axes in parts]
+                    flat = np.any([np.bincount(asks, minlength=len(x)) == 0 for _, asks, _ in found], axis=0)
                     for k, (axes, (name, asks, asked)) in enumerate(zip(parts, found)):
-                        kept = ~flat[asks]
-                        mine = np.flatnonzero(~flat)
-                        row = np.concatenate([mine, asks[kept]])
-                        held = x[row][:, axes]
+                        asked, asks = asked[~flat[asks]], asks[~flat[asks]]
+                        asked = asked[np.argsort(asks, kind="stable")]
+                        ends = np.cumsum(np.bincount(asks, minlength=len(x))[~flat])
+                        n = len(ends)
                         yield pa.RecordBatch.from_pydict({
-                            "cls": cls[own][row], "scope": scope[own][row], "dim": np.full(len(row), dim, np.int32), "block": np.full(len(row), k, np.int32),
-                            "name": np.concatenate([name[mine], asked[kept]]), "own": np.arange(len(row)) < len(mine),
-                            "part": pa.ListArray.from_arrays(np.arange(len(row) + 1, dtype=np.int32) * len(axes), held.ravel()),
+                            "cls": own.column("cls").filter(pa.array(~flat)), "scope": own.column("scope").filter(pa.array(~flat)), "dim": np.full(n, dim, np.int32), "block": np.full(n, k, np.int32), "name": name[~flat],
+                            "asks": pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), asked), "part": pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * len(axes), x[~flat][:, axes].ravel()),
                         })
-                    if flat.any():
-                        row = np.flatnonzero(flat)
-                        yield pa.RecordBatch.from_pydict({"cls": cls[own][row], "scope": scope[own][row], "dim": np.full(len(row), dim, np.int32), "block": np.full(len(row), -1, np.int32), "name": np.zeros(len(row), np.int64), "own": np.ones(len(row), bool), "part": pa.array([None] * len(row), pa.list_(pa.float64()))})
+                    n = int(flat.sum())
+                    none = lambda kind: pa.array([None] * n, pa.list_(kind))  # noqa: E731, B023
+                    yield pa.RecordBatch.from_pydict({"cls": own.column("cls").filter(pa.array(flat)), "scope": own.column("scope").filter(pa.array(flat)), "dim": np.full(n, dim, np.int32), "block": np.full(n, -1, np.int32), "name": np.zeros(n, np.int64), "asks": none(pa.int64()), "part": none(pa.float64())})
 
     return of
 
 
+def budget_of(reach: float, parts: list) -> float:
+    """What a vector may spend on differing sides in a block."""
+    return reach / len(parts) / 2 * (1 + SLACK) + SLACK
+
+
+def best_blocks(sample: list, mean: dict[int, np.ndarray], rows: int, reach: float) -> int:
+    """Into how many blocks names should cut vectors so that sending and comparing cost least, judged by
+    a sample of unit vectors; 0 if multiplying all of them costs less. All find the same pairs.
+
+    Fewer blocks tell vectors better apart, but ask under more names. Costs are nanoseconds of a task.
+    """
+    cost = {0: sum(rows / (2 * plain.BLOCK) * (ROW_BYTES + 8 * len(u)) * PER_BYTE + rows * len(u) * PER_PRODUCT for u in sample)}
+    for blocks in range(2, 13):
+        cost[blocks] = 0.0
+        for u in sample:
+            parts = blocks_of(len(u), blocks)
+            for axes in parts:
+                asks = len(names(np.array(u)[None, axes] - mean[len(u)][axes], budget_of(reach, parts))[1])
+                asks = asks or rows  # such a vector meets all others
+                cost[blocks] += asks * (ROW_BYTES + 8 * len(axes)) * PER_BYTE + 2 * asks * rows / 2.0 ** len(axes) * PER_MEETING
+            if cost[blocks] > min(cost.values()):
+                break
+    return min(cost, key=cost.get)
+
+
 def _distance(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)
 
@@ -139,10 +158,11 @@ def meeting(named: DataFrame, key: list[str], held: str) -> DataFrame:
     return own.join(dealt.where("NOT own").select(*at, F.col("cls").alias("y"), F.col(held).alias("py")), at)
 
 
-def near_pairs(found: DataFrame, threshold: float, *scope: str) -> DataFrame:
+def near_pairs(found: DataFrame, threshold: float, *scope: str, blocks: int | None = None) -> DataFrame:
     """Pairs ``a`` < ``b`` (``cls``) of ``classes`` of one scope and length with cosine at least
     ``threshold``, and their ``similarity``. Exact; ``spark.checkpoint.dir`` must be set. ``found`` is read
-    several times, so it should be stored.
+    several times, so it should be stored. Where names would cost more than multiplying all vectors
+    (``vectors.block_pairs``), that is done; ``blocks`` sets what ``best_blocks`` would choose.
 
     Only a block's components travel with its name; pairs beyond the block's budget end there, and
     whole vectors meet for the few that are left. Vectors that lie too near the mean for names
@@ -155,15 +175,20 @@ def near_pairs(found: DataFrame, threshold: float, *scope: str) -> DataFrame:
     for r in sums.collect():  # one row for each dimension
         mean.setdefault(r["dim"], np.zeros(r["dim"]))[r["k"]] = r["s"] / r["n"]
         rows += r["n"] if r["k"] == 0 else 0
-    entries = found.select("cls", "scope", "u").mapInArrow(_entries(mean, rows, reach), "cls long, scope long, dim int, block int, name long, own boolean, part array<double>").checkpoint()
+    if blocks is None:
+        blocks = best_blocks([r["u"] for r in found.select("u").limit(JUDGED).collect()], mean, rows, reach)
+    if not blocks:
+        return plain.block_pairs(found.select(F.col("cls").alias("vec_id"), "u", "scope"), threshold)
+    schema = "cls long, scope long, dim int, block int, name long, asks array<long>, part array<double>"
+    entries = found.select("cls", "scope", "u").mapInArrow(_entries(mean, blocks, reach), schema).checkpoint()
 
     key = ["scope", "dim", "block", "name"]
-    named = entries.where("block >= 0")
+    held = entries.where("block >= 0")
+    named = held.select(*key, "cls", "part", F.lit(True).alias("own")).unionByName(held.select("scope", "dim", "block", F.explode("asks").alias("name"), "cls", "part", F.lit(False).alias("own")))
     met = meeting(named, key, "part").where("x <> y")
-    blocks = {d: len(blocks_of(d, rows)) for d in mean}
     limit = F.lit(None).cast("double")
-    for d, n in blocks.items():
-        limit = F.when(F.col("dim") == d, reach / n * (1 + SLACK) + SLACK).otherwise(limit)
+    for d in mean:
+        limit = F.when(F.col("dim") == d, 2 * budget_of(reach, blocks_of(d, blocks))).otherwise(limit)
     near = met.where(_distance("px", "py") <= limit).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     of = lambda n, u: found.select(F.col("cls").alias(n), F.col("u").alias(u), F.col("scope").alias(f"s{n}"))

@@ -1,4 +1,4 @@
-"""Vector search: cosine, nearest neighbours, medoids, and pairs with a few chosen vectors."""
+"""Vector search: cosine, nearest neighbours, medoids, and pairs by blocks."""
 
 from __future__ import annotations
 
@@ -97,6 +97,31 @@ def pairs_with(vectors: DataFrame, some: DataFrame, threshold: float, block: int
     return left.union(right).groupBy("scope", "i", "j").applyInPandas(of, "a long, b long, similarity double")
 
 
+def block_pairs(vectors: DataFrame, threshold: float, block: int = 2 * BLOCK) -> DataFrame:
+    """All pairs ``a`` < ``b`` of unit vectors (``vec_id``, ``u``, ``scope``) of one scope and length with cosine
+    (``similarity``) at least ``threshold``. Exact: a scope is dealt to blocks, each two of which are multiplied
+    in one task, so a vector is sent to as many tasks as its scope has blocks."""
+    sizes = vectors.groupBy("scope").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rows = vectors.join(sizes, "scope").withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = rows.select("scope", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "vec_id", "u")
+
+    def of(pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
+        out = [pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "similarity": np.zeros(0)})]
+        for _, part in pdf.groupby(pdf["u"].map(len)):
+            x, ids, own = np.stack(part["u"].to_numpy()), part["vec_id"].to_numpy(), part["own"].to_numpy()
+            left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+            for k in range(0, len(left), 512):
+                i, j = np.nonzero((s := x[left[k : k + 512]] @ x[right].T) >= threshold)
+                p, q = ids[left[k + i]], ids[right[j]]
+                once = p < q if lo == hi else np.ones(len(p), bool)
+                out.append(pd.DataFrame({"a": np.minimum(p, q)[once], "b": np.maximum(p, q)[once], "similarity": s[i, j][once]}))
+        return pd.concat(out)
+
+    return dealt.groupBy("scope", "lo", "hi").applyInPandas(of, "a long, b long, similarity double")
+
+
 def _unit_sums(scope: str):
     """Per task: sums of the unit vectors of each scope and length."""
 

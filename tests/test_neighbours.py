@@ -30,14 +30,16 @@ def walk(ids, near):
     return lost
 
 
+@pytest.mark.parametrize("blocks", [0, 2, 5])
 @pytest.mark.parametrize("dim, threshold", [(5, 0.95), (16, 0.9), (40, 0.8)])
-def test_pairs_equal_all_pairs(spark, dim, threshold):
+def test_pairs_equal_all_pairs(spark, monkeypatch, dim, threshold, blocks):
+    monkeypatch.setattr(vectors, "BLOCK", 32)
     draw = np.random.default_rng(dim)
     base = draw.normal(size=(60, dim)) + draw.normal(size=dim)  # off the origin, so sides aren't even
     x = [base[k % 60] + draw.normal(size=dim) * 0.25 * (k % 4 > 0) * base.std() for k in range(300)]
     x = [v for k, v in enumerate(x) if k % 4 or k < 60]
     want = cosines(x, threshold)
-    got = neighbours.near_pairs(neighbours.classes(frame(spark, x)), threshold).collect()
+    got = neighbours.near_pairs(neighbours.classes(frame(spark, x)).checkpoint(), threshold, blocks=blocks).collect()
     assert {(r.a, r.b): pytest.approx(r.similarity, abs=1e-9) for r in got} == want and want
 
 
@@ -49,26 +51,37 @@ def test_copies_are_one_class_and_odd_vectors_none(spark):
     assert neighbours.near_pairs(found.where("false"), 0.9).collect() == []
 
 
+def test_names_are_taken_where_they_cost_less():
+    draw = np.random.default_rng(0)
+    sample = draw.normal(size=(30, 64))
+    sample = list(sample / np.linalg.norm(sample, axis=1)[:, None])
+    mean = {64: np.zeros(64)}
+    assert neighbours.best_blocks(sample, mean, 10_000, 0.1) == 0
+    assert neighbours.best_blocks(sample, mean, 10**8, 0.02) > 1
+    assert neighbours.best_blocks([], {}, 0, 0.1) == 0
+
+
 def test_vectors_near_the_mean_meet_all_others(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "MOST_NAMES", 3)
     draw = np.random.default_rng(0)
     x = draw.normal(size=(80, 12))
     x[40:] = x[:40] + 0.2 * draw.normal(size=(40, 12))
-    got = neighbours.near_pairs(neighbours.classes(frame(spark, x)), 0.9).collect()
+    got = neighbours.near_pairs(neighbours.classes(frame(spark, x)).checkpoint(), 0.9, blocks=2).collect()
     assert {(r.a, r.b) for r in got} == set(cosines(x, 0.9)) and len(got) == len(set(got))
 
 
 def test_hot_names_are_dealt_to_chunks(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "CHUNK", 8)
     x = np.random.default_rng(1).normal(size=(90, 10)) * 0.05 + np.eye(10)[0]
-    got = neighbours.near_pairs(neighbours.classes(frame(spark, x)), 0.985).collect()
+    got = neighbours.near_pairs(neighbours.classes(frame(spark, x)).checkpoint(), 0.985, blocks=2).collect()
     assert {(r.a, r.b) for r in got} == set(cosines(x, 0.985))
 
 
 def test_pairs_stay_in_their_scope(spark):
     x = [[1.0, 0.0], [1.0, 0.1], [1.0, 0.2], [1.0, 0.3], [1.0, 0.1]]
-    found = neighbours.classes(frame(spark, x, [0, 1, 0, None, None]), "label")
-    assert {(r.a, r.b) for r in neighbours.near_pairs(found, 0.9, "label").collect()} == {(0, 2), (3, 4)}
+    found = neighbours.classes(frame(spark, x, [0, 1, 0, None, None]), "label").checkpoint()
+    for blocks in (0, 1, 2, None):
+        assert {(r.a, r.b) for r in neighbours.near_pairs(found, 0.9, "label", blocks=blocks).collect()} == {(0, 2), (3, 4)}
 
 
 @pytest.mark.parametrize("last", [0, 40, 100_000])

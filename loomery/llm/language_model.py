@@ -3,22 +3,26 @@
 A latent state emits a word class (the ends of the word, hashed to a fixed number of classes), and
 a class emits the word by its corpus count: P(w | s) = P(class(w) | s) * (c(w) + 1) / (C + V + 1),
 with C and V the class's tokens and distinct words in training. So the state tables have a fixed
-size, and the word table grows with the corpus and stays distributed. The expected counts of an
-iteration are summed across partitions; scoring runs the scaled forward recursion over whole texts.
+size, and the word table grows with the corpus and stays distributed. Texts are split into words
+once: a task makes blocks of its texts, numbers a block's words, and from then on texts are arrays of
+such numbers and of classes. The expected counts of an iteration are summed across partitions; scoring
+runs the scaled forward recursion over whole texts.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc32, materialize, null_as_empty, null_id, spread_join, whole_id
+from .common import id_crc32, materialize, null_id, spread_join, whole_id
 
 STATES = 6
 CLASSES = 4096
@@ -26,24 +30,21 @@ ITERATIONS = 3
 #: Tokens of a training run; a longer text is several runs, the later of which begin in the states
 #: that the model is in on average, and don't count as starts.
 SEQUENCE = 512
-#: UTF-8 bytes of text whose words and counts meet in one task: at most, and, while there are few
-#: blocks, at least.
-BLOCK_BYTES, SMALL_BLOCK_BYTES, FEW_BLOCKS = 16 << 20, 4 << 20, 32
+#: A block takes texts until it has so many UTF-8 bytes; its words and their counts meet in one task.
+BLOCK_BYTES = 4 << 20
+#: Scoring deals the blocks to four times as many tasks, for an even spread, and to so many at most.
+MOST_TASKS = 50_000
 END = b""
 LOG10 = np.log(10)
 
 
-def tokens(text: str) -> list[bytes]:
-    """Words (A-Z lower-cased, split at ASCII white space), then the end."""
-    out = text.encode("utf-8", "surrogatepass").lower().split()
+def tokens(text: bytes) -> list[bytes]:
+    """Words of UTF-8 bytes (A-Z lower-cased, split at ASCII white space), then the end."""
+    out = text.lower().split()
     out.append(END)
     return out
 
 
-_SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_LOWER = np.arange(256, dtype=np.uint8) + 32 * ((np.arange(256) >= 65) & (np.arange(256) <= 90)).astype(np.uint8)
-
-
 def end_classes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """Class of each word ``raw[start:stop]`` of lower-cased bytes: 0 for an empty word (the end),
     else the hash of its first two and last three bytes (of up to five bytes: of all of them),
@@ -66,19 +67,6 @@ def word_classes(words: list[bytes]) -> np.ndarray:
     return end_classes(np.frombuffer(b"".join(words), np.uint8), np.concatenate([[0], stops[:-1]]).astype(np.int64), stops)
 
 
-def text_classes(texts: list[str]) -> list[np.ndarray]:
-    """Of each text, the classes of the words of ``tokens(text)``, the end included."""
-    held = [t.encode("utf-8", "surrogatepass") for t in texts]
-    raw = _LOWER[np.frombuffer(b"\n".join(held), np.uint8)]
-    edges = np.flatnonzero(np.diff(np.concatenate([[True], _SPACES[raw], [True]])))
-    starts, stops = edges[0::2], edges[1::2]
-    owner = np.searchsorted(np.cumsum([len(b) + 1 for b in held]), starts, side="right")
-    ends = np.cumsum(np.bincount(owner, minlength=len(held)) + 1)
-    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.int32)
-    out[np.arange(len(starts)) + owner] = end_classes(raw, starts, stops)
-    return np.split(out, ends[:-1])
-
-
 @dataclass
 class Parameters:
     """Start (K), transitions (K x K) and emissions (K x M) of a hidden Markov model."""
@@ -178,12 +166,6 @@ def _add(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
         into[:, k] += np.bincount(rows, values[:, k], len(into))
 
 
-def _batches_of(batches):
-    for pdf in batches:
-        for at in range(0, len(pdf), 2048):
-            yield pdf.iloc[at : at + 2048]
-
-
 def _slices(kind: str, values: np.ndarray):
     """A table of numbers as rows of a bounded size."""
     flat = np.ascontiguousarray(values, np.float64).ravel()
@@ -205,17 +187,19 @@ def _summed(stats: DataFrame) -> dict[str, np.ndarray]:
 
 
 def train(texts: DataFrame, base: np.ndarray, iterations: int = ITERATIONS) -> Parameters:
-    """Baum-Welch over all ``texts`` (column ``text``), from ``base`` class probabilities."""
+    """Baum-Welch over all ``texts`` (column ``classes``: 16-bit classes of a text's tokens), from
+    ``base`` class probabilities."""
     p = initial(base)
     for _ in range(iterations):
         now = p
 
         def step(batches):
             sums = [np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES))]
-            for pdf in _batches_of(batches):
-                texts = null_as_empty(pdf["text"])
-                for part in (texts[i : i + 512] for i in range(0, len(texts), 512)):
-                    cut = [(s[i : i + SEQUENCE], i == 0) for s in text_classes(part) for i in range(0, len(s), SEQUENCE)]
+            for pdf in batches:
+                held = pdf["classes"].tolist()
+                for part in (held[i : i + 512] for i in range(0, len(held), 512)):
+                    whole = [np.frombuffer(b, "<u2").astype(np.int32) for b in part]
+                    cut = [(s[i : i + SEQUENCE], i == 0) for s in whole for i in range(0, len(s), SEQUENCE)]
                     for total, more in zip(sums, expected_counts([c for c, _ in cut], now, [first for _, first in cut])):
                         total += more
             yield pd.DataFrame([r for kind, s in zip("sme", sums) for r in _slices(kind, s)], columns=["part", "sums"])
@@ -233,56 +217,76 @@ def learns(column: str = "doc_id"):
     return F.pmod(id_crc32(column), F.lit(7)) != 2
 
 
-_DICTIONARY = pa.schema([("block", pa.int32()), ("word", pa.binary()), ("n", pa.int64())])
+_BLOCK = "block long, doc_id long, absent boolean, learnt boolean, numbers binary, classes binary, word binary, number int, class int, n long"
+_TEXT_ROWS = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("absent", pa.bool_()), ("learnt", pa.bool_()), ("numbers", pa.binary()), ("classes", pa.binary())])
+_WORD_ROWS = pa.schema([("block", pa.int64()), ("word", pa.binary()), ("number", pa.int32()), ("class", pa.int32()), ("n", pa.int64())])
+_ROWS = pa.unify_schemas([_TEXT_ROWS, _WORD_ROWS])
+
+
+def _in_halves(numbers: np.ndarray) -> bytes:
+    """The low 16 bits of all numbers, then the high ones, which are mostly 0 and pack well."""
+    return (numbers & 0xFFFF).astype("<u2").tobytes() + (numbers >> 16).astype("<u2").tobytes()
 
 
-def _dictionary(batches):
-    """Per batch and block: each distinct word of its texts, with its count in training texts."""
+def _of_halves(held: bytes) -> np.ndarray:
+    low, high = np.frombuffer(held, "<u2").reshape(2, -1).astype(np.int64)
+    return low | high << 16
+
+
+def _filled(schema: pa.Schema, columns: list) -> pa.RecordBatch:
+    """A batch of all columns, null where ``schema`` has none."""
+    held = {f.name: pa.array(c, f.type) for f, c in zip(schema, columns)}
+    size = len(columns[0])
+    return pa.RecordBatch.from_arrays([held.get(f.name, pa.nulls(size, f.type)) for f in _ROWS], schema=_ROWS)
+
+
+def _numbered(block: int, number: dict, held: list):
+    """A block: a row for each text, with the numbers of its words, and, where it is learnt from, their
+    classes; and a row for each distinct word, with its class and its count in training texts."""
+    words = list(number)
+    classes = word_classes(words)
+    learnt = [numbers for _, _, known, numbers in held if known]
+    n = np.bincount(np.concatenate(learnt), minlength=len(words)) if learnt else np.zeros(len(words), np.int64)
+    of = classes.astype("<u2")
+    ids, absent, known, numbers = zip(*held)
+    yield _filled(_TEXT_ROWS, [[block] * len(held), ids, absent, known, [_in_halves(x) for x in numbers], [of[x].tobytes() if k else None for x, k in zip(numbers, known)]])
+    yield _filled(_WORD_ROWS, [np.full(len(words), block), words, np.arange(len(words), dtype=np.int32), classes, n])
+
+
+def _blocks(batches):
+    """The blocks of one task; a block's name is made of the task's number and the block's own."""
+    block, size, number, held = TaskContext.get().partitionId() << 32, 0, defaultdict(count().__next__), []
     for batch in batches:
-        pdf = batch.to_pandas()
-        for block, part in pdf.groupby("block"):
-            seen, counted = set(), Counter()
-            for text, learnt in zip(null_as_empty(part["text"]), part["learnt"]):
-                words = tokens(text)
-                (counted if learnt else seen).update(words)
-            words = [*counted, *(seen - counted.keys())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block, np.int32)), pa.array(words, pa.binary()), pa.array([counted.get(w, 0) for w in words], pa.int64())], schema=_DICTIONARY)
-
-
-def _class_totals(batches):
-    """Per task: tokens and distinct words of each class."""
-    c, v = np.zeros(CLASSES), np.zeros(CLASSES)
-    for pdf in batches:
-        classes = word_classes(pdf["word"].tolist())
-        n = pdf["c"].to_numpy(np.float64)
-        c += np.bincount(classes, n, CLASSES)
-        v += np.bincount(classes, n > 0, CLASSES)
-    yield pd.DataFrame(_slices("c", c) + _slices("v", v), columns=["part", "sums"])
+        for doc_id, absent, learnt, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "absent", "learnt", "text"))):
+            words = tokens(text)
+            held.append((doc_id, absent, learnt, np.fromiter(map(number.__getitem__, words), np.int64, len(words))))
+            size += len(text)
+            if size >= BLOCK_BYTES:
+                yield from _numbered(block, number, held)
+                block, size, number, held = block + 1, 0, defaultdict(count().__next__), []
+    if held:
+        yield from _numbered(block, number, held)
 
 
 def _score_block(p: Parameters, floor: np.ndarray, total: int, distinct: int):
-    """Scores of a block's texts, given the counts of its words.
+    """Scores of a block's texts, given the counts and classes of its words.
 
     ``floor``: log10 of each class's denominator.
     """
     base_floor = np.log10(total + distinct + 1)
 
     def of(texts: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        c = counts["c"].to_numpy(np.int64)
-        plus = np.log10(c + 1.0)
-        number = dict(zip(counts["word"], range(len(c))))
-        classes = word_classes(counts["word"].tolist())
+        counts = counts.sort_values("number")
+        c, classes = counts["c"].to_numpy(np.int64), counts["class"].to_numpy(np.int64)
+        plus, known = np.log10(c + 1.0), c > 0
         rows = []
         for at in range(0, len(texts), 2048):
             part = texts.iloc[at : at + 2048]
-            ids = []
-            for text in null_as_empty(part["text"]):
-                words = tokens(text)
-                ids.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
+            ids = [_of_halves(b) for b in part["numbers"]]
             hidden = log_likelihoods([classes[i] for i in ids], p) / LOG10
             for doc_id, absent, learnt, i, h in zip(part["doc_id"], part["absent"], part["learnt"], ids, hidden):
                 words = plus[i].sum()
-                rows.append((doc_id, absent, not learnt, len(i), int((c[i] > 0).sum()), total, words - len(i) * base_floor, h + words - floor[classes[i]].sum()))
+                rows.append((doc_id, absent, not learnt, len(i), int(known[i].sum()), total, words - len(i) * base_floor, h + words - floor[classes[i]].sum()))
         return pd.DataFrame(rows, columns=["doc_id", "absent", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return of
@@ -298,22 +302,23 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", itera
     and are scored one by one; other columns are not carried. Without training texts, every word
     is unknown and N and V are 0; an empty table gives an empty result.
     """
-    rows = docs.select(*whole_id(id_col), F.coalesce(text_col, F.lit("")).alias("text"), learns(id_col).alias("learnt"))
-    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES), min(FEW_BLOCKS, -(-size // SMALL_BLOCK_BYTES)))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
-    rows = materialize(rows, "language-model-texts")
-    dictionary = rows.select("block", "text", "learnt").mapInArrow(_dictionary, "block int, word binary, n long")
-    dictionary = materialize(dictionary.groupBy("block", "word").agg(F.sum("n").alias("n")), "language-model-words")
-    counts = materialize(dictionary.groupBy("word").agg(F.sum("n").alias("c"), F.count("*").alias("blocks")), "language-model-counts")
-    sums = _summed(counts.mapInPandas(_class_totals, "part string, sums binary"))
-    c, v = sums.get("c", np.zeros(CLASSES)), sums.get("v", np.zeros(CLASSES))
+    spark = docs.sparkSession
+    rows = docs.select(*whole_id(id_col), F.coalesce(text_col, F.lit("")).cast("binary").alias("text"), learns(id_col).alias("learnt"))
+    table = materialize(rows.mapInArrow(_blocks, _BLOCK), "language-model-blocks")
+    dictionary = table.where("word IS NOT NULL")
+    counts = dictionary.groupBy("word").agg(F.first("class").alias("class"), F.sum("n").alias("c"), F.count("*").alias("blocks"))
+    counts = materialize(counts, "language-model-counts")
+    sums = counts.groupBy("class").agg(F.sum("c").alias("c"), F.count_if(F.col("c") > 0).alias("v"), F.max("blocks").alias("blocks")).collect()
+    c, v = np.zeros(CLASSES), np.zeros(CLASSES)
+    for r in sums:
+        c[r["class"]], v[r["class"]] = r["c"], r["v"]
     total, distinct = int(c.sum()), int(v.sum())
-    p = train(rows.where("learnt").select("text"), (c + 0.5) / (c + 0.5).sum(), iterations)
-    of_block = spread_join(dictionary, counts, ["word"], "blocks").select("block", "word", "c")
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * blocks)
-    texts = rows.select("block", "doc_id", "absent", "text", "learnt").repartition(tasks, "block")
-    scored = texts.groupBy("block").cogroup(of_block.repartition(tasks, "block").groupBy("block"))
+    p = train(table.where("classes IS NOT NULL").select("classes"), (c + 0.5) / (c + 0.5).sum(), iterations)
+    of_block = spread_join(dictionary.select(F.col("block").alias("of"), "word", "number"), counts, ["word"], "blocks").select("of", "number", "class", "c")
+    blocks = max((r["blocks"] for r in sums), default=0)  # the end is a word of every block
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, 4 * blocks))
+    texts = table.where("word IS NULL").select("block", "doc_id", "absent", "learnt", "numbers").repartition(tasks, "block")
+    scored = texts.groupBy("block").cogroup(of_block.repartition(tasks, "of").groupBy("of"))
     scored = scored.applyInPandas(_score_block(p, np.log10(c + v + 1), total, distinct), _SCORES)
     return scored.select(null_id(), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 

@@ -40,6 +40,48 @@ def base_scores(docs):
     return {i: (crc(i) % 7 == 2, len(ws), sum(counts[w] > 0 for w in ws), n, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws)) for i, ws in toks.items()}
 
 
+def hidden_scores(texts, learnt, word_class, m, initial, rounds):
+    """(n_tokens, log10 probability) of each text under a hidden Markov model of word classes, trained
+    by unscaled forward and backward sums."""
+    toks = [[*SPACED.findall((t or "").translate(LOWER)), ""] for t in texts]
+    of = {w: word_class(w.encode()) for ws in toks for w in ws}
+    counts = Counter(w for ws, k in zip(toks, learnt) if k for w in ws)
+    c, v = np.zeros(m), np.zeros(m)
+    for w, n in counts.items():
+        c[of[w]] += n
+        v[of[w]] += 1
+    base = (c + 0.5) / (c + 0.5).sum()
+    p = initial(base)
+    start, move, emit = p.start, p.move, p.emit
+    k = len(start)
+
+    def forward(seq):
+        out = [start * emit[:, seq[0]]]
+        for x in seq[1:]:
+            out.append((out[-1] @ move) * emit[:, x])
+        return out
+
+    for _ in range(rounds):
+        begun, moved, emitted = np.zeros(k), np.zeros((k, k)), np.zeros((k, m))
+        for ws, known in zip(toks, learnt):
+            if not known:
+                continue
+            seq = [of[w] for w in ws]
+            ahead, total = forward(seq), forward(seq)[-1].sum()
+            back = np.ones(k)
+            for t in range(len(seq) - 1, -1, -1):
+                emitted[:, seq[t]] += ahead[t] * back / total
+                if t:
+                    moved += np.outer(ahead[t - 1], emit[:, seq[t]] * back) * move / total
+                    back = move @ (emit[:, seq[t]] * back)
+                else:
+                    begun += ahead[0] * back / total
+        emitted += 0.5 * k * base
+        start, move, emit = ((x + a) / (x + a).sum(axis=-1, keepdims=True) for x, a in ((begun, 0.1), (moved, 0.1), (emitted, 0)))
+    words = lambda w: math.log10((counts[w] + 1) / (c[of[w]] + v[of[w]] + 1))
+    return [(len(ws), math.log10(forward([of[w] for w in ws])[-1].sum()) + sum(map(words, ws))) for ws in toks]
+
+
 def quality(text):
     text = text or ""
     words = SPACED.findall(text)

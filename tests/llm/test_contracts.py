@@ -195,15 +195,38 @@ def test_class_scores_by_hand(spark):
     from loomery.llm import language_model as lm
 
     p = lm.initial(np.full(lm.CLASSES, 1 / lm.CLASSES))
-    text = "one two three"
-    (classes,) = lm.text_classes([text])
-    assert classes.tolist() == lm.word_classes(lm.tokens(text)).tolist()
+    classes = lm.word_classes(lm.tokens(b"One two\x0bthree"))
+    assert classes.tolist() == lm.word_classes([b"one", b"two", b"three", b""]).tolist() and classes[-1] == 0
     total = sum(p.start[s[0]] * np.prod([p.move[a, b] for a, b in zip(s, s[1:])]) * np.prod([p.emit[a, c] for a, c in zip(s, classes)]) for s in itertools.product(range(lm.STATES), repeat=len(classes)))
     assert lm.log_likelihoods([classes], p)[0] == pytest.approx(math.log(total), abs=1e-9)
     runs = lm.expected_counts([classes[:2], classes[2:]], p, [True, False])
     assert runs[0].sum() == pytest.approx(1) and runs[2].sum() == pytest.approx(4)
 
 
+def test_language_model_scores_by_hand(spark, monkeypatch):
+    """Whole scores, from the counts to two iterations of training and the sum over paths, in blocks of a few texts."""
+    from loomery.llm import language_model as lm
+
+    draw = np.random.default_rng(5)
+    words = ["the", "The", "a", "café", "run\u00a0on", "x" * 9, "end.", "σίγμα", "zip"]
+    docs = [(i, sep.join(draw.choice(words, draw.integers(0, 14)))) for i, sep in zip(range(40), [" ", "\n", "\t ", " \x0c"] * 10)] + [(40, None), (41, ""), (41, "the the"), (None, "a zip"), (2**60 + 1, "the end.")]
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 100)
+    monkeypatch.setattr(lm, "SEQUENCE", 10**9)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id or -1, r.n_tokens, r.score) for r in lm.score(frame, iterations=2).collect())
+    learnt = [(0 if i is None else brute.crc(i)) % 7 != 2 for i, _ in docs]
+    want = brute.hidden_scores([t for _, t in docs], learnt, lambda w: int(lm.word_classes([w])[0]), lm.CLASSES, lm.initial, 2)
+    for (i, n, score), (j, m, plain) in zip(got, sorted((i or -1, m, x) for (i, _), (m, x) in zip(docs, want)), strict=True):
+        assert (i, n) == (j, m) and score == pytest.approx(plain, abs=1e-8)
+
+
+def test_numbers_in_halves():
+    from loomery.llm import language_model as lm
+
+    x = np.array([0, 1, 65535, 65536, 70000, 2**31 - 1], np.int64)
+    assert lm._of_halves(lm._in_halves(x)).tolist() == x.tolist()
+
+
 def test_segmentation_probabilities_by_enumeration():
     """The sampled segmentation's probability, against all segmentations of the word."""
     from loomery.llm import pieces

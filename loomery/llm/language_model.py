@@ -31,7 +31,7 @@ ITERATIONS = 3
 #: that the model is in on average, and don't count as starts.
 SEQUENCE = 512
 #: A block takes texts until it has so many UTF-8 bytes; its words and their counts meet in one task.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 16 << 20
 #: Scoring deals the blocks to four times as many tasks, for an even spread, and to so many at most.
 MOST_TASKS = 50_000
 END = b""
@@ -306,7 +306,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", itera
     rows = docs.select(*whole_id(id_col), F.coalesce(text_col, F.lit("")).cast("binary").alias("text"), learns(id_col).alias("learnt"))
     table = materialize(rows.mapInArrow(_blocks, _BLOCK), "language-model-blocks")
     dictionary = table.where("word IS NOT NULL")
-    counts = dictionary.groupBy("word").agg(F.first("class").alias("class"), F.sum("n").alias("c"), F.count("*").alias("blocks"))
+    counts = dictionary.groupBy("word").agg(F.max("class").alias("class"), F.sum("n").alias("c"), F.count("*").alias("blocks"))
     counts = materialize(counts, "language-model-counts")
     sums = counts.groupBy("class").agg(F.sum("c").alias("c"), F.count_if(F.col("c") > 0).alias("v"), F.max("blocks").alias("blocks")).collect()
     c, v = np.zeros(CLASSES), np.zeros(CLASSES)

@@ -101,20 +101,32 @@ def reconnect(missing: DataFrame, found: DataFrame) -> DataFrame:
     one (``fingerprint``); else the only one of neither time nor fingerprint (``name_size``). Several
     at a step are ``ambiguous``, and none at all ``none``. An item goes to the first path that takes
     it; later ones are ``used``.
+
+    Nothing is paired: lost items are counted by what a step compares, and a file asks for those counts.
     """
-    m = missing.select("id", "name", F.col("size").alias("s"), F.col("seconds").alias("t"), F.col("fingerprint").alias("f"))
-    both = found.join(m, "name", "left").where(F.col("id").isNull() | F.col("s").isNull() | (F.col("s") == F.col("size")))
-    both = found.select("path").join(both, "path", "left")
-    timed = F.coalesce(F.abs(F.col("seconds") - F.col("t")) <= TIME_TOLERANCE, F.lit(False))
-    printed = ~timed & F.coalesce(F.col("fingerprint") == F.col("f"), F.lit(False))
-    bare = ~timed & F.col("t").isNull() & F.col("f").isNull() & F.col("id").isNotNull()
-    steps = both.groupBy("path").agg(*(F.count_if(c).alias(f"n_{k}") for k, c in (("stat", timed), ("fingerprint", printed), ("name_size", bare))), *(F.min(F.when(c, F.col("id"))).alias(k) for k, c in (("stat", timed), ("fingerprint", printed), ("name_size", bare))))
+    lost = missing.select("id", "name", F.col("size").alias("s"), F.col("seconds").alias("t"), F.col("fingerprint").alias("f"))
+    asks = found.withColumn("s", F.explode(F.array_distinct(F.array(F.col("size"), F.lit(None)))))
+    slot = lambda c: F.floor(F.col(c) / TIME_TOLERANCE)
+    counted = lambda rows, *by: rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    meet = lambda x, y, *by: x.alias("x").join(y.alias("y"), [F.col("x.name") == F.col("y.name"), F.col("x.s").eqNullSafe(F.col("y.s")), *(F.col(f"x.{a}") == F.col(f"y.{b}") for a, b in by)])
+    times = counted(lost.where("t IS NOT NULL"), "name", "s", "t").withColumn("slot", slot("t"))
+    near = asks.withColumn("slot", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: slot("seconds") + k)))
+    hits = {
+        "stat": meet(near, times, ("slot", "slot")).where(F.abs(F.col("seconds") - F.col("t")) <= TIME_TOLERANCE),
+        "fingerprint": meet(asks, counted(lost, "name", "s", "f"), ("fingerprint", "f")),  # where none is of the same time
+        "name_size": meet(asks, counted(lost.where("t IS NULL AND f IS NULL AND id IS NOT NULL"), "name", "s")),
+    }
+    every = found.select("path", F.lit("").alias("step"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("id"))
+    for k, rows in hits.items():
+        every = every.union(rows.select("path", F.lit(k), "n", F.col("id").cast("long")))
+    of = lambda k, c: F.when(F.col("step") == k, F.col(c))
+    steps = every.groupBy("path").agg(*(F.coalesce(F.sum(of(k, "n")), F.lit(0)).alias(f"n_{k}") for k in hits), *(F.min(of(k, "id")).alias(k) for k in hits))
     how, which = F.when(F.lit(False), ""), F.when(F.lit(False), F.lit(0).cast("long"))
-    for k in ("stat", "fingerprint", "name_size"):
+    for k in hits:
         how = how.when(F.col(f"n_{k}") == 1, k).when(F.col(f"n_{k}") > 1, "ambiguous")
         which = which.when(F.col(f"n_{k}") == 1, F.col(k)).when(F.col(f"n_{k}") > 1, F.lit(None).cast("long"))
     told = steps.select("path", how.otherwise("none").alias("how"), which.alias("id"))
-    turn = F.row_number().over(Window.partitionBy("id").orderBy("path"))
+    turn = F.row_number().over(Window.partitionBy("id", F.when(F.col("id").isNull(), F.col("path"))).orderBy("path"))  # files of no item don't meet
     return told.withColumn("turn", F.when(F.col("id").isNotNull(), turn)).select("path", F.when(F.col("turn") > 1, "used").otherwise(F.col("how")).alias("how"), F.when(F.coalesce(F.col("turn"), F.lit(1)) == 1, F.col("id")).alias("id"))
 
 

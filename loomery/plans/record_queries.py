@@ -110,7 +110,7 @@ _EXPECTED = ", ".join(f"{_turn_sql([want[k] for _, want in CASES])} AS {name}" f
 def _hops(spark, sf):
     """Hops in a chain of twelve or fewer nodes that the item's id fixes, and in its two oddities."""
     node = lambda k: F.concat(F.lit(f'"{k}":{{"class_type":"' + ("KSampler" if k == 0 else "Node") + '","inputs":{"text":"[9, 0]","in":[["'), F.lit(str(k + 1)), F.lit('",0],["gone",1]]}}'))
-    rows = I(spark, sf).select("id", F.concat(F.lit("{"), F.array_join(F.slice(F.array(*(node(k) for k in range(8))), F.lit(1), (F.col("id") % 8 + 1).cast("int")), ","), F.lit("}")).alias("graph"))
+    rows = catalog.dealt(I(spark, sf).select("id"), "id").select("id", F.concat(F.lit("{"), F.array_join(F.slice(F.array(*(node(k) for k in range(8))), F.lit(1), (F.col("id") % 8 + 1).cast("int")), ","), F.lit("}")).alias("graph"))
     return rows.select("id", F.explode(records.upstream(F.col("graph"))).alias("node", "hops"))
 
 

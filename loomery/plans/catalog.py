@@ -61,12 +61,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def dealt(frame: DataFrame, key: str) -> DataFrame:
-    """``frame`` over all shuffle partitions by ``key``: for small rows on which much is computed, as the few
-    tasks that read a small file would do all of it."""
-    return frame.repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
-
-
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per item."""
     return table(spark, sf_dir, "orders").selectExpr(*ITEM)

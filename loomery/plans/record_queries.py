@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loomery.functions import captions, categories, records, text
 from loomery.operators import datasets, library, mutate, paging, review, vectors
+from loomery.operators.dealing import dealt
 from loomery.sources import readers
 from loomery.streaming import activity
 
@@ -22,6 +23,8 @@ from .filter_queries import SORTS
 from .filter_queries import library as filtered
 
 C, I, T, ALL = catalog.table, catalog.items, catalog.unique_tags, catalog.tags
+#: Pictures whose pixels one task reads.
+PICTURES = 5_000
 KEY = b"review"
 
 #: Chunks of a file, and generator, prompt, negative prompt, checkpoint and LoRAs that they hold.
@@ -110,7 +113,7 @@ _EXPECTED = ", ".join(f"{_turn_sql([want[k] for _, want in CASES])} AS {name}" f
 def _hops(spark, sf):
     """Hops in a chain of twelve or fewer nodes that the item's id fixes, and in its two oddities."""
     node = lambda k: F.concat(F.lit(f'"{k}":{{"class_type":"' + ("KSampler" if k == 0 else "Node") + '","inputs":{"text":"[9, 0]","in":[["'), F.lit(str(k + 1)), F.lit('",0],["gone",1]]}}'))
-    rows = catalog.dealt(I(spark, sf).select("id"), "id").select("id", F.concat(F.lit("{"), F.array_join(F.slice(F.array(*(node(k) for k in range(8))), F.lit(1), (F.col("id") % 8 + 1).cast("int")), ","), F.lit("}")).alias("graph"))
+    rows = dealt(I(spark, sf).select("id"), "id").select("id", F.concat(F.lit("{"), F.array_join(F.slice(F.array(*(node(k) for k in range(8))), F.lit(1), (F.col("id") % 8 + 1).cast("int")), ","), F.lit("}")).alias("graph"))
     return rows.select("id", F.explode(records.upstream(F.col("graph"))).alias("node", "hops"))
 
 
@@ -169,7 +172,7 @@ def _choices(spark, sf):
 
 def _pixels(spark, sf):
     """A picture for each part: an eight by eight patch of it."""
-    p = C(spark, sf, "part")
+    p = dealt(C(spark, sf, "part").select("p_partkey"), "p_partkey", PICTURES)
     return p.select(F.col("p_partkey").alias("id"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("k")).selectExpr("id", "k % 8 * 40 + id % 30 AS x", "k DIV 8 * 50 + id % 20 AS y", "id * 7 * (k + 1) % 256 AS level", "id * 3 * (k + 2) % 256 AS r", "id * 5 * (k + 3) % 256 AS g", "id * 11 * (k + 1) % 256 AS b")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomery.functions import captions, categories, records
 from loomery.operators import draws, evidence, pictures, review, vector_index, vectors
+from loomery.operators.dealing import dealt
 from loomery.sources import packages, readers
 from loomery.streaming import activity, two_phase
 
@@ -228,7 +229,7 @@ def _branching(spark, sf):
     """Hops in a graph of each part: every node feeds on two later ones and on one that may lie before it."""
     one = lambda k: f"'[\"' || CAST({k} AS STRING) || '\",0]'"
     node = f"""'"' || CAST(k AS STRING) || '":{{"class_type":"' || CASE WHEN k = 0 THEN 'KSampler' ELSE 'Node' END || '","inputs":{{"a":' || {one('2 * k + 1')} || ',"b":' || {one('2 * k + 2')} || ',"c":' || {one('(7 * k + p_partkey) % m')} || '}}}}'"""
-    rows = catalog.dealt(C(spark, sf, "part").select("p_partkey"), "p_partkey").selectExpr("p_partkey", "p_partkey % 12 + 1 AS m")
+    rows = dealt(C(spark, sf, "part").select("p_partkey"), "p_partkey").selectExpr("p_partkey", "p_partkey % 12 + 1 AS m")
     graph = F.expr("'{' || array_join(transform(sequence(0L, m - 1), k -> " + node + "), ',') || '}'")
     return rows.select("p_partkey", F.explode(records.upstream(graph)).alias("node", "hops"))
 

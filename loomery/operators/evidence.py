@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .dealing import dealt
+
 #: Kinds of evidence: what stops an export (0), what harms it (1) and what is worth a look (2).
 SEVERITIES = {
     "file_missing": 0, "image_unreadable": 0, "empty_caption": 1, "rating_conflict": 1, "metadata_provenance_risk": 1,
     "low_tag_confidence": 2, "sidecar_metadata_dependency": 2, "small_image": 2, "low_aesthetic": 2, "duplicate_group": 2,
 }
+#: Kinds that are found among the items themselves, so that none of other items can be among them.
+OWN = ("file_missing", "image_unreadable", "empty_caption", "small_image", "low_aesthetic")
+#: Items that meet their evidence in one task.
+ITEMS = 250_000
 #: Sources of a field that only guess, and carriers that lie beside the picture.
 FALLBACKS = ("global_candidate_fallback", "workflow_widget_fallback", "global_graph_fallback")
 CARRIERS = ("txt", "json", "xmp")
@@ -33,10 +39,11 @@ def gathered(
     wanted kinds need is read.
     """
     c, none = F.col, F.lit(None).cast("string")
+    items = items.where("id IS NOT NULL")
     rated = tags.where(c("tag").isin(*ratings)).groupBy(c("item_id").alias("id")).agg(F.sort_array(F.collect_set("tag")).alias("r"))
     doubted = tags.where(c("confidence") < least_confidence).groupBy(c("item_id").alias("id")).agg(F.count("*").cast("string").alias("detail"))
     said = captions.where(F.trim("caption") != "").select("id")
-    known = items.select("id")
+    known = dealt(items.select("id"), "id", ITEMS).hint("shuffle_hash")
     found = {
         "file_missing": lambda: items.join(listing.select("path").distinct(), "path", "left_anti").select("id", c("path").alias("detail")),
         "image_unreadable": lambda: items.where(F.coalesce("is_readable", F.lit(1)) == 0).select("id", none.alias("detail")),
@@ -51,7 +58,7 @@ def gathered(
     }
     out = None
     for kind in kinds:
-        rows = found[kind]().join(known, "id", "left_semi").select("id", F.lit(kind).alias("kind"), F.lit(SEVERITIES[kind]).alias("severity"), "detail")
+        rows = (found[kind]() if kind in OWN else found[kind]().join(known, "id", "left_semi")).select("id", F.lit(kind).alias("kind"), F.lit(SEVERITIES[kind]).alias("severity"), "detail")
         out = rows if out is None else out.unionByName(rows)
     return out
 

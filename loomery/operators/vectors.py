@@ -11,6 +11,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 #: Rows of a block; two blocks meet in one task.
 BLOCK = 2048
+#: Where all vectors meet: blocks that a scope is dealt to before they grow, and the most rows of one.
+BLOCKS, MOST_ROWS = 24, 65_536
 
 
 def cosine_to(query: list[float], vector_col: str = "embedding") -> Column:
@@ -97,11 +99,18 @@ def pairs_with(vectors: DataFrame, some: DataFrame, threshold: float, block: int
     return left.union(right).groupBy("scope", "i", "j").applyInPandas(of, "a long, b long, similarity double")
 
 
+def blocks_for(rows: int, block: int = 2 * BLOCK) -> int:
+    """Blocks of a scope: as many as ``block`` rows each make, but no more than BLOCKS until each has MOST_ROWS."""
+    return max(min(-(-rows // block), BLOCKS), -(-rows // MOST_ROWS))
+
+
 def block_pairs(vectors: DataFrame, threshold: float, block: int = 2 * BLOCK) -> DataFrame:
     """All pairs ``a`` < ``b`` of unit vectors (``vec_id``, ``u``, ``scope``) of one scope and length with cosine
     (``similarity``) at least ``threshold``. Exact: a scope is dealt to blocks, each two of which are multiplied
-    in one task, so a vector is sent to as many tasks as its scope has blocks."""
-    sizes = vectors.groupBy("scope").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    in one task, so a vector is sent to as many tasks as its scope has blocks (see ``blocks_for``): what is
+    sent grows with the input up to BLOCKS * MOST_ROWS vectors, and what a task holds never passes two blocks."""
+    of_rows = lambda n: F.ceil(F.count("*") / n)
+    sizes = vectors.groupBy("scope").agg(F.greatest(F.least(of_rows(block), F.lit(BLOCKS)), of_rows(MOST_ROWS)).cast("int").alias("blocks"))
     rows = vectors.join(sizes, "scope").withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = rows.select("scope", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "vec_id", "u")

@@ -123,7 +123,7 @@ def best_blocks(sample: list, mean: dict[int, np.ndarray], rows: int, reach: flo
 
     Fewer blocks tell vectors better apart, but ask under more names. Costs are nanoseconds of a task.
     """
-    cost = {0: sum(rows / (2 * plain.BLOCK) * (ROW_BYTES + 8 * len(u)) * PER_BYTE + rows * len(u) * PER_PRODUCT for u in sample)}
+    cost = {0: sum(plain.blocks_for(rows) * (ROW_BYTES + 8 * len(u)) * PER_BYTE + rows * len(u) * PER_PRODUCT for u in sample)}
     for blocks in range(2, 13):
         cost[blocks] = 0.0
         for u in sample:
@@ -144,9 +144,10 @@ def _distance(a: str, b: str) -> Column:
 def meeting(named: DataFrame, key: list[str], held: str) -> DataFrame:
     """Owners (``x``, ``px``) and askers (``y``, ``py``) of equal ``key``: rows of ``named`` by ``own``,
     with ``cls`` and the column ``held``. Keys of many rows are dealt to chunks on both sides, so that
-    no task compares more than CHUNK rows with CHUNK of a key."""
+    no task compares more than CHUNK rows with CHUNK of a key; neither side is sent through the driver, however small
+    its files are."""
     sizes = named.groupBy(*key).agg(F.ceil(F.count_if("own") / CHUNK).cast("int").alias("owners"), F.ceil(F.count_if(~F.col("own")) / CHUNK).cast("int").alias("askers"))
-    hot = sizes.where("owners > 0 AND askers > 0 AND owners + askers > 2")
+    hot = F.broadcast(sizes.where("owners > 0 AND askers > 0 AND owners + askers > 2"))  # one key of CHUNK rows at most
     cold = named.join(hot, key, "left_anti").withColumns({"lo": F.lit(0), "hi": F.lit(0)})
     side = lambda n: F.array(F.pmod(F.xxhash64("cls"), F.col(n)).cast("int"))
     each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -155,7 +156,7 @@ def meeting(named: DataFrame, key: list[str], held: str) -> DataFrame:
     split = split.withColumn("hi", F.explode(F.when(F.col("own"), each("askers")).otherwise(side("askers")))).select(*cold.columns)
     dealt, at = cold.unionByName(split), [*key, "lo", "hi"]
     own = dealt.where("own").select(*at, F.col("cls").alias("x"), F.col(held).alias("px"))
-    return own.join(dealt.where("NOT own").select(*at, F.col("cls").alias("y"), F.col(held).alias("py")), at)
+    return own.hint("merge").join(dealt.where("NOT own").select(*at, F.col("cls").alias("y"), F.col(held).alias("py")), at)
 
 
 def near_pairs(found: DataFrame, threshold: float, *scope: str, blocks: int | None = None) -> DataFrame:
@@ -301,7 +302,7 @@ def hash_groups(rows: DataFrame, most: int) -> DataFrame:
     lost = keepers(pairs, held.select(F.col("h").alias("id"), F.array(*_halves("best")).alias("rank")))
     to = held.select(F.col("h").alias("keeper"), F.col("best").alias("to"))
     named = held.join(lost.join(to, "keeper").select(F.col("id").alias("h"), "to"), "h", "left")
-    out = rows.join(named, "h").select("id", F.coalesce("to", "best").alias("keeper"))
+    out = rows.hint("merge").join(named, "h").select("id", F.coalesce("to", "best").alias("keeper"))
     return out.where("id <> keeper")
 
 

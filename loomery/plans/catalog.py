@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomery.operators.dealing import dealt
+
 ITEM = (
     "o_orderkey AS id",
     "'/lib/' || CAST(o_orderkey % 9 AS STRING) || '/sub' || CAST(o_orderkey % 4 AS STRING) || '/Img_' || CAST(o_orderkey % 997 AS STRING) || '.png' AS path",
@@ -78,7 +80,7 @@ def unique_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item, model, tag) once with its highest score."""
-    rows = table(spark, sf_dir, "lineitem").selectExpr(*SCORE)
+    rows = dealt(table(spark, sf_dir, "lineitem").selectExpr(*SCORE), "item_id")  # groups by item need no further shuffle
     return rows.groupBy("item_id", "model", "tag", "category").agg(F.max("score").alias("score"))
 
 

@@ -20,8 +20,9 @@ def vocabulary(docs: DataFrame, tokens: Column) -> DataFrame:
 def co_occurrence(tags: DataFrame, least: float, least_count: int = 3, most: int = 150) -> DataFrame:
     """Pairs of frequent tags by Jaccard index. Only the ``most`` frequent tags are paired (the
     report's own bound), inside each item: its tags as one array, so pairs are few."""
-    counts = tags.groupBy("tag").agg(F.count_distinct("item_id").alias("n")).where(F.col("n") >= least_count).orderBy(F.desc("n"), "tag").limit(most)
-    held = tags.join(F.broadcast(counts.select("tag")), "tag").groupBy("item_id").agg(F.sort_array(F.collect_set("tag")).alias("t"))  # at most `most` tags are sent
+    tags = tags.select("item_id", "tag").distinct()
+    counts = tags.groupBy("tag").agg(F.count("item_id").alias("n")).where(F.col("n") >= least_count).orderBy(F.desc("n"), "tag").limit(most)
+    held = tags.join(F.broadcast(counts.select("tag")), "tag").groupBy("item_id").agg(F.sort_array(F.collect_list("tag")).alias("t"))  # at most `most` tags are sent
     pairs = held.select(F.explode(F.flatten(F.transform("t", lambda a, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p"))
     together = pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("ab"))
     na, nb = counts.select(F.col("tag").alias("a"), F.col("n").alias("na")), counts.select(F.col("tag").alias("b"), F.col("n").alias("nb"))

@@ -202,7 +202,8 @@ def _modes(spark, sf):
     item = {"id": F.col("id"), "prompt": F.col("prompt"), "negative": F.when(F.col("id") % 2 == 0, "bad"), "caption": F.col("ai_caption"), "prose": F.col("nl_caption"), "values": {"Model": F.col("checkpoint")}}
     tags = F.array(F.lit("blue_eyes"), F.lit("Hat"), F.lit("score_9"))
     said = F.array(*(F.struct(F.lit(m).alias("mode"), captions.sidecar(m, item, tags, "pre", ["hat"] if m != "nl_caption" else [], "{prompt}, by {caption}, {tags}").alias("content")) for m in captions.MODES))
-    return I(spark, sf).select("id", F.explode(said).alias("s")).select("id", "s.*")
+    rows = dealt(I(spark, sf).select("id", "prompt", "ai_caption", "nl_caption", "checkpoint"), "id")
+    return rows.select("id", F.explode(said).alias("s")).select("id", "s.*")
 
 
 _PROMPTED = "(id % 12 > 1)"

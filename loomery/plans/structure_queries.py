@@ -139,7 +139,7 @@ CHUNKS = {
 def _built(spark, sf):
     """Each item's chunks, read back."""
     pairs = [x for k, e in CHUNKS.items() for x in (F.lit(k), F.expr(e))]
-    rows = I(spark, sf).select("id", F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull()).alias("meta")).withColumn("generator", records.generator(F.col("meta")))
+    rows = dealt(I(spark, sf).select("id", "prompt", "width"), "id").select("id", F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull()).alias("meta")).withColumn("generator", records.generator(F.col("meta")))
     r = records.parsed(F.col("meta"), F.col("generator"))
     return rows.select("id", "generator", r.alias("r")).select("id", "generator", "r.prompt", "r.negative_prompt", "r.checkpoint", F.array_join("r.loras", ",").alias("loras"))
 

@@ -10,6 +10,8 @@ from loomery.functions import text
 
 #: Seconds that a file's time may be off and still be the same.
 TIME_TOLERANCE = 2
+#: Most ids in a list where lists meet lists, and the tasks over which their pairs are dealt.
+LIST, TASKS = 256, 96
 
 
 def by_path(items: DataFrame, path: str) -> DataFrame:
@@ -17,15 +19,26 @@ def by_path(items: DataFrame, path: str) -> DataFrame:
     return items.where(text.path_key(F.col("path")) == text.path_key(F.lit(path)))
 
 
+def _id_lists(rows: DataFrame, name: str) -> DataFrame:
+    """The ids of each stem and ending in lists of at most ``LIST``; null ids too."""
+    part = F.floor((F.row_number().over(Window.partitionBy("stem", "ending").orderBy("id")) - 1) / LIST)
+    nulls = F.array_repeat(F.lit(None).cast(rows.schema["id"].dataType), F.count_if(F.col("id").isNull()).cast("int"))
+    return rows.withColumn("part", part).groupBy("stem", "ending", "part").agg(F.concat(F.collect_list("id"), nulls).alias(name)).drop("part")
+
+
 def variant_pairs(items: DataFrame, suffix: str) -> DataFrame:
     """Each item whose stem lacks ``suffix`` with the items of the same folder, stem and ending that
-    have it (``other``); null where there is none."""
+    have it (``other``); null where there is none.
+
+    Lists of ids meet, and their pairs are dealt over tasks before they are made, so that the pairs of
+    a crowded path aren't one task's work and a row holds those of two lists at most."""
     stem, ending = F.regexp_replace("path", r"\.[^./]*$", ""), F.regexp_extract("path", r"(\.[^./]*)$", 1)
     rows = items.select("id", stem.alias("stem"), ending.alias("ending"))
     marked = F.col("stem").endswith(suffix)
     plain = F.expr(f"substring(stem, 1, length(stem) - {len(suffix)})")
-    others = rows.where(marked).select(F.col("id").alias("other"), plain.alias("stem"), "ending")
-    return rows.where(~marked).join(others, ["stem", "ending"], "left")
+    others = _id_lists(rows.where(marked).select("id", plain.alias("stem"), "ending"), "others")
+    met = _id_lists(rows.where(~marked), "ids").join(others, ["stem", "ending"], "left").repartition(TASKS)
+    return met.select("stem", "ending", F.explode("ids").alias("id"), "others").select("stem", "ending", "id", F.explode_outer("others").alias("other"))
 
 
 def tags_of(tags: DataFrame, item: int) -> DataFrame:
